@@ -7,7 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablecheck.operators.table import OPAQUE, TEXT, ColumnInfo, stacked
+from tablecheck.operators.table import (
+    OPAQUE,
+    TEXT,
+    ColumnInfo,
+    collect_aggregates,
+    stacked,
+)
 
 
 def text_value(column: ColumnInfo) -> Column:
@@ -120,26 +126,41 @@ def approximate_distinct_counts(data: DataFrame, columns: list[ColumnInfo]) -> d
     return {c.ordinal: found.get(c.ordinal, 0) for c in columns}
 
 
+def smallest_values(
+    data: DataFrame, wanted: dict[int, Column], limit: int
+) -> dict[int, list]:
+    """The ``limit`` smallest distinct values per column: one minimum per column and round,
+    each beyond the one before. Nothing is sorted and one row per task is moved."""
+    found: dict[int, list] = {i: [] for i in wanted}
+    open_columns = dict(wanted)
+    for _ in range(limit):
+        expressions = {
+            i: F.min(v if not found[i] else F.when(v > F.lit(found[i][-1]), v))
+            for i, v in open_columns.items()
+        }
+        lowest = collect_aggregates(data, expressions)
+        for i, value in lowest.items():
+            if value is None:
+                del open_columns[i]
+            else:
+                found[i].append(value)
+    return found
+
+
 def first_values(
-    data: DataFrame,
-    wanted: dict[int, Column],
-    limit: int,
-    order_by: Column | None = None,
+    data: DataFrame, wanted: dict[int, Column], limit: int, order_by: Column
 ) -> dict[int, list]:
-    """First ``limit`` non-NULL values per column by ``order_by``, default by value.
+    """First ``limit`` non-NULL values per column by ``order_by``, ties by value.
 
     Each column is one top-k that keeps ``limit`` rows per task and never sorts the data.
     """
-    if not wanted:
-        return {}
     out: dict[int, list] = {i: [] for i in wanted}
     items = list(wanted.items())
     for start in range(0, len(items), 50):
         parts = []
         for i, value in items[start:start + 50]:
-            key = value if order_by is None else order_by
-            one = data.select(key.alias("k"), value.alias("v")).where(F.col("v").isNotNull())
-            one = one.orderBy("k", "v").limit(limit)
+            one = data.select(order_by.alias("k"), value.alias("v"))
+            one = one.where(F.col("v").isNotNull()).orderBy("k", "v").limit(limit)
             rank = F.row_number().over(Window.orderBy("k", "v"))
             parts.append(
                 one.select(F.lit(i).alias("i"), rank.alias("r"), F.col("v").cast("string"))

@@ -328,26 +328,49 @@ class TableMetrics:
         """Up to ten ``(rank, value, count)``, most frequent first, ties by value."""
         return self._frequencies[1].get(c.ordinal, [])
 
-    def first_values(
-        self, columns: list[ColumnInfo], limit: int, order_by: str | None = None
-    ) -> dict[int, list]:
-        wanted = {
-            c.ordinal: frequencies.text_value(c) if c.kind == OPAQUE else F.col(c.key)
-            for c in columns
-        }
-        return frequencies.first_values(self.data, wanted, limit, self._order(order_by))
+    def sample_values(
+        self, columns: list[ColumnInfo], limit: int = 3, order_by: str | None = None
+    ) -> dict[int, list[str]]:
+        """Text of the first values by ``order_by``; by default the smallest distinct ones."""
+        if order_by is not None:
+            wanted = {c.ordinal: self._plain(c) for c in columns}
+            return frequencies.first_values(self.data, wanted, limit, self._order(order_by))
+        wanted = {c.ordinal: self._plain(c) for c in columns if c.kind != BOOLEAN}
+        found = frequencies.smallest_values(self.data, wanted, limit)
+        texts = {i: [self._text(v) for v in values] for i, values in found.items()}
+        for c in columns:
+            if c.kind == BOOLEAN:
+                true = self.value(c, "true")
+                seen = (("false", self.count(c) - true), ("true", true))
+                texts[c.ordinal] = [t for t, n in seen if n]
+        return texts
+
+    def _plain(self, c: ColumnInfo) -> Column:
+        """Numbers as doubles, everything else as text that sorts like the value."""
+        if c.kind == OPAQUE:
+            return frequencies.text_value(c)
+        if c.kind == TIME:
+            return F.date_format(F.col(c.key), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        return F.col(c.key)
+
+    @staticmethod
+    def _text(value) -> str:
+        return value if isinstance(value, str) else str(value)
 
     def first_outliers(self, limit: int = 5, order_by: str | None = None) -> dict[int, list]:
+        """First outliers per column by ``order_by``; by default the smallest distinct ones."""
         wanted = {
             c.ordinal: F.when(self.is_outlier(c), c.number())
             for c in self.numeric
             if self.outlier(c, "count")
         }
+        if order_by is None:
+            return frequencies.smallest_values(self.data, wanted, limit)
         found = frequencies.first_values(self.data, wanted, limit, self._order(order_by))
         return {i: [float(v) for v in values] for i, values in found.items()}
 
-    def _order(self, name: str | None) -> Column | None:
-        return None if name is None else F.col(self.column(name).key)
+    def _order(self, name: str) -> Column:
+        return F.col(self.column(name).key)
 
     # ------------------------------------------------------------ pairs and rows
 

@@ -22,11 +22,21 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
-def small_frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+def small_frame(
+    spark: SparkSession, rows: list[dict], schema: str | T.StructType
+) -> DataFrame:
     """A frame of metric rows (their number follows the columns, never the data).
 
     Going through Arrow keeps it a local relation, so later steps need no Python worker.
     """
-    struct = T.StructType.fromDDL(schema)
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     table = pa.Table.from_pylist(rows, schema=to_arrow_schema(struct))
     return spark.createDataFrame(table, schema=struct)
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """The same metric rows, computed now, so that later steps plan on plain values.
+
+    Only for frames whose size follows the number of columns of a table.
+    """
+    return frame.sparkSession.createDataFrame(frame.toArrow(), schema=frame.schema)
