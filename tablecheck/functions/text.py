@@ -8,14 +8,16 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Lines of decoration or comment that carry no record.
-JUNK_PATTERNS = (
-    r"^[=\-*.]{3,}",
-    r"==>[^,]*,.*,<==",
-    r"^#+\s",
-    r"^\[.*\]$",
-    r"(?i)^log\s+file",
+# Lines of decoration or comment that carry no record, as seen after blanks
+# and quotes around the line are set aside.
+JUNK_STARTS = (
+    r"$",
+    r"[=\-*.]{3}",
+    r'#+(?!\s*"*\s*$)\s',
+    r'\[.*\]\s*"*\s*$',
+    r"(?i:log\s+file)",
 )
+JUNK_ARROW, JUNK_BANNER = "==>", r"==>[^,]*,.*,<=="
 
 # Text that shows a quoted line is a log record wrapped by a spreadsheet.
 WRAPPED_RECORD_MARKERS = (",-,-,", "HTTP", "GET", "POST", "HEAD", "STATUS")
@@ -28,21 +30,23 @@ REPLACEMENT_CHARACTER = "�"
 
 def stripped(value: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.btrim(value, F.lit(" \t\n\r\f\v"))
 
 
 def is_junk_line(value: Column) -> Column:
-    bare = F.regexp_replace(stripped(value), r'^"+|"+$', "")
-    bare = stripped(bare)
-    return (bare == "") | reduce(or_, [bare.rlike(p) for p in JUNK_PATTERNS])
+    starts = value.rlike(r'^\s*"*\s*(?:' + "|".join(JUNK_STARTS) + ")")
+    # the plain search spares most lines the second regex
+    return starts | (value.contains(JUNK_ARROW) & value.rlike(JUNK_BANNER))
 
 
 def unwrap_line(value: Column) -> Column:
     """Peel spreadsheet quotes off a log record and collapse runs of quotes."""
     line = stripped(value)
     marked = reduce(or_, [line.contains(m) for m in WRAPPED_RECORD_MARKERS])
-    peeled = F.when(marked, F.regexp_replace(line, r'^("+)(.*)\1$', "$2")).otherwise(line)
-    return F.regexp_replace(peeled, r'"{2,}', '"')
+    quoted = line.startswith('"') & line.endswith('"') & marked
+    peeled = F.when(quoted, F.regexp_replace(line, r'^("+)(.*)\1$', "$2")).otherwise(line)
+    folded = F.regexp_replace(peeled, r'"{2,}', '"')
+    return F.when(peeled.contains('""'), folded).otherwise(peeled)
 
 
 def is_number_text(value: Column) -> Column:

@@ -45,25 +45,55 @@ def read_delimited(
 
     Rows with too few cells are filled up; rows with too many are rejected.
     """
-    reader = spark.read.options(
-        sep=separator, header=header, encoding=encoding, nullValue=_NEVER, escape='"'
-    )
+    reader = spark.read.options(header=header, encoding=encoding, **_options(separator))
     names = reader.csv(path).columns
     if not header:
         names = [f"col_{k + 1}" for k in range(len(names))]
+    # the file header is not compared with our positional names
+    cells = reader.options(enforceSchema=True, columnPruning=False).schema(
+        _cell_schema(names)
+    )
+    return _split_rejects(cells.csv(path), names, separator)
+
+
+def parse_delimited(
+    lines: DataFrame, names: list[str], separator: str = ","
+) -> tuple[DataFrame, DataFrame]:
+    """Like :func:`read_delimited` for records that are already a ``value`` column."""
+    cells = F.from_csv("value", _cell_schema(names), _options(separator))
+    return _split_rejects(lines.select(cells.alias("row")).select("row.*"), names, separator)
+
+
+def _options(separator: str) -> dict[str, str]:
+    return {
+        "sep": separator,
+        "nullValue": _NEVER,
+        "escape": '"',
+        "columnNameOfCorruptRecord": _RAW,
+    }
+
+
+def _cell_schema(names: list[str]) -> str:
     if len(names) > MAX_COLUMNS:
         raise ValueError(f"{len(names)} columns exceed the limit of {MAX_COLUMNS}.")
     keys = [f"c{k}" for k in range(len(names))]
-    ddl = ", ".join(f"{k} string" for k in (*keys, _EXTRA, _RAW))
-    read = reader.schema(ddl).option("columnNameOfCorruptRecord", _RAW)
-    # the header check would compare our positional names with the file
-    cells = read.option("enforceSchema", True).csv(path)
-    good = cells.where(F.col(_EXTRA).isNull()).select(
+    return ", ".join(f"{k} string" for k in (*keys, _EXTRA, _RAW))
+
+
+def _split_rejects(cells: DataFrame, names: list[str], separator: str):
+    """The schema has one cell more than the table, so the parser keeps the raw text of
+    every row except those with exactly one cell too many; of the others, a row is too
+    long when it has at least as many separators outside quotes as the table columns."""
+    keys = [f"c{k}" for k in range(len(names))]
+    bare = F.regexp_replace(F.col(_RAW), '"[^"]*"', "")
+    separators = F.length(bare) - F.length(F.replace(bare, F.lit(separator), F.lit("")))
+    too_long = F.col(_EXTRA).isNotNull() | F.col(_RAW).isNull() | (separators >= len(names))
+    good = cells.where(~too_long).select(
         *[na_to_null(F.col(k)).alias(k) for k in keys]
     )
-    raw = F.coalesce(F.col(_RAW), F.concat_ws(separator, *keys, _EXTRA))
-    rejects = cells.where(F.col(_EXTRA).isNotNull()).select(raw.alias("value"))
-    return good.toDF(*names), rejects
+    rebuilt = F.to_csv(F.struct(*keys, _EXTRA), {"sep": separator, "escape": '"'})
+    raw = F.coalesce(F.col(_RAW), rebuilt)
+    return good.toDF(*names), cells.where(too_long).select(raw.alias("value"))
 
 
 def na_to_null(cell: Column) -> Column:

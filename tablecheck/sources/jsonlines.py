@@ -26,8 +26,11 @@ def is_json_document(text: DataFrame) -> DataFrame:
 
 def json_line_schema(lines: DataFrame) -> str:
     """Schema that covers the objects of all lines, found in one distributed pass."""
-    parsed = lines.select(F.try_parse_json("value").alias("v"))
-    merged = parsed.where("schema_of_variant(v) like 'OBJECT<%'").agg(
+    return _merged_schema(lines.select(F.try_parse_json("value").alias("v")))
+
+
+def _merged_schema(values: DataFrame) -> str:
+    merged = values.where("schema_of_variant(v) like 'OBJECT<%'").agg(
         F.schema_of_variant_agg("v")
     )
     found = merged.first()[0]
@@ -48,3 +51,16 @@ def parse_json_lines(
     is_object = F.coalesce(kind.like("OBJECT<%"), F.lit(False))
     good = text.where(is_object).withColumn("row", F.from_json("value", schema))
     return good.select(*keep, "row.*"), text.where(~is_object)
+
+
+def parse_json_documents(
+    documents: DataFrame, schema: str | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Rows of whole documents in ``value``: an array gives its objects, an object one."""
+    parsed = documents.withColumn("v", F.try_parse_json("value"))
+    if schema is None:
+        items = F.expr("try_variant_get(v, '$', 'array<variant>')")
+        one = F.array(F.col("v"))
+        schema = _merged_schema(parsed.select(F.explode(F.coalesce(items, one)).alias("v")))
+    rows = F.from_json("value", f"ARRAY<{schema}>")
+    return parsed.select(*keep, F.explode(rows).alias("row")).select(*keep, "row.*")

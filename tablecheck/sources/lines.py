@@ -85,7 +85,7 @@ def head_lines(lines: DataFrame, count: int = SAMPLE_LINES) -> DataFrame:
 def clean_lines(lines: DataFrame) -> DataFrame:
     """Without blank and decoration lines, and without spreadsheet quoting."""
     kept = lines.where(~is_junk_line(F.col("value")))
-    return kept.withColumn("value", unwrap_line(F.col("value"))).where("value <> ''")
+    return kept.withColumn("value", unwrap_line(F.col("value")))
 
 
 def sniff_sample(lines: DataFrame) -> DataFrame:
@@ -200,8 +200,8 @@ def detect(lines: DataFrame) -> DataFrame:
     return found.withColumn("has_header", has_header(head, F.col("delimiter")))
 
 
-def encodings(spark: SparkSession, path) -> DataFrame:
-    """Encoding per file, from the raw bytes of all its lines.
+def encodings(raw_lines: DataFrame) -> DataFrame:
+    """Encoding per file, from the raw bytes of all its lines (:func:`read_raw_lines`).
 
     Valid UTF-8 is taken as such. Otherwise the text is single-byte: ``windows-1252``
     where bytes 0x80-0x9F occur, else ``ISO-8859-1``; the confidence is the share of
@@ -211,7 +211,7 @@ def encodings(spark: SparkSession, path) -> DataFrame:
     beyond = F.octet_length(value) != F.length(F.regexp_replace(value, r"[^\x00-\x7f]", ""))
     invalid = ~F.is_valid_utf8(value)
     control = decoded(value, "ISO-8859-1").rlike(r"[\x80-\x9f]")
-    per_file = read_raw_lines(spark, path).groupBy("file").agg(
+    per_file = raw_lines.groupBy("file").agg(
         F.count_if(beyond).alias("beyond_ascii"),
         F.count_if(invalid).alias("invalid_utf8"),
         F.count_if(invalid & control).alias("c1"),

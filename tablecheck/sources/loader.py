@@ -73,6 +73,13 @@ def sanity_warnings(columns: int, rows: int) -> list[str]:
     return found
 
 
+def input_warnings(df: DataFrame) -> DataFrame:
+    """:func:`sanity_warnings` of a table, one per row."""
+    rows = df.agg(F.count("*")).first()[0]
+    found = [{"warning": w} for w in sanity_warnings(len(df.columns), rows)]
+    return small_frame(df.sparkSession, found, "warning string")
+
+
 def load(spark: SparkSession, path: str, as_of: Column | None = None) -> Loaded:
     """Read a file, or a folder of files of one kind, whatever its format.
 
@@ -89,7 +96,8 @@ def load(spark: SparkSession, path: str, as_of: Column | None = None) -> Loaded:
         "rejected_rows": 0,
     }
     warnings: list[str] = []
-    coded = lines.encodings(spark, path).orderBy("confidence", "file").first()
+    coded = lines.encodings(lines.read_raw_lines(spark, path))
+    coded = coded.orderBy("confidence", "file").first()
     report["encoding"], report["encoding_confidence"] = coded.encoding, coded.confidence
     if coded.uncertain:
         warnings.append(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +10,9 @@ from tablecheck.functions.text import stripped
 from tablecheck.sources.formats import LOG_FORMATS, LogFormat
 from tablecheck.sources.lines import clean_lines
 
-# Unit separator: joins the groups of one match so that one regex run reads a line.
-SEPARATOR = "\u001f"
+# Unit separator: joins the groups of one match so that one regex run reads a line. One
+# inside the line itself is set aside as U+FFFE, which is no character and never in text.
+SEPARATOR, ASIDE = "\u001f", "\ufffe"
 # Columns read as numbers.
 NUMERIC_COLUMNS = {"status": "bigint", "size": "double"}
 
@@ -22,25 +21,16 @@ def _group(column: str) -> str:
     return column.replace("_", "")
 
 
-def _fields(fmt: LogFormat, line: Column) -> Column:
-    """All groups of the first match as an array, NULL where nothing matches."""
-    names = [_group(c) for c in fmt.columns] + sorted(set(fmt.optional.values()))
-    whole = f"(?s)^.*?{fmt.pattern}.*$"
+def _joined_groups(fmt: LogFormat, line: Column) -> Column:
+    """All groups of the first match in one string; the line itself if nothing matches."""
+    names = [_group(c) for c in fmt.columns] + _guards(fmt)
     picked = SEPARATOR.join(f"${{{n}}}" for n in names)
-    joined = F.regexp_replace(line, whole, picked)
-    at_once = F.when(joined.contains(SEPARATOR), F.split(joined, SEPARATOR, -1))
-    # a line that itself holds the separator is read group by group
-    numbers = _group_numbers(fmt.pattern)
-    one_by_one = F.when(
-        line.rlike(fmt.pattern),
-        F.array(*[F.regexp_extract(line, fmt.pattern, numbers[n]) for n in names]),
-    )
-    return F.when(line.contains(SEPARATOR), one_by_one).otherwise(at_once)
+    plain = F.translate(line, SEPARATOR, ASIDE)
+    return F.regexp_replace(plain, f"(?s)^.*?{fmt.pattern}.*$", picked)
 
 
-def _group_numbers(pattern: str) -> dict[str, int]:
-    opened = re.findall(r"(?<!\\)\((?:\?<(\w+)>|(?!\?))", pattern)
-    return {name: k for k, name in enumerate(opened, start=1) if name}
+def _guards(fmt: LogFormat) -> list[str]:
+    return sorted(set(fmt.optional.values()))
 
 
 def parse_log(lines: DataFrame, fmt: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -49,11 +39,15 @@ def parse_log(lines: DataFrame, fmt: str, keep: tuple[str, ...] = ()) -> DataFra
     ``lines`` has ``value``; columns named in ``keep`` are passed through.
     """
     shape = LOG_FORMATS[fmt]
-    parsed = clean_lines(lines).withColumn("fields", _fields(shape, F.col("value")))
-    guards = sorted(set(shape.optional.values()))
+    # exploding a single item keeps later filters from repeating the regex
+    joined = F.explode(F.array(_joined_groups(shape, F.col("value")))).alias("joined")
+    matched = clean_lines(lines).select(*keep, joined)
+    groups = F.when(F.col("joined").contains(SEPARATOR), F.split("joined", SEPARATOR, -1))
+    parsed = matched.withColumn("fields", groups)
+    guards = _guards(shape)
     picked = []
     for k, name in enumerate(shape.columns):
-        value = F.get("fields", F.lit(k))
+        value = F.translate(F.get("fields", F.lit(k)), ASIDE, SEPARATOR)
         if name in shape.optional:
             guard = F.get("fields", F.lit(len(shape.columns) + guards.index(shape.optional[name])))
             value = F.when(guard != "", value)
