@@ -6,7 +6,7 @@ import importlib
 
 from checks.registry import QUERIES, SQL
 
-MODULES = ("ingest",)
+MODULES = ("ingest", "statistics")
 
 
 def load_all():
