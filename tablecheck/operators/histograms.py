@@ -34,7 +34,8 @@ def bin_index(value: Column, edges: np.ndarray) -> Column:
     guess = F.greatest(F.lit(0), F.least(guess, F.lit(bins - 1)))
     known = F.lit([float(e) for e in edges])
     return (
-        F.when(value < F.get(known, guess), guess - 1)
+        F.when(value.isNull(), F.lit(None).cast("int"))
+        .when(value < F.get(known, guess), guess - 1)
         .when((guess < bins - 1) & (value >= F.get(known, guess + 1)), guess + 1)
         .otherwise(guess)
     )

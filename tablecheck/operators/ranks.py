@@ -63,12 +63,16 @@ def order_statistics(
     while open_brackets:
         total = sum(b.inside for group in open_brackets.values() for b in group)
         if total > fetch_budget:
-            candidates, expected = _narrowed(values, open_brackets, total, sample_rows)
+            parts, expected = _narrowed(values, open_brackets, total, sample_rows)
         else:
-            candidates, expected = open_brackets, total
+            parts = {
+                i: [[Bracket(b.low, b.high, 0, 0, b.ranks)] for b in group]
+                for i, group in open_brackets.items()
+            }
+            expected = total
         fetch = expected <= fetch_budget
-        zones, members = _scan(values, candidates, fetch, fetch_budget)
-        open_brackets = _advance(open_brackets, candidates, zones, members, found)
+        zones, members = _scan(values, open_brackets, parts, fetch, fetch_budget)
+        open_brackets = _advance(open_brackets, parts, zones, members, found)
     return found
 
 
@@ -77,124 +81,125 @@ def _zone(brackets: dict[int, list[Bracket]]) -> Column:
     size = max(brackets) + 1
     zone = F.lit(0)
     for j in range(max(len(group) for group in brackets.values())):
-        lows, highs = [], []
-        for i in range(size):
-            group = brackets.get(i, [])
-            lows.append(group[j].low if j < len(group) else None)
-            highs.append(group[j].high if j < len(group) else None)
-        low = F.get(F.lit([_or_nan(v) for v in lows]), F.col("i"))
-        high = F.get(F.lit([_or_nan(v) for v in highs]), F.col("i"))
         # NaN sorts above everything in Spark, so a missing bracket is never reached
-        zone = zone + F.when(F.col("x") >= low, 1).otherwise(0)
-        zone = zone + F.when(F.col("x") > high, 1).otherwise(0)
+        lows, highs = [math.nan] * size, [math.nan] * size
+        for i, group in brackets.items():
+            if j < len(group):
+                lows[i], highs[i] = float(group[j].low), float(group[j].high)
+        zone = zone + F.when(F.col("x") >= F.get(F.lit(lows), F.col("i")), 1).otherwise(0)
+        zone = zone + F.when(F.col("x") > F.get(F.lit(highs), F.col("i")), 1).otherwise(0)
     return zone
 
 
-def _or_nan(value) -> float:
-    return math.nan if value is None else float(value)
-
-
-def _wanted(values: DataFrame, brackets) -> DataFrame:
-    ordinals = sorted(brackets)
-    return values.where(F.col("i").isin(*ordinals)) if ordinals else values
+def _in_play(values: DataFrame, brackets: dict[int, list[Bracket]]) -> DataFrame:
+    """Values within the open brackets; ``b`` is the bracket of each."""
+    chosen = values.where(F.col("i").isin(*sorted(brackets)))
+    zoned = chosen.withColumn("z", _zone(brackets)).where(F.col("z") % 2 == 1)
+    return zoned.select("i", "x", F.expr("(z - 1) div 2").cast("int").alias("b"))
 
 
 def _narrowed(values, brackets, total, sample_rows):
-    """Brackets suggested by a sample of the values that are still in play."""
+    """For every bracket the narrower ones that a sample of its values suggests, and how
+    many distinct values they may hold. None of them is as wide as its origin."""
     fraction = min(1.0, sample_rows / total)
-    sample = (
-        _wanted(values, brackets)
-        .withColumn("z", _zone(brackets))
-        .where((F.col("z") % 2 == 1) & (F.rand(17) < fraction))
-        .toArrow()
-    )
-    i_column = sample.column("i").to_numpy()
-    z_column = sample.column("z").to_numpy()
-    x_column = sample.column("x").to_numpy()
-    narrowed: dict[int, list[Bracket]] = {}
+    sample = _in_play(values, brackets).where(F.rand(17) < fraction).toArrow()
+    i_column, b_column, x_column = (sample.column(n).to_numpy() for n in ("i", "b", "x"))
+    parts: dict[int, list[list[Bracket]]] = {}
     expected = 0.0
     for i, group in brackets.items():
-        spans = []
+        parts[i] = []
         for j, b in enumerate(group):
-            points = np.sort(x_column[(i_column == i) & (z_column == 2 * j + 1)])
-            m = len(points)
-            for rank in b.ranks:
-                low, high, share = b.low, b.high, 1.0
-                if m:
-                    q = (rank - b.below + 0.5) / b.inside
-                    margin = 5 * math.sqrt(q * (1 - q) / m) + 5 / m
-                    first = math.floor((q - margin) * m)
-                    last = math.ceil((q + margin) * m)
-                    low = points[first] if first >= 0 else b.low
-                    high = points[last] if last < m else b.high
-                    share = min(1.0, (last - first + 1) / m)
-                spans.append((float(low), float(high), rank, share * b.inside))
-        merged: list[Bracket] = []
-        sizes: list[float] = []
-        for low, high, rank, size in sorted(spans):
-            if merged and low <= merged[-1].high:
-                merged[-1].high = max(merged[-1].high, high)
-                merged[-1].ranks.append(rank)
-                sizes[-1] = max(sizes[-1], size)
-            else:
-                merged.append(Bracket(low, high, 0, 0, [rank]))
-                sizes.append(size)
-        narrowed[i] = merged
-        expected += sum(sizes)
-    return narrowed, expected
-
-
-def _scan(values, brackets, fetch, fetch_budget):
-    """Exact counts per zone, and the members of every bracket when they fit."""
-    zoned = _wanted(values, brackets).withColumn("z", _zone(brackets))
+            points = np.sort(x_column[(i_column == i) & (b_column == j)])
+            narrow = _suggested(points, b)
+            parts[i].append(narrow)
+            for n in narrow:
+                seen = points[(points >= n.low) & (points <= n.high)]
+                distinct = len(np.unique(seen))
+                scaled = b.inside * (len(seen) + 1) / max(len(points), 1)
+                # few distinct values in a sample mean that most of them were seen
+                expected += min(scaled, 4.0 * distinct + 4 if 2 * distinct < len(seen) else scaled)
+    return parts, expected
+
+
+def _suggested(points: np.ndarray, b: Bracket) -> list[Bracket]:
+    m = len(points)
+    if not m:
+        return [Bracket(b.low, b.high, 0, 0, b.ranks)]
+    spans = []
+    for rank in b.ranks:
+        q = (rank - b.below + 0.5) / b.inside
+        margin = 5 * math.sqrt(q * (1 - q) / m) + 5 / m
+        first, last = math.floor((q - margin) * m), math.ceil((q + margin) * m)
+        low = float(points[first]) if first >= 0 else b.low
+        high = float(points[last]) if last < m else b.high
+        spans.append((low, high, rank))
+    merged: list[Bracket] = []
+    for low, high, rank in sorted(spans):
+        if merged and low <= merged[-1].high:
+            merged[-1].high = max(merged[-1].high, high)
+            merged[-1].ranks.append(rank)
+        else:
+            merged.append(Bracket(low, high, 0, 0, [rank]))
+    if len(merged) == 1 and (merged[0].low, merged[0].high) == (b.low, b.high):
+        # a frequent value fills the margin: cut there, it is resolved or excluded
+        middle = float(points[m // 2])
+        return [Bracket(middle, middle, 0, 0, b.ranks)]
+    return merged
+
+
+def _scan(values, brackets, parts, fetch, fetch_budget):
+    """Exact counts per bracket and zone, and the members of the parts when they fit."""
+    flat = {i: [p for narrow in groups for p in narrow] for i, groups in parts.items()}
+    zoned = _in_play(values, brackets).withColumn("z", _zone(flat))
     if fetch:
         member = F.when(F.col("z") % 2 == 1, F.col("x"))
-        rows = zoned.groupBy("i", "z", member.alias("x")).agg(F.count("*").alias("n"))
+        rows = zoned.groupBy("i", "b", "z", member.alias("x")).agg(F.count("*").alias("n"))
         table = rows.limit(2 * fetch_budget + 1).toArrow()
         if table.num_rows <= 2 * fetch_budget:
             zones: dict = {}
             members: dict = {}
-            frame = table.to_pandas()
-            for (i, z), part in frame.groupby(["i", "z"], sort=False):
-                zones[(i, z)] = int(part["n"].sum())
+            for (i, b, z), part in table.to_pandas().groupby(["i", "b", "z"], sort=False):
+                zones[(i, b, z)] = int(part["n"].sum())
                 if z % 2 == 1:
                     part = part.sort_values("x")
-                    members[(i, z)] = (part["x"].to_numpy(), part["n"].to_numpy().cumsum())
+                    members[(i, b, z)] = (part["x"].to_numpy(), part["n"].to_numpy().cumsum())
             return zones, members
-    counted = zoned.groupBy("i", "z").agg(F.count("*").alias("n")).collect()
-    return {(r.i, r.z): r.n for r in counted}, {}
+    counted = zoned.groupBy("i", "b", "z").agg(F.count("*").alias("n")).collect()
+    return {(r.i, r.b, r.z): r.n for r in counted}, {}
 
 
-def _advance(previous, candidates, zones, members, found):
+def _advance(previous, parts, zones, members, found):
     """Resolve ranks whose value is known; keep exact, narrower brackets for the rest."""
     remaining: dict[int, list[Bracket]] = {}
-    for i, group in candidates.items():
-        wanted = sorted(rank for b in previous[i] for rank in b.ranks)
-        # all zones in value order, with the closed interval each of them covers
-        spans = []
-        below, edge = 0, -math.inf
+    for i, group in previous.items():
+        offset = 0
         for j, b in enumerate(group):
-            gap = zones.get((i, 2 * j), 0)
-            spans.append((edge, np.nextafter(b.low, -math.inf), below, gap, 2 * j))
-            below += gap
-            size = zones.get((i, 2 * j + 1), 0)
-            spans.append((b.low, b.high, below, size, 2 * j + 1))
-            below += size
-            edge = np.nextafter(b.high, math.inf)
-        tail = zones.get((i, 2 * len(group)), 0)
-        spans.append((edge, math.inf, below, tail, 2 * len(group)))
-        for low, high, start, size, zone in spans:
-            inside = [r for r in wanted if start <= r < start + size]
-            if not inside:
-                continue
-            if low == high:
-                found[i].update({r: float(low) for r in inside})
-            elif (i, zone) in members:
-                xs, running = members[(i, zone)]
-                for r in inside:
-                    at = int(np.searchsorted(running, r - start, side="right"))
-                    found[i][r] = float(xs[at])
-            else:
-                bracket = Bracket(float(low), float(high), start, size, inside)
-                remaining.setdefault(i, []).append(bracket)
+            # every zone of this bracket in value order, with the closed interval it covers
+            spans = []
+            below, edge = b.below, b.low
+            for k, part in enumerate(parts[i][j], start=offset):
+                gap = zones.get((i, j, 2 * k), 0)
+                spans.append((edge, np.nextafter(part.low, -math.inf), below, gap, 2 * k))
+                below += gap
+                size = zones.get((i, j, 2 * k + 1), 0)
+                spans.append((part.low, part.high, below, size, 2 * k + 1))
+                below += size
+                edge = np.nextafter(part.high, math.inf)
+            offset += len(parts[i][j])
+            tail = zones.get((i, j, 2 * offset), 0)
+            spans.append((edge, b.high, below, tail, 2 * offset))
+            for low, high, start, size, zone in spans:
+                inside = [r for r in b.ranks if start <= r < start + size]
+                if not inside:
+                    continue
+                if low == high:
+                    found[i].update({r: float(low) for r in inside})
+                elif (i, j, zone) in members:
+                    xs, running = members[(i, j, zone)]
+                    for r in inside:
+                        at = int(np.searchsorted(running, r - start, side="right"))
+                        found[i][r] = float(xs[at])
+                else:
+                    bracket = Bracket(float(low), float(high), start, size, sorted(inside))
+                    remaining.setdefault(i, []).append(bracket)
     return remaining
