@@ -6,7 +6,7 @@ import importlib
 
 from checks.registry import QUERIES, SQL
 
-MODULES = ("ingest", "statistics")
+MODULES = ("ingest", "statistics", "judgement")
 
 
 def load_all():
