@@ -127,24 +127,29 @@ def approximate_distinct_counts(data: DataFrame, columns: list[ColumnInfo]) -> d
 
 
 def smallest_values(
-    data: DataFrame, wanted: dict[int, Column], limit: int
+    data: DataFrame, wanted: dict[int, Column], limit: int, known: dict | None = None
 ) -> dict[int, list]:
     """The ``limit`` smallest distinct values per column: one minimum per column and round,
-    each beyond the one before. Nothing is sorted and one row per task is moved."""
-    found: dict[int, list] = {i: [] for i in wanted}
-    open_columns = dict(wanted)
-    for _ in range(limit):
+    each beyond the one before. Nothing is sorted and one row per task is moved.
+    ``known`` gives minima that were found before (None for a column without values)."""
+    known = known or {}
+    found: dict[int, list] = {
+        i: [known[i]] if known.get(i) is not None else [] for i in wanted
+    }
+    open_columns = {i: v for i, v in wanted.items() if known.get(i, "") is not None}
+    while True:
+        open_columns = {i: v for i, v in open_columns.items() if len(found[i]) < limit}
         expressions = {
             i: F.min(v if not found[i] else F.when(v > F.lit(found[i][-1]), v))
             for i, v in open_columns.items()
         }
-        lowest = collect_aggregates(data, expressions)
-        for i, value in lowest.items():
+        if not expressions:
+            return found
+        for i, value in collect_aggregates(data, expressions).items():
             if value is None:
                 del open_columns[i]
             else:
                 found[i].append(value)
-    return found
 
 
 def first_values(

@@ -35,11 +35,22 @@ from tablecheck.operators.table import (
     collect_aggregates,
     describe_columns,
     prepared,
+    side_by_side,
     spread_if_small,
     stacked,
 )
 
 QUARTILES = (0.25, 0.5, 0.75)
+
+# Passes that may run side by side; within a chain the later ones use the earlier ones.
+PROFILE_CHAINS = (
+    ("_quartiles", "_outliers"),
+    ("_frequencies",),
+    ("_fixed_distinct",),
+    ("_moments",),
+    ("duplicate_rows",),
+)
+STATISTIC_CHAINS = (("_pair_sums",), ("histograms",), ("co_missing",))
 RANK_COLUMNS_PER_JOB = 64
 
 
@@ -108,6 +119,17 @@ class TableMetrics:
     def column(self, name: str) -> ColumnInfo | None:
         return next((c for c in self.columns if c.name == name), None)
 
+    def prefetch(self, chains=PROFILE_CHAINS + STATISTIC_CHAINS) -> "TableMetrics":
+        """Run independent passes at the same time, which keeps a cluster busy."""
+        open_chains = [
+            [name for name in chain if name not in self.__dict__] for chain in chains
+        ]
+        side_by_side(
+            [lambda c=c: [getattr(self, name) for name in c] for c in open_chains if c],
+            first=lambda: self.row_count,
+        )
+        return self
+
     # ------------------------------------------------------------ one-row passes
 
     @cached_property
@@ -116,9 +138,10 @@ class TableMetrics:
         for c in self.columns:
             value = F.col(c.key)
             wanted[(c.ordinal, "count")] = F.count(value)
+            if c.kind in (NUMERIC, TEXT, TIME):
+                wanted[(c.ordinal, "smallest")] = F.min(value)
             if c.kind == NUMERIC:
                 wanted[(c.ordinal, "mean")] = F.avg(c.number())
-                wanted[(c.ordinal, "min")] = F.min(value).cast("double")
                 wanted[(c.ordinal, "max")] = F.max(value).cast("double")
                 wanted[(c.ordinal, "zeros")] = F.count_if(value == 0)
             elif c.kind == BOOLEAN:
@@ -140,6 +163,9 @@ class TableMetrics:
         return share(self.missing(c), self.row_count)
 
     def value(self, c: ColumnInfo, metric: str):
+        if metric == "min":
+            low = self._counts[(c.ordinal, "smallest")]
+            return None if low is None else float(low)
         return self._counts[(c.ordinal, metric)]
 
     def is_flat(self, c: ColumnInfo) -> bool:
@@ -294,7 +320,7 @@ class TableMetrics:
         return frequencies.frequency_summary(self.data, self._counted_as_text, totals)
 
     @cached_property
-    def _distinct(self) -> dict[int, int]:
+    def _fixed_distinct(self) -> dict[int, int]:
         if self.approx_distinct:
             return frequencies.approximate_distinct_counts(
                 self.data, [c for c in self.columns if c.kind != BOOLEAN]
@@ -302,17 +328,15 @@ class TableMetrics:
         fixed = [
             c for c in self.of_kind(NUMERIC, TIME) if frequencies.is_fixed_width(c)
         ]
-        found = frequencies.distinct_counts(self.data, fixed)
-        stats, _ = self._frequencies
-        for c in self._counted_as_text:
-            found[c.ordinal] = stats.get(c.ordinal, {}).get("distinct", 0)
-        return found
+        return frequencies.distinct_counts(self.data, fixed)
 
     def distinct(self, c: ColumnInfo) -> int:
         if c.kind == BOOLEAN:
             true = self.value(c, "true")
             return int(true > 0) + int(self.count(c) > true)
-        return self._distinct[c.ordinal]
+        if c.ordinal in self._fixed_distinct:
+            return self._fixed_distinct[c.ordinal]
+        return self._frequencies[0].get(c.ordinal, {}).get("distinct", 0)
 
     def rare_values(self, c: ColumnInfo) -> int | None:
         return self._frequencies[0].get(c.ordinal, {}).get("rare")
@@ -336,7 +360,12 @@ class TableMetrics:
             wanted = {c.ordinal: self._plain(c) for c in columns}
             return frequencies.first_values(self.data, wanted, limit, self._order(order_by))
         wanted = {c.ordinal: self._plain(c) for c in columns if c.kind != BOOLEAN}
-        found = frequencies.smallest_values(self.data, wanted, limit)
+        known = {
+            c.ordinal: self.value(c, "smallest")
+            for c in columns
+            if c.kind in (NUMERIC, TEXT, TIME)
+        }
+        found = frequencies.smallest_values(self.data, wanted, limit, known)
         texts = {i: [self._text(v) for v in values] for i, values in found.items()}
         for c in columns:
             if c.kind == BOOLEAN:
@@ -346,12 +375,7 @@ class TableMetrics:
         return texts
 
     def _plain(self, c: ColumnInfo) -> Column:
-        """Numbers as doubles, everything else as text that sorts like the value."""
-        if c.kind == OPAQUE:
-            return frequencies.text_value(c)
-        if c.kind == TIME:
-            return F.date_format(F.col(c.key), "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        return F.col(c.key)
+        return frequencies.text_value(c) if c.kind == OPAQUE else F.col(c.key)
 
     @staticmethod
     def _text(value) -> str:
@@ -365,7 +389,8 @@ class TableMetrics:
             if self.outlier(c, "count")
         }
         if order_by is None:
-            return frequencies.smallest_values(self.data, wanted, limit)
+            known = {c.ordinal: self.outlier(c, "min") for c in self.numeric if c.ordinal in wanted}
+            return frequencies.smallest_values(self.data, wanted, limit, known)
         found = frequencies.first_values(self.data, wanted, limit, self._order(order_by))
         return {i: [float(v) for v in values] for i, values in found.items()}
 

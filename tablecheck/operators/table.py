@@ -77,7 +77,10 @@ def spread_if_small(data: DataFrame, limit: int = SMALL_INPUT_BYTES) -> tuple[Da
     if not data.columns or estimated_bytes(data) > limit:
         return data, False
     cores = data.sparkSession.sparkContext.defaultParallelism
-    return data.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK), True
+    # by value: no sort as for round-robin, and grouping whole rows needs no second shuffle
+    plain = [f.name for f in data.schema.fields if kind_of(f.dataType) != OPAQUE]
+    spread = data.repartition(cores, *plain) if plain else data.repartition(cores)
+    return spread.persist(StorageLevel.MEMORY_AND_DISK), True
 
 
 def collect_aggregates(
@@ -110,6 +113,15 @@ def merged(run, chunks: list) -> dict:
     return result
 
 
+def side_by_side(tasks: list, first=None) -> None:
+    """Run driver-side tasks in threads, so that their Spark jobs share the cluster."""
+    if first is not None:
+        first()
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        for done in [pool.submit(t) for t in tasks]:
+            done.result()
+
+
 def stacked(data: DataFrame, values: dict[int, Column], per_row: str = "x") -> DataFrame:
     """Long frame ``(i, x)`` of several columns; ``i`` is the column ordinal."""
     wide = data.select(*[v.alias(f"v{i}") for i, v in values.items()])

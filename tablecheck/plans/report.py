@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecheck.operators.metrics import TableMetrics
+from tablecheck.operators.metrics import PROFILE_CHAINS, TableMetrics
+from tablecheck.operators.table import side_by_side
 from tablecheck.plans import eda, profile, recommend, rules, schema
 from tablecheck.session import settled, small_frame
 
@@ -43,7 +43,7 @@ class QualityReport:
 
     @cached_property
     def column_profile(self) -> DataFrame:
-        return profile.column_profile(self.metrics)
+        return profile.column_profile(self.metrics.prefetch(PROFILE_CHAINS))
 
     @cached_property
     def table_profile(self) -> DataFrame:
@@ -156,23 +156,38 @@ class QualityReport:
         return eda.insights(self.metrics)
 
     def prefetch(self) -> "QualityReport":
-        """Run the independent passes side by side so that the cluster stays busy."""
-        m = self.metrics
-        m.row_count
-        waves = (
-            ("_quartiles", "_frequencies", "_moments", "duplicate_rows"),
-            ("_outliers", "histograms", "_distinct", "_pair_sums", "co_missing"),
+        """Compute everything, independent parts at the same time."""
+        self.metrics.prefetch()
+        self.column_profile, self.table_profile, self._meaning
+        side_by_side(
+            [
+                lambda: self.score,
+                lambda: self.recommendations,
+                lambda: self.column_schema,
+                lambda: self.outlier_analysis,
+                lambda: self._log_sections,
+            ]
         )
-        with ThreadPoolExecutor(max_workers=5) as pool:
-            for wave in waves:
-                list(pool.map(lambda name: getattr(m, name), wave))
+        self.summary
         return self
 
+    @cached_property
+    def _log_sections(self) -> dict[str, DataFrame]:
+        m, found = self.metrics, {}
+        if m.column("status") is not None:
+            found["status_distribution"] = settled(profile.top_statuses(m))
+        for name in ("ip", "endpoint"):
+            if m.column(name) is not None:
+                found[f"top_{name}s"] = settled(profile.top_log_values(m, name))
+        if m.column("timestamp") is not None:
+            found["time_span"] = settled(profile.time_span(m))
+        return found
+
     # ------------------------------------------------------------ one row
 
     def sections(self) -> dict[str, DataFrame]:
         """Every section by name. All of them are metric frames, none holds data rows."""
-        m = self.metrics
+        m = self.prefetch().metrics
         found = {
             "quality_score": self.score,
             "table": self.table_profile,
@@ -195,13 +210,7 @@ class QualityReport:
             "co_missing_pairs": self.co_missing_pairs,
             "insights": self.insights,
         }
-        if m.column("status") is not None:
-            found["status_distribution"] = profile.top_statuses(m)
-        for name in ("ip", "endpoint"):
-            if m.column(name) is not None:
-                found[f"top_{name}s"] = profile.top_log_values(m, name)
-        if m.column("timestamp") is not None:
-            found["time_span"] = profile.time_span(m)
+        found.update(self._log_sections)
         if self.parse_report is not None:
             found["parse_report"] = self.parse_report
         if self.source:
@@ -211,9 +220,20 @@ class QualityReport:
 
     def as_frame(self) -> DataFrame:
         """The report as one row: a struct per one-row section, an array per list."""
+        return self._one_row
+
+    @cached_property
+    def _one_row(self) -> DataFrame:
         row, fields = {}, []
-        for name, frame in self.sections().items():
-            items = [r.asDict(recursive=True) for r in frame.collect()]
+        sections = self.sections()
+        rows: dict = {}
+
+        def collect(name):
+            rows[name] = [r.asDict(recursive=True) for r in sections[name].collect()]
+
+        side_by_side([lambda n=n: collect(n) for n in sections])
+        for name, frame in sections.items():
+            items = rows[name]
             if name in ONE_ROW_SECTIONS:
                 row[name] = items[0] if items else None
                 fields.append(T.StructField(name, frame.schema))
