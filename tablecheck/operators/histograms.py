@@ -23,22 +23,21 @@ def bin_edges(count: int, low: float, high: float) -> np.ndarray | None:
     return np.linspace(low, high, min(MAX_BINS, count // 5) + 1)
 
 
-def bin_index(value: Column, edges: np.ndarray) -> Column:
+def bin_index(value: Column, low: Column, high: Column, bins: Column) -> Column:
     """Bin of a value: the scaled guess, moved one step where the edges disagree.
 
-    Every bin is closed on the left; the last one also on the right.
+    Every bin is closed on the left; the last one also on the right. Edges follow the
+    same arithmetic as evenly spaced numpy edges, so they are equal to the last bit.
     """
-    bins = len(edges) - 1
-    low, high = float(edges[0]), float(edges[-1])
     step = (high - low) / bins
-    guess = F.floor((value - low) / F.lit(high - low) * bins).cast("int")
-    guess = F.greatest(F.lit(0), F.least(guess, F.lit(bins - 1)))
-    # the same arithmetic as evenly spaced numpy edges, so equal to the last bit
-    left = guess * F.lit(step) + F.lit(low)
-    right = (guess + 1) * F.lit(step) + F.lit(low)
-    moved = guess - (value < left).cast("int")
-    moved = moved + ((guess < bins - 1) & (value >= right)).cast("int")
-    return F.when(value.isNotNull(), moved)
+    guess = F.floor((value - low) / (high - low) * bins).cast("int")
+    guess = F.greatest(F.lit(0), F.least(guess, bins - 1))
+    left, right = guess * step + low, (guess + 1) * step + low
+    return (
+        F.when(value < left, guess - 1)
+        .when((guess < bins - 1) & (value >= right), guess + 1)
+        .otherwise(guess)
+    )
 
 
 def histogram_counts(
@@ -51,8 +50,19 @@ def histogram_counts(
     chunks = [wanted[k:k + COLUMNS_PER_JOB] for k in range(0, len(wanted), COLUMNS_PER_JOB)]
 
     def run(chunk):
-        bins = {c.ordinal: bin_index(c.number(), edges[c.ordinal]) for c in chunk}
-        rows = stacked(data, bins, "bin").groupBy("i", "bin").agg(F.count("*").alias("n"))
+        # one small expression for all columns, with the range looked up per column
+        size = chunk[-1].ordinal + 1
+        low, high, bins = [0.0] * size, [1.0] * size, [1] * size
+        for c in chunk:
+            e = edges[c.ordinal]
+            low[c.ordinal], high[c.ordinal] = float(e[0]), float(e[-1])
+            bins[c.ordinal] = len(e) - 1
+        place = F.col("i")
+        bin_of = bin_index(
+            F.col("x"), *[F.get(F.lit(v), place) for v in (low, high, bins)]
+        )
+        long = stacked(data, {c.ordinal: c.number() for c in chunk})
+        rows = long.groupBy("i", bin_of.alias("bin")).agg(F.count("*").alias("n"))
         return {(r.i, r.bin): r.n for r in rows.collect()}
 
     counted = merged(run, chunks)

@@ -61,7 +61,8 @@ def parse_delimited(
 ) -> tuple[DataFrame, DataFrame]:
     """Like :func:`read_delimited` for records that are already a ``value`` column."""
     cells = F.from_csv("value", _cell_schema(names), _options(separator))
-    return _split_rejects(lines.select(cells.alias("row")).select("row.*"), names, separator)
+    # as a generator, so that each record is parsed once and not once per column
+    return _split_rejects(lines.select(F.inline(F.array(cells))), names, separator)
 
 
 def _options(separator: str) -> dict[str, str]:

@@ -49,8 +49,9 @@ def parse_json_lines(
     schema = schema or json_line_schema(text)
     kind = F.expr("schema_of_variant(try_parse_json(value))")
     is_object = F.coalesce(kind.like("OBJECT<%"), F.lit(False))
-    good = text.where(is_object).withColumn("row", F.from_json("value", schema))
-    return good.select(*keep, "row.*"), text.where(~is_object)
+    # as a generator, so that each record is parsed once and not once per column
+    rows = F.inline(F.array(F.from_json("value", schema)))
+    return text.where(is_object).select(*keep, rows), text.where(~is_object)
 
 
 def parse_json_documents(
@@ -62,5 +63,4 @@ def parse_json_documents(
         items = F.expr("try_variant_get(v, '$', 'array<variant>')")
         one = F.array(F.col("v"))
         schema = _merged_schema(parsed.select(F.explode(F.coalesce(items, one)).alias("v")))
-    rows = F.from_json("value", f"ARRAY<{schema}>")
-    return parsed.select(*keep, F.explode(rows).alias("row")).select(*keep, "row.*")
+    return parsed.select(*keep, F.inline(F.from_json("value", f"ARRAY<{schema}>")))
