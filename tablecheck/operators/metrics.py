@@ -43,13 +43,8 @@ from tablecheck.operators.table import (
 QUARTILES = (0.25, 0.5, 0.75)
 
 # Passes that may run side by side; within a chain the later ones use the earlier ones.
-PROFILE_CHAINS = (
-    ("_quartiles", "_outliers"),
-    ("_frequencies",),
-    ("_fixed_distinct",),
-    ("_moments",),
-    ("duplicate_rows",),
-)
+RULE_CHAINS = (("_frequencies",), ("_fixed_distinct",), ("duplicate_rows",))
+PROFILE_CHAINS = (("_quartiles", "_outliers"), ("_moments",), *RULE_CHAINS)
 STATISTIC_CHAINS = (("_pair_sums",), ("histograms",), ("co_missing",))
 RANK_COLUMNS_PER_JOB = 64
 

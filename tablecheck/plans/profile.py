@@ -28,17 +28,31 @@ TABLE_PROFILE = """
 """
 
 
+def column_basics(metrics: TableMetrics) -> DataFrame:
+    """What the generated rules need; spares the passes for quantiles and moments."""
+    rows = [_basics(metrics, c) for c in metrics.columns]
+    return small_frame(
+        metrics.spark, rows,
+        "ordinal int, column string, kind string, missing_count bigint, "
+        "missing_pct double, unique_count bigint",
+    )
+
+
+def _basics(metrics: TableMetrics, c) -> dict:
+    return {
+        "ordinal": c.ordinal,
+        "column": c.name,
+        "kind": c.kind,
+        "missing_count": metrics.missing(c),
+        "missing_pct": metrics.missing_pct(c),
+        "unique_count": metrics.distinct(c),
+    }
+
+
 def column_profile(metrics: TableMetrics) -> DataFrame:
     rows = []
     for c in metrics.columns:
-        row = {
-            "ordinal": c.ordinal,
-            "column": c.name,
-            "kind": c.kind,
-            "missing_count": metrics.missing(c),
-            "missing_pct": metrics.missing_pct(c),
-            "unique_count": metrics.distinct(c),
-        }
+        row = _basics(metrics, c)
         if metrics.count(c):
             row.update(_kind_profile(metrics, c))
         rows.append(row)

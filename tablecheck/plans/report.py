@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecheck.operators.metrics import PROFILE_CHAINS, TableMetrics
+from tablecheck.operators.metrics import PROFILE_CHAINS, RULE_CHAINS, TableMetrics
 from tablecheck.operators.table import side_by_side
 from tablecheck.plans import eda, profile, recommend, rules, schema
 from tablecheck.session import settled, small_frame
@@ -45,6 +45,13 @@ class QualityReport:
     def column_profile(self) -> DataFrame:
         return profile.column_profile(self.metrics.prefetch(PROFILE_CHAINS))
 
+    @cached_property
+    def _rule_facts(self) -> DataFrame:
+        """Custom rules may ask for any metric, generated ones need few."""
+        if self.custom_rules or "column_profile" in self.__dict__:
+            return self.column_profile
+        return profile.column_basics(self.metrics.prefetch(RULE_CHAINS))
+
     @cached_property
     def table_profile(self) -> DataFrame:
         return profile.table_profile(self.metrics)
@@ -69,7 +76,7 @@ class QualityReport:
     def rules(self) -> DataFrame:
         return settled(
             rules.generate_rules(
-                self.column_profile, self._meaning, self.table_profile, self.limits
+                self._rule_facts, self._meaning, self.table_profile, self.limits
             )
         )
 
@@ -77,7 +84,7 @@ class QualityReport:
     def rule_results(self) -> DataFrame:
         return settled(
             rules.evaluate_rules(
-                self.rules, self.column_profile, self.table_profile, self.custom_rules
+                self.rules, self._rule_facts, self.table_profile, self.custom_rules
             )
         )
 
@@ -91,7 +98,7 @@ class QualityReport:
 
     @cached_property
     def column_issues(self) -> DataFrame:
-        return rules.column_issues(self.column_profile)
+        return rules.column_issues(self._rule_facts)
 
     @cached_property
     def recommendations(self) -> DataFrame:
@@ -158,7 +165,7 @@ class QualityReport:
     def prefetch(self) -> "QualityReport":
         """Compute everything, independent parts at the same time."""
         self.metrics.prefetch()
-        self.column_profile, self.table_profile, self._meaning
+        self.column_profile, self.table_profile, self._meaning, self._rule_facts
         side_by_side(
             [
                 lambda: self.score,
