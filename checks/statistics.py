@@ -528,10 +528,10 @@ def quantiles(spark, sf):
     return quantile_frame(spark, sf)
 
 
-def quantile_frame(spark, sf):
+def quantile_frame(spark, sf, **bounds):
     m = metrics_of(spark, sf, "lineitem")
     probabilities = (0.01, 0.25, 0.5, 0.75, 0.99)
-    found = m.quantiles(m.numeric, probabilities)
+    found = m.quantiles(m.numeric, probabilities, **bounds)
     rows = [
         {"column": c.name, **{n: found[c.ordinal][p] for n, p in zip(QS, probabilities)}}
         for c in m.numeric
@@ -546,14 +546,7 @@ def quantile_frame(spark, sf):
 )
 def quantiles_by_refinement(spark, sf):
     """The way of large tables, forced by tiny bounds: several rounds of narrowing."""
-    from tablecheck.operators import ranks
-
-    kept = ranks.FETCH_BUDGET, ranks.SAMPLE_ROWS
-    ranks.order_statistics.__defaults__ = (2_000, 1_000)
-    try:
-        return quantile_frame(spark, sf)
-    finally:
-        ranks.order_statistics.__defaults__ = kept
+    return quantile_frame(spark, sf, fetch_budget=2_000, sample_rows=1_000)
 
 
 # ------------------------------------------------------------------ correlation
@@ -600,20 +593,14 @@ def pearson(spark, sf):
 )
 def pearson_by_blocks(spark, sf):
     """The way of wide tables: Gram blocks per task."""
-    from tablecheck.operators import relations
-
-    kept, relations.WIDE_SUM_COLUMNS = relations.WIDE_SUM_COLUMNS, 1
-    try:
-        rows = []
-        for name in ("dirty_orders", "lineitem"):
-            m = metrics_of(spark, sf, name)
-            rows += [
-                {"col1": a.name, "col2": b.name, "correlation": m.correlation(a, b)}
-                for i, a in enumerate(m.numeric) for b in m.numeric[i + 1:]
-            ]
-            m.release()
-    finally:
-        relations.WIDE_SUM_COLUMNS = kept
+    rows = []
+    for name in ("dirty_orders", "lineitem"):
+        m = metrics_of(spark, sf, name, wide_sum_columns=1)
+        rows += [
+            {"col1": a.name, "col2": b.name, "correlation": m.correlation(a, b)}
+            for i, a in enumerate(m.numeric) for b in m.numeric[i + 1:]
+        ]
+        m.release()
     flat = small_frame(spark, rows, "col1 string, col2 string, correlation double")
     return flat.select("col1", "col2", *r4("correlation"))
 

@@ -73,6 +73,8 @@ class TableMetrics:
     ``approx_distinct`` replaces exact distinct counts by HyperLogLog estimates.
     ``verify_duplicates=False`` trusts 128-bit row fingerprints on large tables.
     ``spread=False`` never keeps a small input in memory between passes.
+    ``wide_sum_columns`` is the number of numeric columns up to which correlations use
+    plain aggregates.
     """
 
     def __init__(
@@ -81,6 +83,7 @@ class TableMetrics:
         approx_distinct: bool = False,
         verify_duplicates: bool = True,
         spread: bool = True,
+        wide_sum_columns: int = relations.WIDE_SUM_COLUMNS,
     ):
         self.spark = df.sparkSession
         self.columns = describe_columns(df)
@@ -88,6 +91,7 @@ class TableMetrics:
         self.verify_duplicates = verify_duplicates
         self.source = df
         self._spread = spread
+        self._wide_sum_columns = wide_sum_columns
 
     # ------------------------------------------------------------ inputs
 
@@ -228,8 +232,13 @@ class TableMetrics:
 
     # ------------------------------------------------------------ quantiles
 
-    def quantiles(self, columns: list[ColumnInfo], probabilities) -> dict[int, dict]:
-        """Exact quantiles with linear interpolation: ``ordinal -> {p: value}``."""
+    def quantiles(
+        self, columns: list[ColumnInfo], probabilities, **bounds
+    ) -> dict[int, dict]:
+        """Exact quantiles with linear interpolation: ``ordinal -> {p: value}``.
+
+        ``bounds`` go to :func:`tablecheck.operators.ranks.order_statistics`.
+        """
         out: dict[int, dict] = {}
         filled = [c for c in columns if self.count(c)]
         for start in range(0, len(filled), RANK_COLUMNS_PER_JOB):
@@ -243,7 +252,7 @@ class TableMetrics:
                 for i, p in places.items()
             }
             values = stacked(self.data, {c.ordinal: c.number() for c in chunk})
-            found = ranks.order_statistics(values, counts, wanted)
+            found = ranks.order_statistics(values, counts, wanted, **bounds)
             for i, p in places.items():
                 out[i] = {
                     q: ranks.interpolate(found[i][low], found[i][high], weight)
@@ -400,7 +409,9 @@ class TableMetrics:
         centred = self.data.select(
             *[self._centred(c).alias(f"v{c.ordinal}") for c in shaped]
         )
-        return relations.pair_sums(centred, [c.ordinal for c in shaped])
+        return relations.pair_sums(
+            centred, [c.ordinal for c in shaped], self._wide_sum_columns
+        )
 
     def correlation(self, a: ColumnInfo, b: ColumnInfo) -> float | None:
         """Pearson over rows where both are present; None when undefined."""

@@ -31,7 +31,9 @@ def bit_masks(flags: dict[int, Column]) -> list[Column]:
     return masks
 
 
-def pair_sums(centred: DataFrame, ordinals: list[int]) -> dict:
+def pair_sums(
+    centred: DataFrame, ordinals: list[int], wide_sum_columns: int = WIDE_SUM_COLUMNS
+) -> dict:
     """``(i, j) -> sums over rows where both are present`` for all ``i < j``.
 
     ``centred`` has one double column ``v<i>`` per ordinal, shifted by its mean so that
@@ -39,7 +41,7 @@ def pair_sums(centred: DataFrame, ordinals: list[int]) -> dict:
     """
     if len(ordinals) < 2:
         return {}
-    if len(ordinals) <= WIDE_SUM_COLUMNS:
+    if len(ordinals) <= wide_sum_columns:
         return _sums_by_null_pattern(centred, ordinals)
     return _sums_by_gram_blocks(centred, ordinals)
 
