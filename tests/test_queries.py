@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+import checks
 from checks.compare import compare, connection
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -19,7 +20,7 @@ def con():
     return connection(SF_DIR)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SCALE_BOUND])
+@pytest.mark.parametrize("name", [n for n in checks.load_all()[0] if n not in SCALE_BOUND])
 def test_query(spark, con, name):
     ok, text = compare(spark, con, SF_DIR, QUERIES[name], SQL.get(name))
     assert ok, text
