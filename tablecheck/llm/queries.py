@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablecheck.llm import exact_dedup, line_dedup, quality_rules
+from tablecheck.llm import (
+    exact_dedup,
+    line_dedup,
+    quality_classifier,
+    quality_rules,
+    toxicity,
+)
 from tablecheck.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +107,17 @@ def op2(spark, sf):
 )
 def op9(spark, sf):
     return exact_dedup.groups(read_table(spark, sf, "documents"))
+
+
+@query("op8_quality_classifier")
+def op8(spark, sf):
+    return quality_classifier.quality_scores(
+        read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
+    )
+
+
+@query("op10_toxicity")
+def op10(spark, sf):
+    return toxicity.toxicity_scores(
+        read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
+    )
