@@ -72,6 +72,14 @@ def base_figures(docs: DataFrame) -> DataFrame:
         lambda total, x: total + x,
     )
     some = F.size(F.array_distinct("_windows")) < F.size("_windows")
+    figures = [
+        F.col("_n").cast("long").alias("n_words"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.size("_lines").cast("long").alias("n_lines"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+    ]
     return (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
         .withColumn("_words", words)
@@ -88,18 +96,8 @@ def base_figures(docs: DataFrame) -> DataFrame:
             ),
         )
         .withColumn("_starts", F.array_sort(F.transform(repeats, lambda x: x["i"])))
-        .select(
-            "doc_id",
-            "_text",
-            F.col("_n").cast("long").alias("n_words"),
-            F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-            F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-            F.size("_lines").cast("long").alias("n_lines"),
-            (F.size("_lines") - F.size(F.array_distinct("_lines")))
-            .cast("long")
-            .alias("n_dup_lines"),
-            F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        )
+        # behind a generator, so that filters on the figures do not repeat their expressions
+        .select("doc_id", "_text", F.inline(F.array(F.struct(*figures))))
         .withColumn("base_failed", base_failed())
     )
 

@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablecheck.llm import (
     exact_dedup,
+    jaccard_join,
     line_dedup,
+    mixing,
+    packing,
+    private_data,
     quality_classifier,
     quality_rules,
     toxicity,
@@ -121,3 +125,49 @@ def op10(spark, sf):
     return toxicity.toxicity_scores(
         read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
     )
+
+
+@query("op4_mixing")
+def op4(spark, sf):
+    return mixing.mixture(read_table(spark, sf, "documents"))
+
+
+@query("op5_personal_data")
+def op5(spark, sf):
+    return private_data.personal_data(read_table(spark, sf, "documents")).drop("_terms")
+
+
+@query("op7_packing")
+def op7(spark, sf):
+    return packing.packed(read_table(spark, sf, "documents"))
+
+
+@query(
+    "op6_jaccard_join",
+    r"""WITH RECURSIVE words AS (
+      SELECT doc_id, list_filter(
+        regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w
+      FROM documents),
+    shingles AS (
+      SELECT DISTINCT doc_id, s FROM (
+        SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
+          WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+          ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+          END) AS s FROM words)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+      FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (
+      SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+      WHERE 100 * k >= 90 * (x.n + y.n - k)),
+    reach AS (
+      SELECT a AS doc_id, b AS other FROM links
+      UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+    SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, min(other)) AS component_id
+    FROM words w LEFT JOIN sizes s USING (doc_id) LEFT JOIN reach r USING (doc_id)
+    GROUP BY w.doc_id, n""",
+)
+def op6(spark, sf):
+    return jaccard_join.near_equal(read_table(spark, sf, "documents")).drop("_id", "_tag")

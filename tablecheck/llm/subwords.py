@@ -57,8 +57,9 @@ def labelled_sample(
 ) -> tuple[list[tuple[str, int]], tuple[int, int]]:
     """At most ``per_class`` whole texts of each label, and the counts of both labels over all rows.
 
-    Held-out rows are never read. The sample takes the smallest hashes of doc_id among documents of
-    at most ``max_chars`` characters, so it has a bound in rows and in bytes.
+    Held-out rows are never read. Twice ``per_class`` ids of each label are taken by the smallest
+    hashes of doc_id; of those documents, the ones of at most ``max_chars`` characters come to the
+    driver, so the sample has a bound in rows and in bytes, and the broadcast ids have one too.
     """
     known = (
         labels.where((remainder(modulus) != held_out) & F.col(label).isin(0, 1))
@@ -66,15 +67,23 @@ def labelled_sample(
         .agg(F.max(label).cast("int").alias("_label"))
     )
     counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
-    short = docs.where(F.length("text") <= max_chars).select("doc_id", "text")
-    rows = []
-    for value in (0, 1):
-        some = (
-            short.join(known.where(F.col("_label") == value), "doc_id")
-            .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-            .limit(per_class)
-        )
-        rows += [(r["text"], value) for r in some.select("text").collect()]
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    picked = [
+        known.where(F.col("_label") == y).orderBy(*order).limit(2 * per_class) for y in (0, 1)
+    ]
+    found = (
+        docs.where(F.length("text") <= max_chars)
+        .select("doc_id", "text")
+        .join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id")
+        .groupBy("doc_id", "_label")
+        .agg(F.min("text").alias("text"))
+        .select(F.xxhash64("doc_id").alias("_order"), "doc_id", "text", "_label")
+        .collect()
+    )
+    found.sort()
+    rows = [
+        (r["text"], y) for y in (0, 1) for r in [x for x in found if x["_label"] == y][:per_class]
+    ]
     return rows, (counts.get(0, 0), counts.get(1, 0))
 
 
