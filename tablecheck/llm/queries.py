@@ -15,6 +15,7 @@ from tablecheck.llm import (
     private_data,
     quality_classifier,
     quality_rules,
+    repeated_bytes,
     toxicity,
 )
 from tablecheck.llm.common import read_table
@@ -147,7 +148,8 @@ def op7(spark, sf):
     r"""WITH RECURSIVE words AS (
       SELECT doc_id, list_filter(
         regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-          'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w
+          'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w
       FROM documents),
     shingles AS (
       SELECT DISTINCT doc_id, s FROM (
@@ -171,3 +173,8 @@ def op7(spark, sf):
 )
 def op6(spark, sf):
     return jaccard_join.near_equal(read_table(spark, sf, "documents")).drop("_id", "_tag")
+
+
+@query("op3_repeated_bytes")
+def op3(spark, sf):
+    return repeated_bytes.without_repeats(read_table(spark, sf, "documents"))
