@@ -1,16 +1,17 @@
 """N-gram Jaccard join by a token-group matrix, as components of near-equal documents.
 
 Documents with equal shingle sets collapse to one set. Sets with the same two min-hashes form a
-group; every member is compared with its group's leader and linked ones are one group from then on,
-so a crowd of near copies costs one comparison each. The matrix then stores, for every token, the
-groups whose union holds it (with the range of set sizes). A query set is bounded against a group by
-the tokens that it shares with the union, and only groups that can still hold a partner are opened
-and compared member by member.
-
-Only the first tokens of a set enter the matrix, in one order for all sets: frequent tokens last,
-else by hash. Two sets that link share at least ``least`` of their first
+group. The matrix stores, for every token, the groups whose union holds it (with the range of set
+sizes). A query set is bounded against a group by the tokens that it shares with the union, and only
+groups that can still hold a partner qualify. First the query set meets up to four pivots of its own
+and each qualifying group; sets linked so far are one group from then on, so a crowd of near copies
+costs a few comparisons each. Then the matrix is made again from these groups, and the ones that
+qualify for a set outside them are opened and compared member by member.
+
+Only the first tokens of a set enter the matrix, in one order for all sets: by frequency class,
+then by hash. Two sets that link share at least ``least`` of their first
 ``n - ceil(share * n) + least`` tokens, so no link is lost whatever the order is. The list of frequent
-tokens (at most ``FREQUENT``, counted over all documents) only keeps the matrix thin.
+tokens (at most ``FREQUENT``, from all documents) only keeps the matrix thin.
 
 Shingles are compared as 64-bit hashes. Defined cases: null text and text without words has the
 empty set and is linked with nothing; fewer words than a shingle count as one shingle. Null ids sort
@@ -32,9 +33,10 @@ from pyspark.sql import functions as F
 from tablecheck.llm.common import NO_ID, identity, texts, written
 
 SIZE, PERCENT = 3, 90
-FREQUENT = 1 << 16
-LOCAL_COUNT = 8  # documents of a task that share a token before it is reported as frequent
+FREQUENT = 1 << 18
+LOCAL_COUNT = 3  # documents of a task that share a token before it is reported as frequent
 CACHED_WORDS = 300_000
+BROADCAST_IDS = 500_000  # ids of texts to compare that are sent to all tasks; more go by shuffle
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -87,7 +89,9 @@ def _frequent(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         )
 
 
-def _scanned(batches, size: int, percent: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _scanned(
+    batches, size: int, percent: int, frequent: np.ndarray, rank: np.ndarray
+) -> Iterator[pa.RecordBatch]:
     shingles = Shingles(size)
     for batch in batches:
         counts, digests, leads, least, first = [], [], [], [], []
@@ -103,13 +107,14 @@ def _scanned(batches, size: int, percent: int, frequent: np.ndarray) -> Iterator
                 continue
             two = (mixed(found).min(), mixed(found * M2).min())
             leads.append(zlib.crc32(np.array(two).tobytes()) << 31 | int(two[0] >> np.uint64(33)))
-            must = 1 + n // 20
+            must = 1 + n // 50
             least.append(must)
             # frequent tokens last; found is sorted, which is the order by hash
             if len(frequent):
                 place = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
                 often = frequent[place] == found
-                found = np.concatenate([found[~often], found[often]])
+                later = found[often][np.argsort(rank[place[often]])]
+                found = np.concatenate([found[~often], later])
             length = min(n, n - -(-percent * n // 100) + must)
             first.append(found[:length].view(np.int64))
         yield pa.RecordBatch.from_arrays(
@@ -138,11 +143,11 @@ def _verified(batches, size: int, percent: int) -> Iterator[pa.RecordBatch]:
 
 def _linked_pairs(pairs: DataFrame, sets: DataFrame, source: DataFrame, size: int, percent: int):
     """Of the candidate pairs (a, b) those that link, from the whole texts of both."""
-    needed = written(
-        pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(sets, "sid")
-        .select("sid", "_id", "_tag")
-    )
-    whole = source.join(needed, ["_id", "_tag"]).select("sid", "text")
+    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    needed = written(ids.join(sets, "sid").select("sid", "_id", "_tag"))
+    few = needed.count() <= BROADCAST_IDS
+    whole = source.join(F.broadcast(needed) if few else needed, ["_id", "_tag"])
+    whole = whole.select("sid", "text")
     return written(
         pairs.join(whole.toDF("a", "text_a"), "a")
         .join(whole.toDF("b", "text_b"), "b")
@@ -151,6 +156,30 @@ def _linked_pairs(pairs: DataFrame, sets: DataFrame, source: DataFrame, size: in
     )
 
 
+def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
+    """(sid, n, other): groups that may hold a partner of a set outside them.
+
+    rows: sid, n, least, grp, token of the tokens that at least two groups hold.
+    """
+    matrix = rows.groupBy("token", F.col("grp").alias("other")).agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("least").alias("few")
+    )
+    return (
+        rows.join(matrix, "token")
+        .where(f"grp <> other and 100 * high >= {percent} * n and 100 * n >= {percent} * low")
+        .groupBy("sid", "n", "other")
+        .agg(F.count("*").alias("hits"), F.min(F.least("least", "few")).alias("must"))
+        .where("hits >= must")
+        .select("sid", "n", "other")
+    )
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows whose token is held by at least two groups."""
+    held = rows.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y"))
+    return rows.join(held.where("x < y").select("token"), "token")
+
+
 def components(links_: DataFrame) -> DataFrame:
     """(node, root) of the nodes in links (a, b): the smallest node reachable, by repeated minima."""
     both = links_.select("a", "b").union(links_.select("b", "a")).distinct()
@@ -173,6 +202,15 @@ def components(links_: DataFrame) -> DataFrame:
             return state.withColumnRenamed("a", "node")
 
 
+def _ordered_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs a > b of rows (sid, b)."""
+    return written(
+        rows.where("sid <> b")
+        .select(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b"))
+        .distinct()
+    )
+
+
 def near_equal(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, _id, _tag."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *identity())
@@ -181,11 +219,13 @@ def near_equal(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
         .mapInArrow(lambda batches: _frequent(batches, size), "token long, n long")
         .groupBy("token").agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "token").limit(FREQUENT)  # a bound on the list, not on the links
-    )
-    frequent = np.sort(np.array([r["token"] for r in often.collect()], np.int64).view(np.uint64))
+    ).toArrow()
+    tokens = often.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    by_value = np.argsort(tokens)
+    frequent, rank = tokens[by_value], (len(tokens) - by_value).astype(np.int32)
     scanned = written(
         source.mapInArrow(
-            lambda batches: _scanned(batches, size, percent, frequent),
+            lambda batches: _scanned(batches, size, percent, frequent, rank),
             "doc_id long, _id long, _tag long, n long, digest binary, lead long, least int,"
             " first array<long>",
         )
@@ -200,39 +240,36 @@ def near_equal(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
         )
     )
     texts_ = source.select("_id", "_tag", "text")
-    # leaders: compare every member of a group with the group's first set
-    leaders = sets.groupBy("lead").agg(F.min("sid").alias("b"), F.count("*").alias("k"))
-    star = sets.join(leaders.where("k > 1"), "lead").where("sid <> b").select(F.col("sid").alias("a"), "b")
-    stars = _linked_pairs(written(star), sets, texts_, size, percent)
+    close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
+    rows = sets.select("sid", "n", "least", F.col("lead").alias("grp"), F.explode("first").alias("token"))
+    rows = written(_shared(rows))
+    pivots = sets.groupBy(F.col("lead").alias("other")).agg(
+        F.min("sid").alias("p0"), F.max("sid").alias("p1"),
+        F.min_by("sid", F.xxhash64("sid")).alias("p2"), F.max_by("sid", F.xxhash64("sid")).alias("p3"),
+    )
+    crowds = pivots.where("p0 < p1")
+    own = sets.join(crowds.select("other"), F.col("lead") == F.col("other")).select("sid", "n", "other")
+    first = _qualifying(rows, percent).union(own).join(pivots, "other")
+    first = first.select("sid", "n", F.explode(F.array_distinct(F.array("p0", "p1", "p2", "p3"))).alias("b"))
+    near = _ordered_pairs(
+        first.join(sets.select(F.col("sid").alias("b"), F.col("n").alias("m")), "b").where(close)
+    )
+    linked = _linked_pairs(near, sets, texts_, size, percent)
+    roots = components(linked)
     grouped = written(
-        sets.join(stars.withColumnRenamed("a", "sid"), "sid", "left").select(
-            "sid", "n", "least", "first", F.coalesce("b", "sid").alias("grp")
+        sets.select("sid", "n").join(roots, F.col("sid") == F.col("node"), "left").select(
+            "sid", "n", F.coalesce("root", "sid").alias("grp")
         )
     )
-    # the matrix: token -> groups whose union holds it
-    rows = grouped.select("sid", "n", "least", "grp", F.explode("first").alias("token"))
-    matrix = rows.groupBy("token", "grp").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("least").alias("few")
-    )
-    shared = matrix.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y"))
-    shared = shared.where("x < y").select("token")
-    open_ = (
-        rows.join(shared, "token")
-        .join(matrix.withColumnRenamed("grp", "other"), "token")
-        .where(f"grp <> other and 100 * high >= {percent} * n and 100 * n >= {percent} * low")
-        .groupBy("sid", "n", "other")
-        .agg(F.count("*").alias("hits"), F.min(F.least("least", "few")).alias("must"))
-        .where("hits >= must")
+    # sets that share a first token but were in one lead group are compared here too
+    again = sets.select("sid", "n", "least", F.explode("first").alias("token")).join(
+        grouped.select("sid", "grp"), "sid"
     )
+    open_ = _qualifying(written(_shared(again)), percent)
     members = grouped.select(F.col("grp").alias("other"), F.col("sid").alias("b"), F.col("n").alias("m"))
-    pairs = written(
-        open_.join(members, "other")
-        .where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-        .select(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b"))
-        .distinct()
-    )
-    crossed = _linked_pairs(pairs, sets, texts_, size, percent)
-    roots = components(written(stars.union(crossed)))
+    far = _ordered_pairs(open_.join(members, "other").where(close)).join(near, ["a", "b"], "left_anti")
+    crossed = _linked_pairs(written(far), sets, texts_, size, percent)
+    roots = components(written(linked.union(crossed)))
     placed = sets.join(roots, F.col("sid") == F.col("node"), "left").select(
         "digest", "n", "_id", F.coalesce("root", "sid").alias("root")
     )
