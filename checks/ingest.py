@@ -246,22 +246,22 @@ def parse_apache(spark, sf):
 @query(
     "a11b_parse_nginx",
     portable(
-        """WITH seen AS (SELECT *, event_id % 41 <> 0 AS good FROM web_log)
+        """WITH seen AS (
+          SELECT *, event_id % 41 <> 0 AND event_id % 3 <> 0 AS good FROM web_log)
         SELECT event_id, CASE WHEN good THEN ip END AS ip,
           CASE WHEN good THEN LOG_TIME(timestamp) || ' +0000' END AS timestamp,
           CASE WHEN good THEN method END AS method, CASE WHEN good THEN endpoint END AS endpoint,
           CASE WHEN good THEN CAST(status AS BIGINT) END AS status,
           CASE WHEN good THEN floor(coalesce(size, 0)) END AS size,
           CASE WHEN good THEN 'http://ref/' || event_id END AS referrer,
-          CASE WHEN good AND event_id % 3 <> 0 THEN 'agent/1.0 (x)' END AS user_agent
-        FROM seen WHERE NOT (good AND event_id % 3 = 0)"""
+          CASE WHEN good THEN 'agent/1.0 (x)' END AS user_agent
+        FROM seen"""
     ),
 )
 def parse_nginx(spark, sf):
     # an empty agent sits at the line end as "", which line clean-up folds to one quote,
-    # so such lines no longer match; they are left to the next query
-    rows = parsed(spark, sf, "nginx_lines", "nginx_access")
-    return rows.where((F.col("event_id") % 41 == 0) | (F.col("event_id") % 3 != 0))
+    # so such lines no longer match and give null columns
+    return parsed(spark, sf, "nginx_lines", "nginx_access")
 
 
 @query(
@@ -508,7 +508,7 @@ def input_warnings(spark, sf):
 @query("a23_parse_report")
 def parse_report(spark, sf):
     folder = scratch_folder(spark)
-    rows = table(spark, sf, "orders").where("o_orderkey >= 0")
+    rows = table(spark, sf, "orders")
     rows.write.option("header", True).option("sep", "|").csv(folder)
     loaded = loader.load(spark, folder, F.lit("2024-03-01 00:00:00").cast("timestamp"))
     return loaded.parse_report.drop("file_path")

@@ -129,12 +129,6 @@ def status_distribution(metrics: TableMetrics) -> DataFrame:
     return counted.withColumn("pct", pct)
 
 
-def top_statuses(metrics: TableMetrics, limit: int = 1000) -> DataFrame:
-    """The most frequent statuses for the report; :func:`status_distribution` has all."""
-    ranked = status_distribution(metrics).orderBy(F.desc("count"), "status")
-    return ranked.limit(limit)
-
-
 def top_log_values(metrics: TableMetrics, column: str, limit: int = 5) -> DataFrame:
     """Most frequent values of a log column, ties by value."""
     c = metrics.column(column)

@@ -182,7 +182,7 @@ class QualityReport:
     def _log_sections(self) -> dict[str, DataFrame]:
         m, found = self.metrics, {}
         if m.column("status") is not None:
-            found["status_distribution"] = settled(profile.top_statuses(m))
+            found["status_distribution"] = profile.status_distribution(m)
         for name in ("ip", "endpoint"):
             if m.column(name) is not None:
                 found[f"top_{name}s"] = settled(profile.top_log_values(m, name))
