@@ -3,11 +3,11 @@
 A worker tokenises word by word through a bounded cache (white space separates words for this
 tokenizer, so a text's ids are those of its words). Longer documents are cut into full pieces; the
 other pieces are packed in rounds. A round sorts pieces and gaps by size over ranges and sweeps each
-range from large to small: a gap is pushed on a stack, a piece takes the top, which is the smallest
-gap that holds it; a gap takes one piece a round. What a range leaves over is matched across ranges
-by rank: leftover gaps of earlier ranges hold every leftover piece of later ones, and the counts per
-range (two rows each) say which rank takes which. Then gaps are updated and the round repeats. When
-no piece fits any more, the largest pieces open as many sequences as their tokens need at least.
+range from large to small: a piece takes its successor among the gaps met so far, the smallest that
+holds it, and what is left of that gap stays open in the range. What a range leaves over is matched
+across ranges by rank: leftover gaps of earlier ranges hold every leftover piece of later ones, and
+the counts per range (two rows each) say which rank takes which. Then gaps are updated and the round
+repeats. When no piece fits any more, the largest pieces open as many sequences as their tokens need at least.
 
 Defined cases: null and empty text is the single end id. Rows are told apart by a number, so
 repeated rows and null ids are packed each for itself. An empty table gives no rows; extra columns
@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -108,7 +110,7 @@ def _sweep(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Reco
     """Pieces and gaps from large to small, gaps first; a piece takes the smallest gap open to it."""
     from pyspark import TaskContext
 
-    part, stack, waiting = TaskContext.get().partitionId(), [], 0
+    part, open_, waiting = TaskContext.get().partitionId(), [], 0  # open_: (room, sequence, new)
 
     def rows(found):
         kinds, keys, sizes, sequences, offsets, places = zip(*found)
@@ -126,20 +128,24 @@ def _sweep(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Reco
         found = []
         columns = (batch.column(c).to_pylist() for c in ("kind", "key", "size"))
         for kind, key, size in zip(*columns):
+            at = bisect_left(open_, (size,))
             if kind == 0:
-                stack.append((key, size))
-            elif stack:
-                sequence, room = stack.pop()
+                open_.insert(at, (size, key, True))
+            elif at < len(open_):
+                room, sequence, _ = open_.pop(at)
                 found.append((2, key, size, sequence, capacity - room, None))
                 if room > size:
-                    found.append((0, sequence, room - size, None, None, None))
+                    insort(open_, (room - size, sequence, False))
             else:
                 found.append((1, key, size, None, None, waiting))
                 waiting += 1
         if found:
             yield rows(found)
-    if stack:
-        yield rows([(0, *gap, None, None, place) for place, gap in enumerate(reversed(stack))])
+    # only gaps that came with this range are large enough for every piece of later ranges
+    places = count()
+    rest = [(0, key, room, None, None, next(places) if new else None) for room, key, new in open_]
+    if rest:
+        yield rows(rest)
 
 
 def _by_rank(summary) -> list[dict]:
@@ -166,8 +172,9 @@ def _by_rank(summary) -> list[dict]:
     return found
 
 
-def _round(state: DataFrame, rows: int, capacity: int) -> tuple[DataFrame, int]:
-    """One sweep over the waiting pieces and the gaps; the new rows and how many pieces it placed."""
+def _round(state: DataFrame, rows: int, capacity: int) -> tuple[DataFrame, int, int]:
+    """One sweep over the waiting pieces and the gaps; the new rows, how many pieces it placed and
+    how many rows are left at most."""
     spark = state.sparkSession
     n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_PER_RANGE))
     order = [F.desc("size"), F.asc("kind"), F.asc("key")]
@@ -182,9 +189,10 @@ def _round(state: DataFrame, rows: int, capacity: int) -> tuple[DataFrame, int]:
     )
     counts = counts.collect()  # a few rows per range
     placed = sum(r["n"] for r in counts if r["kind"] == 2)
+    left = sum(r["n"] for r in counts if r["kind"] < 2)
     pairs = _by_rank([r for r in counts if r["over"]])
     if not pairs:
-        return swept.selectExpr("kind", "key", "size", "sequence", "offset"), placed
+        return swept.selectExpr("kind", "key", "size", "sequence", "offset"), placed, left
     placed += sum(p["last"] - p["first"] + 1 for p in pairs)
     plan = small_frame(
         spark, pairs, "part int, first long, last long, source int, shift long"
@@ -221,7 +229,7 @@ def _round(state: DataFrame, rows: int, capacity: int) -> tuple[DataFrame, int]:
         )
     )
     drop_written(swept)
-    return both, placed
+    return both, placed, left
 
 
 def _opened(state: DataFrame, sizes: dict[int, int], capacity: int) -> DataFrame:
@@ -268,12 +276,13 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             break
         state = written(_opened(state, sizes, capacity))
         done.append(state.where("kind = 2").select("key", "sequence", "offset"))
-        while True:
-            least = state.where("kind = 1").agg(F.min("size"), F.count("*")).first()
-            if not least[1]:
-                break
-            usable = state.where((F.col("kind") == 1) | ((F.col("kind") == 0) & (F.col("size") >= least[0])))
-            state, placed = _round(usable, state.where("kind < 2").count(), capacity)
+        waiting = state.where("kind = 1").agg(F.min("size"), F.count("*")).first()
+        least, waits, rows = waiting[0], waiting[1], sum(sizes.values())
+        while waits:
+            # gaps below the smallest piece of this phase are closed
+            usable = state.where((F.col("kind") == 1) | ((F.col("kind") == 0) & (F.col("size") >= least)))
+            state, placed, rows = _round(usable, rows, capacity)
+            waits -= placed
             if not placed:
                 break
             done.append(state.where("kind = 2").select("key", "sequence", "offset"))
