@@ -101,6 +101,8 @@ class _Scorer:
         self.numbers, self.bias, self.known = numbers, bias, {}
 
     def learn(self, words: list[str]):
+        if not words:
+            return
         ids, owners = character_grams(words, GRAMS, BUCKETS)
         total = np.bincount(owners, self.numbers[BUCKETS + ids], len(words))
         total += self.numbers[word_buckets(words, BUCKETS)]
