@@ -1,17 +1,19 @@
 """N-gram Jaccard join by a token-group matrix, as components of near-equal documents.
 
-Documents with equal shingle sets collapse to one set. Sets with the same two min-hashes form a
-group. The matrix stores, for every token, the groups whose union holds it (with the range of set
-sizes). A query set is bounded against a group by the tokens that it shares with the union, and only
-groups that can still hold a partner qualify. First the query set meets up to four pivots of its own
-and each qualifying group; sets linked so far are one group from then on, so a crowd of near copies
-costs a few comparisons each. Then the matrix is made again from these groups, and the ones that
-qualify for a set outside them are opened and compared member by member.
-
-Only the first tokens of a set enter the matrix, in one order for all sets: by frequency class,
-then by hash. Two sets that link share at least ``least`` of their first
-``n - ceil(share * n) + least`` tokens, so no link is lost whatever the order is. The list of frequent
-tokens (at most ``FREQUENT``, from all documents) only keeps the matrix thin.
+Documents with equal shingle sets collapse to one set. The tokens of the matrix are parts of a set: the
+hash range is cut into ``k`` parts, and a token is the digest of all shingles of one part. Two sets that
+link differ in at most ``d`` shingles, so at least ``k - d`` of their parts are equal; single shingles of
+common passages, which half of a corpus may hold, never meet. ``k`` and ``d`` belong to a class of sizes;
+a set whose partners may be in the class below has the parts of that class too.
+
+1. Groups: each set is compared with two pivots, the sets that share most parts with it among the most
+   central set and the first set of every part. What links is one group, so a crowd of near copies
+   costs two comparisons each.
+2. Matrix: for every token the groups whose union holds it, with the range of set sizes. A set is bounded
+   against each other group by the tokens that it shares with the union.
+3. Groups that can still hold a partner are opened: members that share enough parts are compared.
+
+No link is lost by the bounds, and every comparison is of the whole sets.
 
 Shingles are compared as 64-bit hashes. Defined cases: null text and text without words has the
 empty set and is linked with nothing; fewer words than a shingle count as one shingle. Null ids sort
@@ -21,7 +23,6 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,7 @@ from pyspark.sql import functions as F
 from tablecheck.llm.common import NO_ID, identity, texts, written
 
 SIZE, PERCENT = 3, 90
-FREQUENT = 1 << 18
-LOCAL_COUNT = 3  # documents of a task that share a token before it is reported as frequent
+GROWTH = 1.5  # from the smallest size of a class to the next
 CACHED_WORDS = 300_000
 BROADCAST_IDS = 500_000  # ids of texts to compare that are sent to all tasks; more go by shuffle
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -78,55 +78,61 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    shingles = Shingles(size)
-    for batch in batches:
-        sets = [shingles.of(t) for t in texts(batch.column("text"))]
-        tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-        some = counts >= LOCAL_COUNT
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(tokens[some].view(np.int64)), pa.array(counts[some])], names=["token", "n"]
-        )
-
+def size_class(n: int, percent: int) -> tuple[int, int, int]:
+    """Smallest size of the class of ``n``; parts of its sets; differences that a link may have.
 
-def _scanned(
-    batches, size: int, percent: int, frequent: np.ndarray, rank: np.ndarray
-) -> Iterator[pa.RecordBatch]:
-    shingles = Shingles(size)
+    A linked pair is in the class of its smaller set, of less than ``high`` shingles.
+    """
+    low = high = 1
+    while high <= n:
+        low, high = high, max(high + 1, int(high * GROWTH))
+    # n + m - 2i of sets n, m with i in common, as i >= percent / (100 + percent) * (n + m)
+    most = (high - 1) * (100 + percent) * (100 - percent) // (percent * (100 + percent))
+    return low, most + 1 + most // 4, most
+
+
+def parts(found: np.ndarray, low: int, count: int, most: int) -> tuple[np.ndarray, int]:
+    """Tokens of a sorted set in the class of ``low``, and how many of them a linked set must share."""
+    edges = np.arange(count, dtype=np.uint64) * np.uint64((1 << 64) // count % (1 << 64))
+    starts = np.searchsorted(found, edges)
+    filled = np.diff(starts, append=len(found)) > 0
+    names = mixed(np.arange(count, dtype=np.uint64) + np.uint64(low << 32))
+    sums = np.add.reduceat(mixed(found * M2), starts[filled])
+    tokens = mixed((sums ^ names[filled]) * M2)
+    least = int(filled.sum()) - most
+    if least < 1:  # so few that only empty parts may be equal: these are tokens too
+        tokens = np.concatenate([tokens, mixed(names[~filled])])
+    return tokens, max(1, least)
+
+
+def _scanned(batches, size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    shingles, classes = Shingles(size), {}
+    nothing = np.zeros(0, np.uint64), 0
     for batch in batches:
-        counts, digests, leads, least, first = [], [], [], [], []
+        counts, digests, own, below = [], [], [], []
         for text in texts(batch.column("text")):
             found = shingles.of(text)
             n = len(found)
             counts.append(n)
             digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-            if not n:
-                leads.append(0)
-                least.append(0)
-                first.append([])
-                continue
-            two = (mixed(found).min(), mixed(found * M2).min())
-            leads.append(zlib.crc32(np.array(two).tobytes()) << 31 | int(two[0] >> np.uint64(33)))
-            must = 1 + n // 50
-            least.append(must)
-            # frequent tokens last; found is sorted, which is the order by hash
-            if len(frequent):
-                place = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-                often = frequent[place] == found
-                later = found[often][np.argsort(rank[place[often]])]
-                found = np.concatenate([found[~often], later])
-            length = min(n, n - -(-percent * n // 100) + must)
-            first.append(found[:length].view(np.int64))
+            if n not in classes:
+                here = size_class(n, percent) if n else None
+                under = n and percent * n <= 100 * (here[0] - 1)
+                classes[n] = here, size_class(here[0] - 1, percent) if under else None
+            here, under = classes[n]
+            own.append(parts(found, *here) if here else nothing)
+            below.append(parts(found, *under) if under else nothing)
         yield pa.RecordBatch.from_arrays(
             [
                 *(batch.column(c) for c in ("doc_id", "_id", "_tag")),
                 pa.array(counts, pa.int64()),
                 pa.array(digests, pa.binary()),
-                pa.array(leads, pa.int64()),
-                pa.array(least, pa.int32()),
-                pa.array(first, pa.list_(pa.int64())),
+                *(pa.array([x[0].view(np.int64) for x in y], pa.list_(pa.int64())) for y in (own, below)),
+                *(pa.array([x[1] for x in y], pa.int32()) for y in (own, below)),
+            ],
+            names=[
+                "doc_id", "_id", "_tag", "n", "digest", "own", "below", "least_own", "least_below",
             ],
-            names=["doc_id", "_id", "_tag", "n", "digest", "lead", "least", "first"],
         )
 
 
@@ -157,21 +163,54 @@ def _linked_pairs(pairs: DataFrame, sets: DataFrame, source: DataFrame, size: in
 
 
 def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
-    """(sid, n, other): groups that may hold a partner of a set outside them.
+    """(sid, other): groups that may hold a partner of a set outside them.
 
     rows: sid, n, least, grp, token of the tokens that at least two groups hold.
     """
     matrix = rows.groupBy("token", F.col("grp").alias("other")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("least").alias("few")
+        F.min("n").alias("low"), F.max("n").alias("high")
     )
     return (
         rows.join(matrix, "token")
         .where(f"grp <> other and 100 * high >= {percent} * n and 100 * n >= {percent} * low")
-        .groupBy("sid", "n", "other")
-        .agg(F.count("*").alias("hits"), F.min(F.least("least", "few")).alias("must"))
+        .groupBy("sid", "other")
+        .agg(F.count("*").alias("hits"), F.min("least").alias("must"))
+        .where("hits >= must")
+        .select("sid", "other")
+    )
+
+
+def _opened(rows: DataFrame, qualifying: DataFrame, percent: int) -> DataFrame:
+    """(sid, b): members b of qualifying groups that share as many tokens with a set as a link needs."""
+    members = rows.selectExpr("token", "grp as other", "sid as b", "n as m", "least as few")
+    return (
+        rows.join(qualifying, "sid")
+        .join(members, ["token", "other"])
+        .where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+        .groupBy("sid", "b")
+        .agg(F.count("*").alias("hits"), F.min(F.greatest("least", "few")).alias("must"))
         .where("hits >= must")
-        .select("sid", "n", "other")
+        .select("sid", "b")
+    )
+
+
+def _pivots(rows: DataFrame) -> DataFrame:
+    """(sid, b): of the most central and of the first set of each token, the one met most often."""
+    weights = rows.groupBy("token").agg(F.count("*").alias("holders"))
+    central = rows.join(weights, "token").groupBy("sid").agg(F.sum("holders").alias("weight"))
+    named = rows.join(central, "sid").groupBy("token").agg(
+        F.max(F.struct("weight", "sid"))["sid"].alias("p"), F.min("sid").alias("q")
+    )
+    met = (
+        rows.select("sid", "token")
+        .join(named, "token")
+        .select("sid", F.posexplode(F.array("p", "q")).alias("kind", "b"))
+        .where("sid <> b")
+        .groupBy("sid", "kind", "b")
+        .agg(F.count("*").alias("hits"))
     )
+    best = met.groupBy("sid", "kind").agg(F.max(F.struct("hits", "b"))["b"].alias("b"))
+    return best.select("sid", "b")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -214,61 +253,33 @@ def _ordered_pairs(rows: DataFrame) -> DataFrame:
 def near_equal(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, _id, _tag."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *identity())
-    often = (
-        source.select("text")
-        .mapInArrow(lambda batches: _frequent(batches, size), "token long, n long")
-        .groupBy("token").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "token").limit(FREQUENT)  # a bound on the list, not on the links
-    ).toArrow()
-    tokens = often.column("token").to_numpy().astype(np.int64).view(np.uint64)
-    by_value = np.argsort(tokens)
-    frequent, rank = tokens[by_value], (len(tokens) - by_value).astype(np.int32)
     scanned = written(
         source.mapInArrow(
-            lambda batches: _scanned(batches, size, percent, frequent, rank),
-            "doc_id long, _id long, _tag long, n long, digest binary, lead long, least int,"
-            " first array<long>",
+            lambda batches: _scanned(batches, size, percent),
+            "doc_id long, _id long, _tag long, n long, digest binary, own array<long>,"
+            " below array<long>, least_own int, least_below int",
         )
     )
     full = scanned.where("n > 0")
-    one = full.groupBy("digest", "n", "lead", "least").agg(
-        F.min(F.struct("_id", "_tag", "first")).alias("m")
-    )
-    sets = written(
-        one.select("digest", "n", "lead", "least", "m.*").withColumn(
-            "sid", F.monotonically_increasing_id()
-        )
+    one = full.groupBy("digest", "n").agg(
+        F.min(F.struct("_id", "_tag", "own", "below", "least_own", "least_below")).alias("m")
     )
+    sets = written(one.select("digest", "n", "m.*").withColumn("sid", F.monotonically_increasing_id()))
     texts_ = source.select("_id", "_tag", "text")
-    close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    rows = sets.select("sid", "n", "least", F.col("lead").alias("grp"), F.explode("first").alias("token"))
-    rows = written(_shared(rows))
-    pivots = sets.groupBy(F.col("lead").alias("other")).agg(
-        F.min("sid").alias("p0"), F.max("sid").alias("p1"),
-        F.min_by("sid", F.xxhash64("sid")).alias("p2"), F.max_by("sid", F.xxhash64("sid")).alias("p3"),
-    )
-    crowds = pivots.where("p0 < p1")
-    own = sets.join(crowds.select("other"), F.col("lead") == F.col("other")).select("sid", "n", "other")
-    first = _qualifying(rows, percent).union(own).join(pivots, "other")
-    first = first.select("sid", "n", F.explode(F.array_distinct(F.array("p0", "p1", "p2", "p3"))).alias("b"))
-    near = _ordered_pairs(
-        first.join(sets.select(F.col("sid").alias("b"), F.col("n").alias("m")), "b").where(close)
+    rows = sets.selectExpr("sid", "n", "least_own as least", "sid as grp", "explode(own) as token").union(
+        sets.selectExpr("sid", "n", "least_below as least", "sid as grp", "explode(below) as token")
     )
+    rows = written(_shared(rows).drop("grp"))
+    near = _ordered_pairs(_pivots(rows))
     linked = _linked_pairs(near, sets, texts_, size, percent)
     roots = components(linked)
-    grouped = written(
-        sets.select("sid", "n").join(roots, F.col("sid") == F.col("node"), "left").select(
-            "sid", "n", F.coalesce("root", "sid").alias("grp")
-        )
-    )
-    # sets that share a first token but were in one lead group are compared here too
-    again = sets.select("sid", "n", "least", F.explode("first").alias("token")).join(
-        grouped.select("sid", "grp"), "sid"
+    grouped = rows.join(roots, F.col("sid") == F.col("node"), "left").select(
+        "sid", "n", "least", "token", F.coalesce("root", "sid").alias("grp")
     )
-    open_ = _qualifying(written(_shared(again)), percent)
-    members = grouped.select(F.col("grp").alias("other"), F.col("sid").alias("b"), F.col("n").alias("m"))
-    far = _ordered_pairs(open_.join(members, "other").where(close)).join(near, ["a", "b"], "left_anti")
-    crossed = _linked_pairs(written(far), sets, texts_, size, percent)
+    grouped = written(_shared(grouped))
+    open_ = _opened(grouped, _qualifying(grouped, percent), percent)
+    far = written(_ordered_pairs(open_).join(near, ["a", "b"], "left_anti"))
+    crossed = _linked_pairs(far, sets, texts_, size, percent)
     roots = components(written(linked.union(crossed)))
     placed = sets.join(roots, F.col("sid") == F.col("node"), "left").select(
         "digest", "n", "_id", F.coalesce("root", "sid").alias("root")
