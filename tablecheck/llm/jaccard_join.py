@@ -78,20 +78,27 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def size_class(n: int, percent: int) -> tuple[int, int, int]:
-    """Smallest size of the class of ``n``; parts of its sets; differences that a link may have.
+def differences(n: int, percent: int) -> int:
+    """How many shingles a set of ``n`` and a linked one may not have in common.
 
-    A linked pair is in the class of its smaller set, of less than ``high`` shingles.
+    That is n + m - 2i for i >= percent / (100 + percent) * (n + m), where m <= 100 / percent * n.
+    """
+    return n * (100 - percent) // percent
+
+
+def size_class(n: int, percent: int) -> tuple[int, int]:
+    """Smallest size of the class of ``n``, and the parts of its sets.
+
+    A linked pair has the parts of its smaller set's class, where sets have less than ``high`` shingles.
     """
     low = high = 1
     while high <= n:
         low, high = high, max(high + 1, int(high * GROWTH))
-    # n + m - 2i of sets n, m with i in common, as i >= percent / (100 + percent) * (n + m)
-    most = (high - 1) * (100 + percent) * (100 - percent) // (percent * (100 + percent))
-    return low, most + 1 + most // 4, most
+    most = differences(high - 1, percent)
+    return low, most + 1 + most // 2
 
 
-def parts(found: np.ndarray, low: int, count: int, most: int) -> tuple[np.ndarray, int]:
+def parts(found: np.ndarray, low: int, count: int, percent: int) -> tuple[np.ndarray, int]:
     """Tokens of a sorted set in the class of ``low``, and how many of them a linked set must share."""
     edges = np.arange(count, dtype=np.uint64) * np.uint64((1 << 64) // count % (1 << 64))
     starts = np.searchsorted(found, edges)
@@ -99,7 +106,7 @@ def parts(found: np.ndarray, low: int, count: int, most: int) -> tuple[np.ndarra
     names = mixed(np.arange(count, dtype=np.uint64) + np.uint64(low << 32))
     sums = np.add.reduceat(mixed(found * M2), starts[filled])
     tokens = mixed((sums ^ names[filled]) * M2)
-    least = int(filled.sum()) - most
+    least = int(filled.sum()) - differences(len(found), percent)
     if least < 1:  # so few that only empty parts may be equal: these are tokens too
         tokens = np.concatenate([tokens, mixed(names[~filled])])
     return tokens, max(1, least)
@@ -120,8 +127,8 @@ def _scanned(batches, size: int, percent: int) -> Iterator[pa.RecordBatch]:
                 under = n and percent * n <= 100 * (here[0] - 1)
                 classes[n] = here, size_class(here[0] - 1, percent) if under else None
             here, under = classes[n]
-            own.append(parts(found, *here) if here else nothing)
-            below.append(parts(found, *under) if under else nothing)
+            own.append(parts(found, *here, percent) if here else nothing)
+            below.append(parts(found, *under, percent) if under else nothing)
         yield pa.RecordBatch.from_arrays(
             [
                 *(batch.column(c) for c in ("doc_id", "_id", "_tag")),
@@ -165,28 +172,32 @@ def _linked_pairs(pairs: DataFrame, sets: DataFrame, source: DataFrame, size: in
 def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
     """(sid, other): groups that may hold a partner of a set outside them.
 
-    rows: sid, n, least, grp, token of the tokens that at least two groups hold.
+    rows: sid, n, least, below, grp, token of the tokens that at least two groups hold.
     """
     matrix = rows.groupBy("token", F.col("grp").alias("other")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high")
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("below").alias("only_below")
     )
     return (
         rows.join(matrix, "token")
-        .where(f"grp <> other and 100 * high >= {percent} * n and 100 * n >= {percent} * low")
-        .groupBy("sid", "other")
-        .agg(F.count("*").alias("hits"), F.min("least").alias("must"))
-        .where("hits >= must")
+        .where("grp <> other and not (below and only_below)")
+        .where(f"100 * high >= {percent} * n and 100 * n >= {percent} * low")
+        .groupBy("sid", "other", "below", "least")
+        .agg(F.count("*").alias("hits"))
+        .where("hits >= least")
         .select("sid", "other")
+        .distinct()
     )
 
 
 def _opened(rows: DataFrame, qualifying: DataFrame, percent: int) -> DataFrame:
     """(sid, b): members b of qualifying groups that share as many tokens with a set as a link needs."""
-    members = rows.selectExpr("token", "grp as other", "sid as b", "n as m", "least as few")
+    members = rows.selectExpr(
+        "token", "grp as other", "sid as b", "n as m", "least as few", "below as under"
+    )
     return (
         rows.join(qualifying, "sid")
         .join(members, ["token", "other"])
-        .where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+        .where(f"not (below and under) and 100 * least(n, m) >= {percent} * greatest(n, m)")
         .groupBy("sid", "b")
         .agg(F.count("*").alias("hits"), F.min(F.greatest("least", "few")).alias("must"))
         .where("hits >= must")
@@ -199,7 +210,8 @@ def _pivots(rows: DataFrame) -> DataFrame:
     weights = rows.groupBy("token").agg(F.count("*").alias("holders"))
     central = rows.join(weights, "token").groupBy("sid").agg(F.sum("holders").alias("weight"))
     named = rows.join(central, "sid").groupBy("token").agg(
-        F.max(F.struct("weight", "sid"))["sid"].alias("p"), F.min("sid").alias("q")
+        F.max(F.when(~F.col("below"), F.struct("weight", "sid")))["sid"].alias("p"),
+        F.min(F.when(~F.col("below"), F.col("sid"))).alias("q"),
     )
     met = (
         rows.select("sid", "token")
@@ -214,9 +226,21 @@ def _pivots(rows: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose token is held by at least two groups."""
-    held = rows.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y"))
-    return rows.join(held.where("x < y").select("token"), "token")
+    """The rows whose token is held by at least two groups, and by a set in its own class.
+
+    Two sets that both have the token for partners in the class below meet in their own class.
+    """
+    held = rows.groupBy("token").agg(
+        F.min("grp").alias("x"), F.max("grp").alias("y"), F.min("below").alias("only_below")
+    )
+    return rows.join(held.where("x < y and not only_below").select("token"), "token")
+
+
+def _able(rows: DataFrame) -> DataFrame:
+    """The rows of sets that have at least as many tokens here as a link needs."""
+    counts = rows.groupBy("sid", "least", "below").agg(F.count("*").alias("held"))
+    enough = counts.where("held >= least").select("sid", "below")
+    return rows.join(enough, ["sid", "below"], "left_semi")
 
 
 def components(links_: DataFrame) -> DataFrame:
@@ -266,17 +290,17 @@ def near_equal(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Dat
     )
     sets = written(one.select("digest", "n", "m.*").withColumn("sid", F.monotonically_increasing_id()))
     texts_ = source.select("_id", "_tag", "text")
-    rows = sets.selectExpr("sid", "n", "least_own as least", "sid as grp", "explode(own) as token").union(
-        sets.selectExpr("sid", "n", "least_below as least", "sid as grp", "explode(below) as token")
+    rows = sets.selectExpr("sid", "n", "least_own as least", "sid as grp", "false as below", "explode(own) as token").union(
+        sets.selectExpr("sid", "n", "least_below as least", "sid as grp", "true as below", "explode(below) as token")
     )
-    rows = written(_shared(rows).drop("grp"))
+    rows = written(_able(_shared(rows)).drop("grp"))
     near = _ordered_pairs(_pivots(rows))
     linked = _linked_pairs(near, sets, texts_, size, percent)
     roots = components(linked)
     grouped = rows.join(roots, F.col("sid") == F.col("node"), "left").select(
-        "sid", "n", "least", "token", F.coalesce("root", "sid").alias("grp")
+        "sid", "n", "least", "below", "token", F.coalesce("root", "sid").alias("grp")
     )
-    grouped = written(_shared(grouped))
+    grouped = written(_able(_shared(grouped)))
     open_ = _opened(grouped, _qualifying(grouped, percent), percent)
     far = written(_ordered_pairs(open_).join(near, ["a", "b"], "left_anti"))
     crossed = _linked_pairs(far, sets, texts_, size, percent)
