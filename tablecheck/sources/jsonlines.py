@@ -15,13 +15,18 @@ def read_json(spark: SparkSession, path) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
-def is_json_document(text: DataFrame) -> DataFrame:
-    """Per file of ``(file, position, value)`` lines: does the text open with a bracket?"""
-    first = F.min_by(stripped(F.col("value")), F.col("position"))
-    opened = text.where(stripped(F.col("value")) != "").groupBy("file").agg(
-        first.alias("first")
+def json_files(text: DataFrame) -> DataFrame:
+    """Per file of ``(file, position, value)`` lines: does the text open with a bracket
+    (``is_array``), and is every line that is not blank a JSON value (``by_line``)?"""
+    first = F.min_by(F.substring(stripped(F.col("value")), 1, 1), F.col("position"))
+    return (
+        text.where(stripped(F.col("value")) != "")
+        .groupBy("file")
+        .agg(
+            (first == "[").alias("is_array"),
+            F.every(F.try_parse_json("value").isNotNull()).alias("by_line"),
+        )
     )
-    return opened.select("file", F.col("first").startswith("[").alias("is_array"))
 
 
 def json_line_schema(lines: DataFrame) -> str:

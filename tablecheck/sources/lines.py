@@ -90,10 +90,12 @@ def clean_lines(lines: DataFrame) -> DataFrame:
 
 def sniff_sample(lines: DataFrame) -> DataFrame:
     """One row per file: ``head``, the cleaned first lines in order (ten at most)."""
-    cleaned = clean_lines(head_lines(lines))
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "value")))
+    # junk lines are left out inside the aggregate, so that a file of junk lines keeps its row
+    line = F.struct("line_no", unwrap_line(F.col("value")).alias("value"))
+    kept = F.when(~is_junk_line(F.col("value")), line)
+    ordered = F.array_sort(F.collect_list(kept))
     head = F.slice(F.transform(ordered, lambda x: x["value"]), 1, SNIFF_LINES)
-    return cleaned.groupBy("file").agg(head.alias("head"))
+    return head_lines(lines).groupBy("file").agg(head.alias("head"))
 
 
 def _share(head: Column, matches) -> Column:

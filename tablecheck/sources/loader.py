@@ -135,10 +135,15 @@ def load(spark: SparkSession, path: str, as_of: Column | None = None) -> Loaded:
 
 
 def _load_json(spark, path, text, warnings):
-    opened = jsonlines.is_json_document(text).orderBy("file").first()
-    if opened is not None and opened.is_array:
+    opened = jsonlines.json_files(text).agg(
+        F.count_if("is_array").alias("arrays"),
+        F.count_if(F.col("is_array") & ~F.col("by_line")).alias("spread"),
+    ).first()
+    if opened.arrays:
         warnings.append("Parsed as a standard JSON array.")
-        return jsonlines.read_json(spark, path), None
+        if opened.spread:
+            return jsonlines.read_json(spark, path), None
+        return jsonlines.parse_json_documents(text), None
     try:
         rows, rejects = jsonlines.parse_json_lines(text)
     except ValueError:

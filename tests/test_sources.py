@@ -83,6 +83,10 @@ def test_fallback_ranking(spark, written):
 def test_json_shapes(spark, written):
     array = loader.load(spark, written("a.json", '[{"a": 1, "b": "x"},\n {"a": 2, "b": "y"}]'))
     assert rows(array.data) == [(1, "x"), (2, "y")]
+    one_line = loader.load(spark, written("m.json", '[{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]'))
+    assert rows(one_line.data) == [(1, "x"), (2, "y")]
+    by_line = "\n".join(f'[{{"a": {i}}}]' for i in range(7))
+    assert sorted(rows(loader.load(spark, written("n.json", by_line)).data)) == [(i,) for i in range(7)]
     single = loader.load(spark, written("o.json", '{"a": 1,\n "b": "x"}'))
     assert rows(single.data) == [(1, "x")]
     many = loader.load(spark, written("l.json", '{"a": 1}\n{bad\n\n{"a": 2, "b": 0.5}\n'))
@@ -93,6 +97,12 @@ def test_json_shapes(spark, written):
         jsonlines.parse_json_lines(text)
 
 
+def test_file_that_starts_with_junk_is_delimited(spark, written):
+    text = "# note\n" * 20 + "id,name\n1,a\n2,b\n"
+    found = lines.detect(lines.read_lines(spark, written("c.csv", text))).collect()
+    assert [r.file_type for r in found] == ["tabular"]
+
+
 def test_log_files(spark, written):
     apache = "".join(
         f'10.0.0.{i} - - [05/Jan/2026:03:41:{i:02d} +0000] "GET /x HTTP/1.1" 200 {"-" if i else 5}\n'
