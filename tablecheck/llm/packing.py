@@ -20,6 +20,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -49,6 +50,7 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def packed(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
@@ -56,11 +58,16 @@ class Words:
 
     def ids(self, text: bytes) -> bytes:
         words = text.split()  # at ASCII white space only
-        new = list({w for w in words if w not in self.known})
+        if len(self.known) > CACHED_WORDS:  # words that are not met again leave after two turns
+            self.known, self.older = {}, self.known
+        new = []
+        for word in set(words):
+            if word not in self.known:
+                if word in self.older:
+                    self.known[word] = self.older[word]
+                else:
+                    new.append(word)
         if new:
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-                new = list(set(words))
             self.known.update(zip(new, self.packed(new)))
         line = b"".join(map(self.known.__getitem__, words))
         for word in new:
@@ -75,8 +82,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=1)
+def words_of(path: str) -> Words:
+    """One tokenizer and its known words for all tasks of a Python worker."""
+    return Words(path)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int):
-    words = Words(path or tokenizer_path(TOKENIZER))
+    words = words_of(path or tokenizer_path(TOKENIZER))
     end = np.array([END_ID], "<u4").tobytes()
     for batch in batches:
         rows, numbers, starts, lengths, sums = [], [], [], [], []
