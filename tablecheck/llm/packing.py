@@ -16,6 +16,7 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
@@ -36,43 +37,91 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 CACHED_WORDS = 300_000
 CACHED_LENGTH = 40
+# fixed values: the split of that tokenizer, and the ASCII signs
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ROWS_PER_RANGE = 100_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Words:
-    """Ids of words as packed little-endian 32-bit numbers."""
+    """Ids of words as packed little-endian 32-bit numbers.
+
+    Where the tokenizer splits letters from signs, a word of letters is one piece and signs after it are
+    another: new words are then encoded as one line, cut where a token ends a piece.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        plan = json.loads(self.tokenizer.to_str())
+        steps = (plan.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        suffix = plan["model"].get("end_of_word_suffix")
+        self.by_letters = bool(suffix) and any(
+            x.get("pattern", {}).get("Regex") == LETTERS_APART for x in steps
+        )
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if self.by_letters:
+            self.ends[[i for s, i in self.tokenizer.get_vocab().items() if s.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def packed(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
+    def encoded(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are letters only."""
+        line = self.encoded([" ".join(words)])[0]
+        cuts = (np.flatnonzero(self.ends[np.frombuffer(line, "<u4")]) + 1) * 4
+        if len(cuts) != len(words):  # a letter that becomes several characters in lower case
+            return self.encoded(words)
+        return [line[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+
+    def find(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are not known."""
+        stems: dict[bytes, tuple[bytes, bytes]] = {}
+        plain, fresh = set(), set()
+        for word in words:
+            stem = word.rstrip(SIGNS).lower()
+            if self.by_letters and stem.decode().isalpha():
+                stems[word] = stem, word[len(stem) :]
+                for part, new in ((stem, fresh), (word[len(stem) :], plain)):
+                    if part and part not in self.known:
+                        new.add(part)
+            else:
+                plain.add(word)
+        found = {b"": b""}
+        if fresh:
+            found.update(zip(fresh, self.letters([x.decode() for x in fresh])))
+        if plain:
+            found.update(zip(plain, self.encoded([x.decode() for x in plain])))
+        known = self.known
+        for word, (stem, signs) in stems.items():
+            head = found[stem] if stem in found else known[stem]
+            found[word] = head + (found[signs] if signs in found else known[signs])
+        return found
+
     def ids(self, text: bytes) -> bytes:
         words = text.split()  # at ASCII white space only
         if len(self.known) > CACHED_WORDS:  # words that are not met again leave after two turns
             self.known, self.older = {}, self.known
-        new = []
-        for word in set(words):
-            if word not in self.known:
-                if word in self.older:
-                    self.known[word] = self.older[word]
-                else:
-                    new.append(word)
+        known, older, new = self.known, self.older, []
+        for word in set(words).difference(known):
+            if word in older:
+                known[word] = older[word]
+            else:
+                new.append(word)
         if new:
-            self.known.update(zip(new, self.packed(new)))
-        line = b"".join(map(self.known.__getitem__, words))
+            new = self.find(new)
+            known.update(new)
+        line = b"".join(map(known.__getitem__, words))
         for word in new:
             if len(word) > CACHED_LENGTH:
-                del self.known[word]
+                del known[word]
         return line
 
 
