@@ -6,7 +6,8 @@ other pieces are packed in rounds. A round sorts pieces and gaps by size over ra
 range from large to small: a piece takes its successor among the gaps met so far, the smallest that
 holds it, and what is left of that gap stays open in the range. What a range leaves over is matched
 across ranges by rank: leftover gaps of earlier ranges hold every leftover piece of later ones, and
-the counts per range (two rows each) say which rank takes which. Then gaps are updated and the round
+the counts and sizes per range (two rows each) say which ranks take which; a gap takes several pieces
+in a row where it holds them for certain. Then gaps are updated and the round
 repeats. When no piece fits any more, the largest pieces open as many sequences as their tokens need at least.
 
 Defined cases: null and empty text is the single end id. Rows are told apart by a number, so
@@ -26,7 +27,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecheck.llm.common import drop_written, texts, written
@@ -41,6 +42,7 @@ CACHED_LENGTH = 40
 LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ROWS_PER_RANGE = 100_000
+ROOM_PER_ROUND = 0.75  # of the room in leftover gaps, for pieces that share one
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -211,26 +213,37 @@ def _sweep(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Reco
 
 
 def _by_rank(summary) -> list[dict]:
-    """Which leftover pieces of a range take which leftover gaps of earlier ranges, newest first."""
-    gaps: list[list[int]] = []  # range, next place, count left
+    """Which leftover pieces of a range take which leftover gaps of earlier ranges, newest first.
+
+    A gap takes as many pieces in a row as the smallest gap of its range holds of the largest piece of
+    theirs. Pieces beyond a share of the room wait, so that small ones are left for what remains of gaps.
+    """
+    pieces = {r["part"]: r for r in summary if r["kind"] == 1}
+    left = {r["part"]: r for r in summary if r["kind"] == 0}
+    room = ROOM_PER_ROUND * sum(r["total"] for r in left.values())
+    gaps: list[list[int]] = []  # range, next place, count left, smallest size
     found = []
-    pieces = {r["part"]: r["n"] for r in summary if r["kind"] == 1}
-    left = {r["part"]: r["n"] for r in summary if r["kind"] == 0}
     for part in sorted(pieces.keys() | left.keys()):
-        first, count = 0, pieces.get(part, 0)
+        mine = pieces.get(part, {"n": 0})
+        first, count = 0, mine["n"]
         while count and gaps:
-            source = gaps[-1]
-            taken = min(count, source[2])
+            source, at, free, least = gaps[-1]
+            each = max(1, least // mine["most"])
+            if each > 1 and room <= 0:
+                break
+            taken = min(count, free * each)
+            used = -(-taken // each)
             found.append(
-                {"part": part, "first": first, "last": first + taken - 1,
-                 "source": source[0], "shift": source[1] - first}
+                {"part": part, "first": first, "last": first + taken - 1, "source": source,
+                 "shift": at, "each": each}
             )
+            room -= taken * mine["total"] / mine["n"]
             first, count = first + taken, count - taken
-            source[1], source[2] = source[1] + taken, source[2] - taken
-            if not source[2]:
+            gaps[-1][1:3] = at + used, free - used
+            if free == used:
                 gaps.pop()
-        if left.get(part):
-            gaps.append([part, 0, left[part]])
+        if part in left:
+            gaps.append([part, 0, left[part]["n"], left[part]["least"]])
     return found
 
 
@@ -247,7 +260,8 @@ def _round(state: DataFrame, rows: int, capacity: int) -> tuple[DataFrame, int,
         .mapInArrow(lambda batches: _sweep(batches, capacity), _SWEPT)
     )
     counts = swept.groupBy("kind", "part", F.isnotnull("place").alias("over")).agg(
-        F.count("*").alias("n")
+        F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"),
+        F.sum("size").alias("total"),
     )
     counts = counts.collect()  # a few rows per range
     placed = sum(r["n"] for r in counts if r["kind"] == 2)
@@ -257,36 +271,44 @@ def _round(state: DataFrame, rows: int, capacity: int) -> tuple[DataFrame, int,
         return swept.selectExpr("kind", "key", "size", "sequence", "offset"), placed, left
     placed += sum(p["last"] - p["first"] + 1 for p in pairs)
     plan = small_frame(
-        spark, pairs, "part int, first long, last long, source int, shift long"
+        spark, pairs, "part int, first long, last long, source int, shift long, each long"
     )  # at most two rows per range
     pieces = swept.where("kind = 1").join(F.broadcast(plan), "part", "left")
     inside = F.col("place").between(F.col("first"), F.col("last"))
-    taken = pieces.where(inside).select(
-        F.col("key").alias("_key"),
-        F.col("size").alias("_size"),
-        F.col("source").alias("part"),
-        (F.col("place") + F.col("shift")).alias("place"),
+    in_gap = Window.partitionBy("part", "place").orderBy("_rank")  # at most a gap's tokens
+    taken = (
+        pieces.where(inside)
+        .select(
+            F.col("key").alias("_key"),
+            F.col("size").alias("_size"),
+            F.col("source").alias("part"),
+            (F.col("shift") + F.floor((F.col("place") - F.col("first")) / F.col("each"))).alias("place"),
+            F.col("place").alias("_rank"),
+        )
+        .withColumn("_to", F.sum("_size").over(in_gap))
     )
+    used = taken.groupBy("part", "place").agg(F.sum("_size").alias("_used"))
     untaken = swept.where("kind = 1").join(
         F.broadcast(plan.groupBy("part").agg(F.max("last").alias("last"))), "part", "left"
     )
     untaken = untaken.where("last is null or place > last")
-    gaps = swept.where("kind = 0 and place is not null").join(taken, ["part", "place"], "left")
-    filled = gaps.where("_key is not null")
+    gaps = swept.where("kind = 0 and place is not null")
+    filled = gaps.join(taken, ["part", "place"])
+    gaps = gaps.join(used, ["part", "place"], "left")
     columns = ["kind", "key", "size", "sequence", "offset"]
     both = written(
         swept.where("kind = 2 or (kind = 0 and place is null)")
         .select(columns)
         .unionAll(untaken.select(columns))
         .unionAll(
-            gaps.where("_key is null or size > _size").selectExpr(
-                "0 as kind", "key", "size - coalesce(_size, 0) as size", "sequence", "offset"
+            gaps.where("_used is null or size > _used").selectExpr(
+                "0 as kind", "key", "size - coalesce(_used, 0) as size", "sequence", "offset"
             )
         )
         .unionAll(
             filled.selectExpr(
                 "2 as kind", "_key as key", "_size as size", "key as sequence",
-                f"{capacity} - size as offset",
+                f"{capacity} - size + _to - _size as offset",
             )
         )
     )
