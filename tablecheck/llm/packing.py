@@ -36,7 +36,7 @@ from tablecheck.session import small_frame
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 CACHED_LENGTH = 40
 # fixed values: the split of that tokenizer, and the ASCII signs
 LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -85,15 +85,18 @@ class Words:
 
     def find(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words that are not known."""
-        stems: dict[bytes, tuple[bytes, bytes]] = {}
-        plain, fresh = set(), set()
+        stems: list[tuple[bytes, bytes, bytes]] = []
+        known, plain, fresh = self.known, set(), set()
         for word in words:
-            stem = word.rstrip(SIGNS).lower()
-            if self.by_letters and stem.decode().isalpha():
-                stems[word] = stem, word[len(stem) :]
-                for part, new in ((stem, fresh), (word[len(stem) :], plain)):
-                    if part and part not in self.known:
-                        new.add(part)
+            stem = word.rstrip(SIGNS)
+            signs = word[len(stem) :]
+            stem = stem.lower()
+            if self.by_letters and (stem.isalpha() or not stem.isascii() and stem.decode().isalpha()):
+                stems.append((word, stem, signs))
+                if stem not in known:
+                    fresh.add(stem)
+                if signs and signs not in known:
+                    plain.add(signs)
             else:
                 plain.add(word)
         found = {b"": b""}
@@ -101,10 +104,9 @@ class Words:
             found.update(zip(fresh, self.letters([x.decode() for x in fresh])))
         if plain:
             found.update(zip(plain, self.encoded([x.decode() for x in plain])))
-        known = self.known
-        for word, (stem, signs) in stems.items():
+        for word, stem, signs in stems:
             head = found[stem] if stem in found else known[stem]
-            found[word] = head + (found[signs] if signs in found else known[signs])
+            found[word] = head + (found[signs] if signs in found else known[signs]) if signs else head
         return found
 
     def ids(self, text: bytes) -> bytes:
