@@ -275,11 +275,13 @@ def _round(state: DataFrame, rows: int, capacity: int) -> tuple[DataFrame, int,
     plan = small_frame(
         spark, pairs, "part int, first long, last long, source int, shift long, each long"
     )  # at most two rows per range
-    pieces = swept.where("kind = 1").join(F.broadcast(plan), "part", "left")
-    inside = F.col("place").between(F.col("first"), F.col("last"))
+    last = {p["part"]: p["last"] for p in pairs}  # ranks of a range go up from pair to pair
+    ends = small_frame(spark, [{"part": p, "last": x} for p, x in last.items()], "part int, last long")
+    waiting = swept.where("kind = 1")
     in_gap = Window.partitionBy("part", "place").orderBy("_rank")  # at most a gap's tokens
     taken = (
-        pieces.where(inside)
+        waiting.join(F.broadcast(plan), "part")
+        .where(F.col("place").between(F.col("first"), F.col("last")))
         .select(
             F.col("key").alias("_key"),
             F.col("size").alias("_size"),
@@ -288,31 +290,36 @@ def _round(state: DataFrame, rows: int, capacity: int) -> tuple[DataFrame, int,
             F.col("place").alias("_rank"),
         )
         .withColumn("_to", F.sum("_size").over(in_gap))
+        .withColumn("_more", F.lead("_rank").over(in_gap).isNotNull())
     )
-    used = taken.groupBy("part", "place").agg(F.sum("_size").alias("_used"))
-    untaken = swept.where("kind = 1").join(
-        F.broadcast(plan.groupBy("part").agg(F.max("last").alias("last"))), "part", "left"
-    )
-    untaken = untaken.where("last is null or place > last")
-    gaps = swept.where("kind = 0 and place is not null")
-    filled = gaps.join(taken, ["part", "place"])
-    gaps = gaps.join(used, ["part", "place"], "left")
+    untaken = waiting.join(F.broadcast(ends), "part", "left").where("last is null or place > last")
     columns = ["kind", "key", "size", "sequence", "offset"]
+    # a gap's row once for each piece it takes; the last of them also leaves what remains of the gap
+    filled = (
+        swept.where("kind = 0 and place is not null")
+        .join(taken, ["part", "place"], "left")
+        .select(
+            F.inline(
+                F.array(
+                    F.expr(
+                        "named_struct('kind', 2, 'key', _key, 'size', _size, 'sequence', key,"
+                        f" 'offset', {capacity} - size + _to - _size)"
+                    ),
+                    F.expr(
+                        "named_struct('kind', 0, 'key', key, 'size', if(_more, 0L, size -"
+                        " coalesce(_to, 0L)), 'sequence', cast(null as long), 'offset', cast(null as long))"
+                    ),
+                )
+            )
+        )
+        .where("key is not null and size > 0")
+    )
     both = written(
         swept.where("kind = 2 or (kind = 0 and place is null)")
         .select(columns)
         .unionAll(untaken.select(columns))
-        .unionAll(
-            gaps.where("_used is null or size > _used").selectExpr(
-                "0 as kind", "key", "size - coalesce(_used, 0) as size", "sequence", "offset"
-            )
-        )
-        .unionAll(
-            filled.selectExpr(
-                "2 as kind", "_key as key", "_size as size", "key as sequence",
-                f"{capacity} - size + _to - _size as offset",
-            )
-        )
+        .unionAll(filled.select(columns))
+        .coalesce(max(n, spark.sparkContext.defaultParallelism))  # files of many rows
     )
     drop_written(swept)
     return both, placed, left
