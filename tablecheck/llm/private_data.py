@@ -1,12 +1,14 @@
 """Personal data: fixed patterns, and terms that give away what the patterns found.
 
 Base spans come from four patterns. The values they match are the protected entities. Over the whole
-corpus the documents are counted in which a term stands near an entity, those that hold the entity
-and those that hold the term anywhere. How far a term discloses an entity is their pointwise mutual
+corpus the documents are counted that hold a term besides an entity, those that hold the entity and
+those that hold the term anywhere. How far a term discloses an entity is their pointwise mutual
 information as a share of the entity's information content:
 ``log(co * N / (df_term * df_entity)) / log(N / df_entity)``; 1 means that the term occurs only with
-the entity. Terms at ``REMOVE`` or more are removed, terms at ``GENERALISE`` or more are replaced by
-a class, near that entity only.
+the entity. Most entities occur once, so ``co`` is smoothed and not cut: each shared document counts
+as an accident at even odds, which leaves ``co * (1 - 2 ** -co)``. Terms at ``REMOVE`` or more are
+removed, terms at ``GENERALISE`` or more are replaced by a class, wherever they stand in a document
+that holds the entity.
 
 The counts of terms need a second pass over all texts. It is narrowed by a bit map of the candidate
 terms of fixed size (``SLOTS`` longs); false hits go in the exact join that follows.
@@ -37,10 +39,8 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TERM = re.compile(r"[^\W\d_]{4,}")
+TERM = re.compile(r"[^\W\d_]+")
 
-CONTEXT = 80  # characters before and after an entity
-MIN_DOCUMENTS = 3  # documents in which a term stands near an entity, at least
 GENERALISE, REMOVE = 0.8, 0.95
 SLOTS = 1 << 16
 FLUSH = 200_000
@@ -75,17 +75,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms near each span and outside all spans."""
-    found = []
-    for start, kind, end in spans:
-        entity = hashlib.md5(f"{KINDS[kind]}:{text[start:end].lower()}".encode()).hexdigest()
-        low, high = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
-        for m in TERM.finditer(text, low, high):
-            a, b = m.span()
-            whole = (a > low or a == 0) and (b < high or b == len(text))
-            if whole and not any(s < b and a < e for s, _, e in spans):
-                found.append((entity, m.group().lower(), a, b))
+def entities(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
+    """Digests of the distinct values that the spans hold."""
+    values = {f"{KINDS[kind]}:{text[start:end].lower()}" for start, kind, end in spans}
+    return sorted(hashlib.md5(v.encode()).hexdigest() for v in values)
+
+
+def places(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[tuple[int, int]]]:
+    """(start, end) of every occurrence of each term outside all spans; none without spans."""
+    found: dict[str, list[tuple[int, int]]] = {}
+    if not spans:
+        return found
+    covered = bytearray(len(text))
+    for start, _, end in spans:
+        covered[start:end] = b"\1" * (end - start)
+    for m in TERM.finditer(text):
+        if not any(covered[m.start() : m.end()]):
+            found.setdefault(m.group().lower(), []).append(m.span())
     return found
 
 
@@ -93,13 +99,13 @@ def joined(spans) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-MENTION = "array<struct<entity: string, term: string, start: int, stop: int>>"
+PLACES = "array<struct<term: string, at: array<struct<start: int, stop: int>>>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: list[list[int]] = [[], [], [], []]
-        digests, spans, entities, near = [], [], [], []
+        digests, spans, held, near = [], [], [], []
         for text in batch.column("text").to_pylist():
             text = text or ""
             found = base_spans(text)
@@ -108,28 +114,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line = joined(found)
             digests.append(hashlib.sha256(line.encode()).hexdigest())
             spans.append(line)
+            held.append(entities(text, found))
             near.append(
-                [dict(zip(("entity", "term", "start", "stop"), x)) for x in contexts(text, found)]
-            )
-            entities.append(
-                sorted(
-                    {
-                        hashlib.md5(f"{KINDS[k]}:{text[s:e].lower()}".encode()).hexdigest()
-                        for s, k, e in found
-                    }
-                )
+                [
+                    {"term": term, "at": [{"start": a, "stop": b} for a, b in at]}
+                    for term, at in places(text, found).items()
+                ]
             )
-        mention = pa.struct(
-            [("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]
-        )
+        place = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
+        term = pa.struct([("term", pa.string()), ("at", pa.list_(place))])
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 *(pa.array(c, pa.int64()) for c in counts),
                 pa.array(digests, pa.string()),
                 pa.array(spans, pa.string()),
-                pa.array(entities, pa.list_(pa.string())),
-                pa.array(near, pa.list_(mention)),
+                pa.array(held, pa.list_(pa.string())),
+                pa.array(near, pa.list_(term)),
             ],
             names=[
                 "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans",
@@ -155,7 +156,7 @@ def _counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa
 
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            for term in set(TERM.findall((text or "").lower())):
+            for term in {x.lower() for x in set(TERM.findall(text or ""))}:
                 hit = wanted.get(term)
                 if hit is None:
                     place = _bit(term)
@@ -171,17 +172,13 @@ def _counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa
 
 
 def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of pairs in at least MIN_DOCUMENTS documents, from GENERALISE on."""
-    spark = docs.sparkSession
+    """(entity, term, disclosure) of all pairs that share a document, from GENERALISE on."""
     total = scanned.count()
-    near = scanned.select("_row", F.explode("_near").alias("m")).select(
-        "_row", "m.entity", "m.term"
-    )
+    held = scanned.select(F.explode("_entities").alias("entity"), F.col("_near.term").alias("terms"))
     together = written(
-        near.distinct()
+        held.select("entity", F.explode("terms").alias("term"))
         .groupBy("entity", "term")
         .agg(F.count("*").alias("co"))
-        .where(F.col("co") >= MIN_DOCUMENTS)
     )
     place = F.crc32(F.encode("term", "UTF-8")) % (64 * SLOTS)
     slots = (
@@ -204,7 +201,8 @@ def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
         F.count("*").alias("df_entity")
     )
     information = F.log(F.lit(float(total)) / F.col("df_entity"))
-    mutual = F.log(F.col("co") * F.lit(float(total)) / (F.col("df_term") * F.col("df_entity")))
+    smoothed = F.col("co") * (1 - F.pow(F.lit(2.0), -F.col("co")))
+    mutual = F.log(smoothed * F.lit(float(total)) / (F.col("df_term") * F.col("df_entity")))
     return (
         together.join(entities, "entity")
         .join(terms, "term")
@@ -224,16 +222,22 @@ def personal_data(docs: DataFrame) -> DataFrame:
         plain.mapInArrow(
             _scan,
             "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string,"
-            f" spans string, _entities array<string>, _near {MENTION}",
+            f" spans string, _entities array<string>, _near {PLACES}",
         ).withColumn("_row", F.monotonically_increasing_id())
     )
-    mentions = scanned.select("_row", F.explode("_near").alias("m")).select("_row", "m.*")
+    mentions = scanned.select("_row", F.explode("_entities").alias("entity"), "_near").select(
+        "_row", "entity", F.explode("_near").alias("m")
+    )
+    placed = F.transform(
+        "at", lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), F.col("disclosure").alias("disclosure"))
+    )
     terms = (
-        mentions.join(disclosures(plain, scanned), ["entity", "term"])
-        .groupBy("_row", "start", "stop")
-        .agg(F.max("disclosure").alias("disclosure"))
+        mentions.select("_row", "entity", "m.*")
+        .join(disclosures(plain, scanned), ["entity", "term"])
+        .groupBy("_row", "term")
+        .agg(F.max("disclosure").alias("disclosure"), F.first("at").alias("at"))
         .groupBy("_row")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "stop", "disclosure"))).alias("_terms"))
+        .agg(F.array_sort(F.flatten(F.collect_list(placed))).alias("_terms"))
     )
     return scanned.join(terms, "_row", "left").select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256",

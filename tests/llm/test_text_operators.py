@@ -168,6 +168,21 @@ def test_terms_that_disclose_an_entity(spark):
     assert clean[0] == "Write to the  office, [email] please" and clean[7] == rows[7][1]
 
 
+def test_terms_of_an_entity_in_one_document(spark):
+    far = "common words " * 30
+    rows = [(0, f"Quaxolin {far}Ng quax@mail.example.com {far}ask quaxolin")]
+    rows += [(i, f"{far}ask") for i in range(1, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in private_data.personal_data(docs).collect()}
+    # once in the corpus, farther than any window, again after the entity, and of two letters
+    text = rows[0][1]
+    terms = [(m.start(), m.end()) for m in re.finditer("Quaxolin|Ng|quaxolin", text)]
+    spans = [f"term:{a}:{b}" for a, b in terms]
+    start = text.index("quax@")
+    spans.insert(2, f"email:{start}:{start + 21}")
+    assert found[0] == ",".join(spans) and not any(found[i] for i in range(1, 60))
+
+
 @pytest.mark.parametrize(
     "operator",
     [line_dedup.drop_repeated_lines, quality_rules.quality_verdicts, exact_dedup.groups,
