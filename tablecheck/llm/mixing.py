@@ -2,9 +2,12 @@
 
 Tokens are summed per cell of source, language and topic. The weights of the cells are raked in
 turn to the target shares of the three marginals (an aggregate and a join per margin) until the
-largest error is below a tolerance. A cell's rate is its raked weight over its tokens; the highest
-rate is scaled to probability 1. Every document is then kept with the probability of its cell, by a
-uniform number made from its doc_id, so runs agree.
+largest error is below a tolerance. A cell's rate is its raked weight over its tokens. If the mixture
+in which the highest rate has probability 1 keeps ``BUDGET`` of the tokens, it is taken. Otherwise a
+few small cells would set its size: then ``BUDGET`` of the tokens are kept, cells that are too small
+for their weight are kept whole, and the rest is raked again. The error left is in the cells.
+Every document is then kept with the probability of its cell, by a uniform number made from its
+doc_id, so runs agree.
 
 The topic is the form of the text unless a topic expression is given. Defined cases: null source,
 language or topic is a value of its own; null and empty text has no tokens, its cell may have none
@@ -21,7 +24,8 @@ from tablecheck.llm.common import WORD_CLASS, written
 
 MARGINS = ("source", "lang", "topic")
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}  # target share: the present one to this power
-ROUNDS = 12
+ROUNDS = 50
+BUDGET = 0.5  # share of the tokens that the mixture keeps at least
 TOLERANCE = 1e-4
 SEED = "mix-1"
 
@@ -64,10 +68,41 @@ def _raked(cells: DataFrame, margin: str, target: DataFrame) -> DataFrame:
     )
 
 
+def _capped(cells: DataFrame, share: str) -> DataFrame:
+    """Weights of at most the cell's share of the tokens, over the share that is kept."""
+    return cells.withColumn("weight", F.least("weight", F.expr(share)))
+
+
+def _error(cells: DataFrame, goal: dict[str, DataFrame]) -> float:
+    """The largest distance of a margin's share from its target."""
+    off = 0.0
+    for margin in MARGINS:
+        off = max(off, _raked(cells, margin, goal[margin]).agg(F.max("error")).first()[0] or 0.0)
+    return off
+
+
+def _saturated(raked: DataFrame, goal: dict[str, DataFrame], share: str, rounds: int, tolerance: float) -> DataFrame:
+    """Raked again with cells capped at their tokens, until no weight moves by the tolerance."""
+    for _ in range(rounds):
+        step = raked
+        for margin in MARGINS:
+            step = _capped(_raked(step, margin, goal[margin]), share)
+        step = written(step)
+        same = [raked[m].eqNullSafe(step[m]) for m in MARGINS]
+        moved = raked.join(step, same[0] & same[1] & same[2]).agg(
+            F.max(F.abs(raked["weight"] - step["weight"]))
+        ).first()[0]
+        raked = step.withColumn("error", F.lit(0.0))
+        if moved < tolerance:
+            break
+    return raked
+
+
 def calibrated(
-    cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, tolerance: float = TOLERANCE
+    cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, tolerance: float = TOLERANCE,
+    budget: float = BUDGET,
 ) -> DataFrame:
-    """Cells (source, lang, topic, tokens, documents) with weight and probability."""
+    """Cells (source, lang, topic, tokens, documents) with weight, probability and the error left."""
     some = cells.where("tokens > 0")
     goal = {m: written(targets(some, m, powers[m])) for m in MARGINS}
     whole = some.agg(F.sum("tokens").cast("double").alias("_whole"))
@@ -83,17 +118,31 @@ def calibrated(
         raked = raked.withColumn("error", F.lit(0.0))
         if error is None or error < tolerance:
             break
-    rate = F.col("weight") / F.col("tokens")
-    top = raked.agg(F.max(rate).alias("_top"))
+    tokens, top = raked.agg(F.sum("tokens"), F.max(F.col("weight") / F.col("tokens"))).first()
+    left = 0.0
+    if top:
+        kept = min(1.0, 1.0 / (top * tokens))  # of all tokens, with the highest rate at probability 1
+        if kept < budget:
+            kept = budget
+            share = f"tokens / {kept * tokens!r}D"
+            raked = _saturated(_capped(raked, share), goal, share, rounds, tolerance)
+            # what the capped cells lack goes to the others, so that the budget is met
+            for _ in range(3):
+                whole = raked.agg(F.sum("weight")).first()[0]
+                raked = written(_capped(raked.withColumn("weight", F.col("weight") / F.lit(whole)), share))
+        left = _error(raked, goal)
+        chance = F.least(F.lit(1.0), F.col("weight") * F.lit(kept * tokens) / F.col("tokens"))
+    else:
+        chance = F.lit(1.0)
     return written(
-        raked.crossJoin(F.broadcast(top))  # one row
-        .select(*MARGINS, "tokens", "documents", F.round("weight", 12).alias("weight"),
-                F.round(rate / F.col("_top"), 9).alias("probability"))
+        raked.select(*MARGINS, "tokens", "documents", F.round("weight", 12).alias("weight"),
+                     F.round(chance, 9).alias("probability"))
         .unionAll(
             cells.where("tokens = 0").select(
                 *MARGINS, "tokens", "documents", F.lit(0.0).alias("weight"), F.lit(1.0).alias("probability")
             )
         )
+        .withColumn("error", F.lit(left))
     )
 
 

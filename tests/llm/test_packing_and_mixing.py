@@ -95,6 +95,23 @@ def test_mixing_reaches_the_targets(spark):
             == found.sort_values("doc_id").kept.values).all()
 
 
+def test_one_tiny_cell_hardly_changes_the_mixture(spark):
+    rng = np.random.default_rng(3)
+    rows = [
+        (i, " ".join(["w"] * int(rng.integers(50, 200))), "en" if i % 3 else "de", f"s{i % 4}")
+        for i in range(600)
+    ]
+    schema = "doc_id long, text string, lang string, source string"
+    shares, cells = [], []
+    for more in ([], [(1000, "five words of one source", "en", "tiny")]):
+        found = mixing.mixture(spark.createDataFrame(rows + more, schema)).toPandas()
+        shares.append((found.n_tokens * found.probability).sum() / found.n_tokens.sum())
+        cells.append(found[found.source != "tiny"].groupby(["source", "lang"]).weight.first())
+    assert found[found.source == "tiny"].kept.all()
+    assert min(shares) > 0.49 and shares[1] > 0.4
+    assert np.allclose(cells[0], cells[1], atol=0.02)
+
+
 def test_mixing_odd_rows(odd, none):
     assert mixing.drawn(odd).count() == len(odd.rows)
     assert mixing.mixed(odd).columns == odd.columns
