@@ -103,7 +103,9 @@ PLACES = "array<struct<term: string, at: array<struct<start: int, stop: int>>>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans, entities and places of terms of each text; the other columns go along."""
     for batch in batches:
+        keys = [c for c in batch.schema.names if c != "text"]
         counts: list[list[int]] = [[], [], [], []]
         digests, spans, held, near = [], [], [], []
         for text in batch.column("text").to_pylist():
@@ -125,7 +127,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         term = pa.struct([("term", pa.string()), ("at", pa.list_(place))])
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"),
+                *(batch.column(c) for c in keys),
                 *(pa.array(c, pa.int64()) for c in counts),
                 pa.array(digests, pa.string()),
                 pa.array(spans, pa.string()),
@@ -133,7 +135,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(near, pa.list_(term)),
             ],
             names=[
-                "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans",
+                *keys, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans",
                 "_entities", "_near",
             ],
         )
@@ -217,11 +219,16 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     ``spans`` holds base and term spans; ``_terms`` the term spans with their disclosure.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+
+def _found(plain: DataFrame) -> DataFrame:
+    """``personal_data`` of text and long columns, which all go along."""
+    keys = [c for c in plain.columns if c != "text"]
     scanned = written(
         plain.mapInArrow(
             _scan,
-            "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string,"
+            "".join(f"{c} long, " for c in keys) + "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string,"
             f" spans string, _entities array<string>, _near {PLACES}",
         ).withColumn("_row", F.monotonically_increasing_id())
     )
@@ -240,7 +247,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.flatten(F.collect_list(placed))).alias("_terms"))
     )
     return scanned.join(terms, "_row", "left").select(
-        "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
+        *keys, "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
         _merged(F.col("spans"), F.col("_terms")).alias("spans"),
         "_terms",
     )
@@ -302,11 +309,15 @@ def _hidden(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sanitised(docs: DataFrame) -> DataFrame:
     """doc_id and the text with base spans and generalised terms as ``[kind]``, removed terms gone.
 
-    Rows are matched to their spans by doc_id and a hash of the text.
+    Rows are matched to their spans by doc_id and a hash of the text, so rows that repeat both share
+    them and rows with one id, or none, and different texts do not.
     """
     from tablecheck.llm.common import identity
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *identity())
-    found = personal_data(keyed.select("_tag", "_id", "text").withColumn("doc_id", F.col("_id")))
-    raise_if = found.select(F.col("doc_id").alias("_id"), "spans", "_terms").dropDuplicates(["_id"])
-    return keyed.join(raise_if, "_id", "left").mapInArrow(_hidden, "doc_id long, sanitised string")
+    spans = (
+        _found(keyed.select("_id", "_tag", "text"))
+        .select("_id", "_tag", "spans", "_terms")
+        .dropDuplicates(["_id", "_tag"])
+    )
+    return keyed.join(spans, ["_id", "_tag"], "left").mapInArrow(_hidden, "doc_id long, sanitised string")

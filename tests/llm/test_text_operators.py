@@ -183,6 +183,15 @@ def test_terms_of_an_entity_in_one_document(spark):
     assert found[0] == ",".join(spans) and not any(found[i] for i in range(1, 60))
 
 
+def test_rows_with_one_id_keep_their_own_spans(spark):
+    rows = [(None, "one@mail.example.com is the first"), (None, "this second row has two@mail.example.com"),
+            (5, "three@mail.example.com"), (5, "to four@mail.example.com")]
+    rows += [(i, "is the first this second row has to") for i in range(10, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = sorted(r["sanitised"] for r in private_data.sanitised(docs).collect() if r["doc_id"] in (None, 5))
+    assert clean == ["[email]", "[email] is the first", "this second row has [email]", "to [email]"]
+
+
 @pytest.mark.parametrize(
     "operator",
     [line_dedup.drop_repeated_lines, quality_rules.quality_verdicts, exact_dedup.groups,
