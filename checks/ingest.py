@@ -415,7 +415,7 @@ def junk_lines(spark, sf):
     ),
 )
 def unwrap_lines(spark, sf):
-    text = view(spark, sf, "decorated_lines").where("event_id % 12 >= 6")
+    text = view(spark, sf, "decorated_lines").where(~is_junk_line(F.col("value")))
     return text.select("event_id", unwrap_line(F.col("value")).alias("value"))
 
 
