@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablecheck.llm import (
+    bottom_k,
+    clustering,
     exact_dedup,
     jaccard_join,
     line_dedup,
@@ -16,6 +18,7 @@ from tablecheck.llm import (
     quality_classifier,
     quality_rules,
     repeated_bytes,
+    resampling,
     toxicity,
 )
 from tablecheck.llm.common import read_table
@@ -148,8 +151,7 @@ def op7(spark, sf):
     r"""WITH RECURSIVE words AS (
       SELECT doc_id, list_filter(
         regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-          'abcdefghijklmnopqrstuvwxyz'), '[ 	-
-]+'), lambda x: x <> '') AS w
+          'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
       FROM documents),
     shingles AS (
       SELECT DISTINCT doc_id, s FROM (
@@ -175,6 +177,116 @@ def op6(spark, sf):
     return jaccard_join.near_equal(read_table(spark, sf, "documents")).drop("_id", "_tag")
 
 
+# words of at most 16 MB; a word's buckets are found once, whatever the number of documents
+CRC32 = """list_reduce(list_prepend(4294967295, list_transform(
+      range(1, strlen({0}) + 1), lambda i: ('0x' || hex(encode({0}))[2 * i - 1:2 * i])::BIGINT)),
+      lambda c, b: xor(c >> 8, table_[(xor(c, b) & 255) + 1]))"""
+
+
+@query(
+    "op11_importance_resampling",
+    rf"""WITH step AS (
+      SELECT list_transform(range(256), lambda n: list_reduce(
+        list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1
+          THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS table_),
+    texts AS (
+      SELECT 0 AS target, doc_id, coalesce(text, '') AS text FROM documents
+      UNION ALL SELECT 1, item_id, coalesce(text, '') FROM benchmark),
+    words AS (
+      SELECT target, doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+    held AS (SELECT target, doc_id, word, count(*) AS n FROM words GROUP BY ALL),
+    coded AS (
+      SELECT word, xor({CRC32.format("word")}, 4294967295) % 10000 AS bucket
+      FROM (SELECT DISTINCT word FROM held), step),
+    counts AS (
+      SELECT bucket, sum(n) FILTER (target = 0) AS s, sum(n) FILTER (target = 1) AS t
+      FROM held JOIN coded USING (word) GROUP BY bucket),
+    totals AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM counts),
+    gains AS (
+      SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000)::DOUBLE
+        / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + 10000)::DOUBLE)))::BIGINT AS gain
+      FROM counts, totals),
+    weights AS (
+      SELECT doc_id, sum(n) AS n, sum(n * gain) AS weight
+      FROM held JOIN coded USING (word) JOIN gains USING (bucket) WHERE target = 0
+      GROUP BY doc_id),
+    scored AS (
+      SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' ||
+          sha256('2024:' || d.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM documents d LEFT JOIN weights w USING (doc_id)),
+    placed AS (
+      SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place,
+        count(*) OVER () AS able FROM scored WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score,
+      CASE WHEN place <= 10 * able // 100 THEN place END AS rank
+    FROM scored LEFT JOIN placed USING (doc_id)""",
+)
+def op11(spark, sf):
+    return resampling.resampled(
+        read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark")
+    )
+
+
+@query(
+    "op12_bottom_k",
+    SQL["op6_jaccard_join"]
+    .replace(">= 90 *", ">= 85 *")
+    .replace("SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, min(other)) AS component_id",
+             "SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, min(other)) AS component_id,"
+             " w.doc_id = least(w.doc_id, min(other)) AS kept"),
+)
+def op12(spark, sf):
+    return bottom_k.near_duplicates(read_table(spark, sf, "documents")).drop("_id", "_tag")
+
+
+def _clusters_sql(rounds: int = 5, clusters: int = 40) -> str:
+    """One query per round: centroids of the vectors that are nearest to the centroids before."""
+
+    def nearest(name: str, centroids: str) -> str:
+        return f"""{name} AS MATERIALIZED (
+          SELECT vec_id, v, min(struct_pack(d := d, c := c)).d AS distance,
+            min(struct_pack(d := d, c := c)).c AS cluster
+          FROM (SELECT vec_id, v, c, list_sum(list_transform(list_zip(v, m),
+                  lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept, {centroids})
+          GROUP BY vec_id, v)"""
+
+    steps = []
+    for k in range(rounds):
+        steps.append(nearest(f"near{k}", f"mid{k}"))
+        steps.append(
+            f"""mid{k + 1} AS MATERIALIZED (
+          SELECT c, CASE WHEN s.cluster IS NULL THEN m ELSE s.means END AS m
+          FROM mid{k} LEFT JOIN (
+            SELECT cluster, list(mean ORDER BY i) AS means FROM (
+              SELECT cluster, i, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*))
+                // count(*))::BIGINT AS mean
+              FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM near{k})
+              GROUP BY cluster, i) GROUP BY cluster) s ON s.cluster = c)"""
+        )
+    last = nearest("final", f"mid{rounds}")
+    return f"""WITH kept AS MATERIALIZED (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+          FROM embeddings WHERE len(embedding) = 64
+            AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+        mid0 AS MATERIALIZED (
+          SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v AS m FROM kept
+          ORDER BY sha256('2:' || vec_id) LIMIT {clusters}),
+        {", ".join(steps)}, {last}
+        SELECT vec_id, cluster::INTEGER AS cluster, distance,
+          (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+          (sum(distance) OVER ())::BIGINT AS inertia,
+          sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM final JOIN mid{rounds} ON c = cluster"""
+
+
+@query("op13_clustering", _clusters_sql())
+def op13(spark, sf):
+    return clustering.clustered(read_table(spark, sf, "embeddings"))
+
+
 @query("op3_repeated_bytes")
 def op3(spark, sf):
     return repeated_bytes.without_repeats(read_table(spark, sf, "documents"))
