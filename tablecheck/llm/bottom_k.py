@@ -7,8 +7,9 @@ Documents with equal sets are one class, and all steps work on classes.
    so of each sketch all but the most frequent ``floor_ - 1`` values go into lists: two linked sets
    meet in one. A passage that much of a corpus holds stays out of the lists, unless it is most of
    a document.
-2. Groups. The first class of a list is its pivot, and every member of a list is compared with the
-   pivot alone, so a crowd of near copies costs one comparison each. What links is a component.
+2. Groups. The class of a list whose sketch is held most widely is its pivot, in a crowd of near
+   copies one from its middle. Every member of a list is compared with the pivot alone, so a crowd
+   costs one comparison each. What links is a component.
 3. Members of one group in different components may still link with each other. A member is now the
    set of its differences from the pivot. Linked members differ by little, thus share most of their
    differences, and inverted lists of the rarest differences, cut by the same argument and by
@@ -43,6 +44,7 @@ from tablecheck.llm.jaccard_join import Shingles, components
 
 SIZE, PERCENT, K = 3, 85, 64
 LOSS = 1e-9
+BROADCAST_IDS = 500_000  # ids of texts to read again that are sent to all tasks; more go by shuffle
 
 
 def least_shared(k: int, percent: int) -> int:
@@ -151,7 +153,8 @@ def _verified(batches, k: int, percent: int, floor_: int) -> Iterator[pa.RecordB
 
 
 def _listed(sets: DataFrame) -> DataFrame:
-    """(sid, value): the values of each sketch that go into lists, if another set holds them too."""
+    """(sid, weight, value): the values of each sketch that go into lists, if another set holds them
+    too. The weight, all holders of a sketch's values, is greatest in the middle of a crowd."""
     values = sets.select("sid", "must", F.explode("sketch").alias("value"))
     shared = written(
         values.groupBy("value").agg(F.count("*").alias("holders")).where("holders > 1")
@@ -164,14 +167,15 @@ def _listed(sets: DataFrame) -> DataFrame:
         .where(F.size("found") >= F.col("must"))
     )
     kept = F.slice("found", F.lit(1), F.size("found") - F.col("must") + 1)
-    return ranked.select("sid", F.explode(kept["value"]).alias("value"))
+    weight = F.aggregate("found", F.lit(0).cast("long"), lambda total, x: total + x["holders"])
+    return ranked.select("sid", weight.alias("weight"), F.explode(kept["value"]).alias("value"))
 
 
 def _grouped(listed: DataFrame) -> DataFrame:
     """Distinct (sid, p): sets and the pivots of the lists that hold them."""
     pivots = written(
         listed.groupBy("value")
-        .agg(F.min("sid").alias("p"), F.count("*").alias("members"))
+        .agg(F.max(F.struct("weight", "sid"))["sid"].alias("p"), F.count("*").alias("members"))
         .where("members > 1")
         .select("value", "p")
     )
@@ -268,8 +272,9 @@ def near_duplicates(
         groups.select("sid").union(groups.select("p")).distinct()
         .join(sets, "sid").select("sid", "_id", "_tag")
     )
+    few = needed.count() <= BROADCAST_IDS
     whole = written(
-        source.join(needed, ["_id", "_tag"])
+        source.join(F.broadcast(needed) if few else needed, ["_id", "_tag"])
         .dropDuplicates(["sid"])
         .select("sid", "text")
         .mapInArrow(lambda batches: _whole_sets(batches, size), "sid long, members binary")
