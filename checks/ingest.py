@@ -52,6 +52,104 @@ def infer_types(spark, sf):
     return tables.small_frame(spark, found, "column string, data_type string")
 
 
+NOTE = """CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority || '{line}second, "line"{line}' || o_orderstatus
+            WHEN o_orderkey % 5 = 1 THEN '{line}' || o_orderstatus
+            WHEN o_orderkey % 5 = 2 THEN 'say ""' || o_orderstatus ELSE o_orderstatus END"""
+
+
+@query(
+    "a01_quoted_line_breaks",
+    f"""SELECT o_orderkey, {NOTE.format(line="' || chr(10) || '")} AS note, o_totalprice AS price
+        FROM orders WHERE o_orderkey % 50 <> 7""",
+)
+def quoted_line_breaks(spark, sf):
+    """Records with line breaks in quoted cells, read from files; wider records are set aside."""
+    folder = scratch_folder(spark)
+    quoted = """concat(o_orderkey, ',"', replace(note, '"', '""'), '",', o_totalprice,
+                if(o_orderkey % 50 = 7, ',"more\n, cells",', '')) AS value"""
+    note = F.expr(NOTE.format(line="\\n")).alias("note")
+    text = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", note).selectExpr(quoted)
+    text.write.text(folder)
+    rows, _ = delimited.read_delimited(spark, folder, header=False)
+    return delimited.typed(rows.toDF("o_orderkey", "note", "price"))
+
+
+@query(
+    "a03_quoted_rejects",
+    f"""SELECT o_orderkey || ',"' || replace({NOTE.format(line="' || chr(10) || '")}, '"', '""') || '",' ||
+          CAST(o_orderkey AS VARCHAR) || ',"more' || chr(10) || ', cells",' AS value
+        FROM orders WHERE o_orderkey % 50 = 7""",
+)
+def quoted_rejects(spark, sf):
+    folder = scratch_folder(spark)
+    quoted = """concat(o_orderkey, ',"', replace(note, '"', '""'), '",', o_orderkey,
+                if(o_orderkey % 50 = 7, ',"more\n, cells",', '')) AS value"""
+    note = F.expr(NOTE.format(line="\\n")).alias("note")
+    table(spark, sf, "orders").select("o_orderkey", note).selectExpr(quoted).write.text(folder)
+    return delimited.read_delimited(spark, folder, header=False)[1]
+
+
+# one folder, four dialects: separator, encoding, and what the notes hold
+DIALECTS = (
+    (",", "UTF-8", "'plain'"), (";", "windows-1252", "'Zürich €'"),
+    ("|", "ISO-8859-1", "'Genève'"), ("\t", "UTF-8", "'Łódź, ' || o_orderstatus"),
+)
+DIALECT_NOTE = "CASE o_orderkey % 4 {} END".format(
+    " ".join(f"WHEN {k} THEN {note}" for k, (_, _, note) in enumerate(DIALECTS))
+)
+
+
+def mixed_folder(spark, sf):
+    """Orders by o_orderkey % 4 in files of one folder, each group in a dialect of its own."""
+    folder = scratch_folder(spark)
+    rows = table(spark, sf, "orders").withColumn("note", F.expr(DIALECT_NOTE))
+    for k, (separator, encoding, _) in enumerate(DIALECTS):
+        part = rows.where(F.col("o_orderkey") % 4 == k)
+        part = part.select("o_orderkey", "o_totalprice", "note")
+        names = F.lit(separator.join(part.columns))
+        lines_ = part.select(F.concat_ws(separator, *part.columns).alias("value"))
+        # every file gets its header: written by the csv writer where the charset is Spark's own
+        if encoding != "windows-1252":
+            part.write.mode("append").options(header=True, sep=separator, encoding=encoding).csv(folder)
+            continue
+        # its euro sign is byte 0x80, which ISO-8859-1 writes as U+0080
+        coded = F.encode(F.replace("value", F.lit("€"), F.lit("\x80")), "ISO-8859-1").cast("string")
+        with_head = lines_.select(coded.alias("value")).groupBy(F.spark_partition_id().alias("p")).agg(
+            F.collect_list("value").alias("all")
+        )
+        text = F.concat_ws("\n", names, F.array_join("all", "\n")).alias("value")
+        with_head.select(text).write.mode("append").option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+@query(
+    "a04_mixed_folder",
+    f"SELECT o_orderkey, o_totalprice, {DIALECT_NOTE} AS note FROM orders",
+)
+def mixed_folder_rows(spark, sf):
+    """Every file by its own separator and encoding, all rows in one table."""
+    return loader.load(spark, mixed_folder(spark, sf)).data
+
+
+@query(
+    "a06_records_by_dialect",
+    """SELECT CASE o_orderkey % 4 WHEN 0 THEN 'ascii' WHEN 1 THEN 'windows-1252'
+             WHEN 2 THEN 'ISO-8859-1' ELSE 'UTF-8' END AS encoding,
+         CASE o_orderkey % 4 WHEN 0 THEN ',' WHEN 1 THEN ';' WHEN 2 THEN '|' ELSE chr(9) END AS delimiter,
+         true AS has_header, count(*) AS records
+       FROM orders GROUP BY ALL""",
+)
+def records_by_dialect(spark, sf):
+    folder = mixed_folder(spark, sf)
+    found = loader.file_verdicts(spark, folder)
+    counts = lines.read_raw_lines(spark, folder).groupBy("file").agg(F.count("*").alias("n"))
+    return (
+        found.join(counts, "file")
+        .groupBy("encoding", "delimiter", "has_header")
+        .agg(F.sum(F.col("n") - F.col("has_header").cast("int")).alias("records"))
+    )
+
+
 @query("a03_rejected_rows", portable(f"SELECT value FROM order_lines WHERE {TOO_LONG}"))
 def rejected_rows(spark, sf):
     _, rejects = delimited.parse_delimited(view(spark, sf, "order_lines"), ORDER_COLUMNS)
@@ -130,7 +228,19 @@ def detect_header(spark, sf):
     return detected(spark, sf, "has_header")
 
 
-@query("a06_detect_encoding")
+@query(
+    "a06_detect_encoding",
+    """WITH seen AS (
+         SELECT lang || '.utf8' AS file, regexp_matches(text, '[^\\x00-\\x7F]') AS beyond, false AS invalid,
+           false AS c1 FROM documents
+         UNION ALL SELECT lang || '.latin1', regexp_matches(text, '[\\x{80}-\\x{FF}]'),
+           regexp_matches(text, '[\\x{80}-\\x{FF}]'), regexp_matches(text, '[\\x{80}-\\x{9F}]') FROM documents)
+       SELECT file, CASE WHEN count(*) FILTER (beyond) = 0 THEN 'ascii'
+           WHEN count(*) FILTER (invalid) = 0 THEN 'UTF-8'
+           WHEN count(*) FILTER (c1) > 0 THEN 'windows-1252' ELSE 'ISO-8859-1' END AS encoding,
+         1.0::DOUBLE AS confidence, false AS uncertain
+       FROM seen GROUP BY file""",
+)
 def detect_encoding(spark, sf):
     text = table(spark, sf, "documents").select("doc_id", "lang", "text")
     mappable = F.regexp_replace("text", r"[^\x00-\xff]", "?")
@@ -362,15 +472,55 @@ def json_documents(spark, sf):
     return jsonlines.parse_json_documents(view(spark, sf, "json_documents"), keep=("event_id",))
 
 
-@query("a15_read_json_files")
+@query(
+    "a15_read_json_files",
+    """SELECT event_id, event_type AS type, CASE WHEN event_id % 5 < 4 THEN event_id * 2 END AS twice,
+         CASE WHEN event_id % 5 = 4 THEN event_id / 4 END AS quarter FROM events""",
+)
 def read_json_files(spark, sf):
+    """A folder where every file has a shape of its own: objects by line, arrays by line, one array
+    or one object over many lines, one array in one line."""
+    return jsonlines.read_json_files(spark, json_folder(spark, sf))[0]
+
+
+@query(
+    "a15_json_file_rejects",
+    "SELECT '{\"event_id\": ' || event_id AS value FROM events WHERE event_id % 15 = 0",
+)
+def json_file_rejects(spark, sf):
+    return jsonlines.read_json_files(spark, json_folder(spark, sf))[1]
+
+
+def json_folder(spark, sf):
     folder = scratch_folder(spark)
-    arrays = view(spark, sf, "json_documents").select("value").withColumn(
-        "value", F.concat(F.lit("["), "value", F.lit("]"))
+    rows = table(spark, sf, "events").selectExpr(
+        "event_id", "event_type AS type", "event_id * 2 AS twice", "event_id % 5 AS kind",
     )
-    packed = arrays.groupBy((F.xxhash64("value") % 4).alias("g")).agg(F.count("*").alias("n"))
-    packed.select(F.concat(F.lit("["), F.to_json(F.struct("g", "n")), F.lit("]"))).write.text(folder)
-    return jsonlines.read_json(spark, folder)
+    plain = F.struct("event_id", "type", "twice")
+    text = F.to_json(plain)
+    pretty = {"pretty": "true"}
+    many = F.collect_list(plain)
+    group = F.floor(F.col("event_id") / 500).alias("g")
+
+    def of(kind):
+        return rows.where(F.col("kind") == kind)
+
+    def write(frame, one_per_file=False):
+        writer = frame.write.mode("append")
+        (writer.option("maxRecordsPerFile", 1) if one_per_file else writer).text(folder)
+
+    broken = F.concat(F.lit('{"event_id": '), "event_id").alias("value")
+    write(
+        of(0).select(F.explode(F.array(text, F.when(F.col("event_id") % 15 == 0, broken))).alias("value"))
+        .where("value is not null")
+    )
+    write(of(1).select(F.concat(F.lit("["), text, F.lit("]")).alias("value")))
+    write(of(2).groupBy(group).agg(F.to_json(many, pretty).alias("value")).select("value"), True)
+    write(of(3).groupBy(group).agg(F.to_json(many).alias("value")).select("value"), True)
+    quarter = F.struct("event_id", "type", (F.col("event_id") / 4).alias("quarter"))
+    write(of(4).select(F.to_json(quarter, pretty).alias("value")).where("event_id < 100"), True)
+    write(of(4).where("event_id >= 100").select(F.to_json(quarter).alias("value")))
+    return folder
 
 
 @query(
@@ -419,12 +569,34 @@ def unwrap_lines(spark, sf):
     return text.select("event_id", unwrap_line(F.col("value")).alias("value"))
 
 
-@query("a19_fallback_readings")
-def fallback_readings(spark, sf):
+PLACES = "CASE WHEN o_orderkey % 7 = 0 THEN 'Zürich, CH' ELSE o_orderpriority END"
+
+
+def semicolon_folder(spark, sf):
     folder = scratch_folder(spark)
-    text = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    text.write.option("header", True).option("sep", ";").csv(folder)
-    return delimited.rank_fallbacks(spark, folder)
+    text = table(spark, sf, "orders").select("o_orderkey", F.expr(PLACES).alias("place"), "o_orderstatus")
+    text.write.options(header=True, sep=";", encoding="ISO-8859-1").csv(folder)
+    return folder
+
+
+@query(
+    "a19_fallback_readings",
+    """WITH n AS (SELECT count(*) FILTER (o_orderkey % 7 = 0) AS k FROM orders)
+       SELECT place, separator, encoding, columns, CASE WHEN separator = ',' THEN k ELSE 0 END AS rejects,
+         CASE WHEN encoding = 'UTF-8' THEN k ELSE 0 END AS damaged
+       FROM n, (VALUES (0, ',', 'UTF-8', 1), (1, chr(9), 'UTF-8', 1), (2, ';', 'UTF-8', 3),
+         (3, ',', 'ISO-8859-1', 1), (4, ',', 'windows-1252', 1)) AS t(place, separator, encoding, columns)""",
+)
+def fallback_readings(spark, sf):
+    return delimited.rank_fallbacks(spark, semicolon_folder(spark, sf))
+
+
+@query(
+    "a19_load_by_dialect",
+    f"SELECT o_orderkey, {PLACES} AS place, o_orderstatus FROM orders",
+)
+def load_by_dialect(spark, sf):
+    return loader.load(spark, semicolon_folder(spark, sf)).data
 
 
 # ------------------------------------------------------------------ slices and freshness
@@ -499,19 +671,34 @@ def freshness_of_text(spark, sf):
     "a22_input_warnings",
     """SELECT 'Only 1 column detected — file may not have parsed correctly. Check delimiter or file format.' AS warning
        UNION ALL SELECT 'Only ' || count(*) || ' rows loaded — dataset is very small.' FROM region
-       WHERE r_regionkey < 4 HAVING count(*) < 5""",
+       HAVING count(*) < 5""",
 )
 def input_warnings(spark, sf):
-    return loader.input_warnings(table(spark, sf, "region").where("r_regionkey < 4").select("r_name"))
+    return loader.input_warnings(table(spark, sf, "region").select("r_name"))
 
 
-@query("a23_parse_report")
+@query(
+    "a23_parse_report",
+    """SELECT 'tabular' AS file_type, 'ascii' AS encoding, 1.0::DOUBLE AS encoding_confidence,
+         '|' AS delimiter, true AS headers_detected, 'high' AS parse_confidence,
+         'full_load' AS load_strategy, count(*) AS rows_loaded, 0::BIGINT AS rejected_rows,
+         0::BIGINT AS encoding_error_cells, false AS fallback_used,
+         strftime(max(o_orderdate), '%Y-%m-%d') AS most_recent_record,
+         CAST(floor((epoch_us(TIMESTAMP '2024-03-01') - epoch_us(max(o_orderdate))) / 86400000000) AS BIGINT)
+           AS age_days, 1 AS dialects, 1 AS warnings
+       FROM orders""",
+)
 def parse_report(spark, sf):
     folder = scratch_folder(spark)
     rows = table(spark, sf, "orders")
     rows.write.option("header", True).option("sep", "|").csv(folder)
     loaded = loader.load(spark, folder, F.lit("2024-03-01 00:00:00").cast("timestamp"))
-    return loaded.parse_report.drop("file_path")
+    return loaded.parse_report.select(
+        "file_type", "encoding", "encoding_confidence", "delimiter", "headers_detected",
+        "parse_confidence", "load_strategy", "rows_loaded", "rejected_rows", "encoding_error_cells",
+        "fallback_used", "freshness.most_recent_record", "freshness.age_days",
+        F.size("dialects").alias("dialects"), F.size("warnings").alias("warnings"),
+    )
 
 
 # ------------------------------------------------------------------ tables

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablecheck.functions.text import REPLACEMENT_CHARACTER
 from tablecheck.operators.table import collect_aggregates
 from tablecheck.session import small_frame
-from tablecheck.sources.lines import C1_AS_WINDOWS_1252, C1_CONTROLS
+from tablecheck.sources.lines import decoded, file_paths, read_lines, read_raw_lines
+from tablecheck.sources.records import records
 
 # Cell text that means "missing".
 NA_TOKENS = (
@@ -43,26 +45,81 @@ def read_delimited(
 ) -> tuple[DataFrame, DataFrame]:
     """``(rows, rejects)``, all cells as text, missing tokens as NULL.
 
-    Rows with too few cells are filled up; rows with too many are rejected.
+    Rows with too few cells are filled up; rows with too many are rejected. Quoted cells may hold
+    line breaks (``\n`` in the result, whatever the file has). Files with different names are read
+    one after the other kind and united by name. Blank lines are skipped.
     """
-    reader = spark.read.options(header=header, encoding=encoding, **_options(separator))
-    names = reader.csv(path).columns
+    return read_located(spark, path, separator, header, encoding, keep=())
+
+
+def read_located(
+    spark: SparkSession,
+    path,
+    separator: str = ",",
+    header: bool = True,
+    encoding: str = "UTF-8",
+    keep: tuple[str, ...] = ("file", "position"),
+) -> tuple[DataFrame, DataFrame]:
+    """Like :func:`read_delimited`, with the file and position of every row (``keep``)."""
+    found = records(read_lines(spark, path, encoding), separator)
+    found = found.where(F.btrim("value") != "")
+    layouts: dict[tuple, list] = {}
+    for first in first_records(found).collect():  # one row per file
+        layouts.setdefault(tuple(column_names(first.value, separator, header)), []).append(first)
+    if not layouts:
+        raise ValueError("Parsing produced an empty dataset.")
+    if len(layouts) > 1:
+        parts = [
+            read_located(spark, file_paths(x.file for x in files), separator, header, encoding, keep)
+            for files in layouts.values()
+        ]
+        return tuple(
+            reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), side)
+            for side in zip(*parts)
+        )
+    ((names, firsts),) = layouts.items()
+    if header:
+        schema = "file string, position struct<block:bigint,line:bigint>"
+        heads = [{"file": x.file, "position": x.position.asDict()} for x in firsts]
+        heads = F.broadcast(small_frame(spark, heads, schema))
+        found = found.join(heads, ["file", "position"], "left_anti")
+    return parse_delimited(found, list(names), separator, keep)
+
+
+def first_records(found: DataFrame) -> DataFrame:
+    """``(file, position, value)`` of the first record of every file."""
+    first = F.min(F.struct("position", "value")).alias("first")
+    return found.groupBy("file").agg(first).select("file", "first.*")
+
+
+def column_names(first: str, separator: str, header: bool) -> list[str]:
+    """Names from the first record: repeated ones get ``.1``, ``.2``, empty ones their place.
+
+    As Spark does not tell names apart by case, neither does the count of repeats.
+    """
+    cells = next(csv.reader([first], delimiter=separator))
     if not header:
-        names = [f"col_{k + 1}" for k in range(len(names))]
-    # the file header is not compared with our positional names
-    cells = reader.options(enforceSchema=True, columnPruning=False).schema(
-        _cell_schema(names)
-    )
-    return _split_rejects(cells.csv(path), names, separator)
+        return [f"col_{k + 1}" for k in range(len(cells))]
+    names, taken = [], set()
+    for k, cell in enumerate(cells):
+        name = wanted = cell or f"Unnamed: {k}"
+        repeat = 0
+        while name.lower() in taken:
+            repeat += 1
+            name = f"{wanted}.{repeat}"
+        taken.add(name.lower())
+        names.append(name)
+    return names
 
 
 def parse_delimited(
-    lines: DataFrame, names: list[str], separator: str = ","
+    lines: DataFrame, names: list[str], separator: str = ",", keep: tuple[str, ...] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """Like :func:`read_delimited` for records that are already a ``value`` column."""
     cells = F.from_csv("value", _cell_schema(names), _options(separator))
     # as a generator, so that each record is parsed once and not once per column
-    return _split_rejects(lines.select(F.inline(F.array(cells))), names, separator)
+    parsed = lines.select(*[F.col(k).alias(f"_{k}") for k in keep], F.inline(F.array(cells)))
+    return _split_rejects(parsed, names, separator, keep)
 
 
 def _options(separator: str) -> dict[str, str]:
@@ -81,7 +138,7 @@ def _cell_schema(names: list[str]) -> str:
     return ", ".join(f"{k} string" for k in (*keys, _EXTRA, _RAW))
 
 
-def _split_rejects(cells: DataFrame, names: list[str], separator: str):
+def _split_rejects(cells: DataFrame, names: list[str], separator: str, keep: tuple[str, ...]):
     """The schema has one cell more than the table, so the parser keeps the raw text of
     every row except those with exactly one cell too many; of the others, a row is too
     long when it has at least as many separators outside quotes as the table columns."""
@@ -89,12 +146,14 @@ def _split_rejects(cells: DataFrame, names: list[str], separator: str):
     bare = F.regexp_replace(F.col(_RAW), '"[^"]*"', "")
     separators = F.length(bare) - F.length(F.replace(bare, F.lit(separator), F.lit("")))
     too_long = F.col(_EXTRA).isNotNull() | F.col(_RAW).isNull() | (separators >= len(names))
+    kept = [f"_{k}" for k in keep]
     good = cells.where(~too_long).select(
-        *[na_to_null(F.col(k)).alias(k) for k in keys]
+        *[na_to_null(F.col(k)).alias(k) for k in keys], *kept
     )
     rebuilt = F.to_csv(F.struct(*keys, _EXTRA), {"sep": separator, "escape": '"'})
     raw = F.coalesce(F.col(_RAW), rebuilt)
-    return good.toDF(*names), cells.where(too_long).select(raw.alias("value"))
+    rejects = cells.where(too_long).select(raw.alias("value"), *kept)
+    return good.toDF(*names, *kept), rejects
 
 
 def na_to_null(cell: Column) -> Column:
@@ -188,29 +247,57 @@ def damaged_row_sample(
     return keys.orderBy("key").limit(limit)
 
 
+def damaged_places(rows: DataFrame, names: list[str], per_column: int, limit: int) -> list:
+    """``(file, position)`` of the first rows with damaged cells, some per column; one scan of rows
+    that carry their place (:func:`read_located`)."""
+    hit = [F.when(is_damaged(F.col(f"`{c}`")), F.lit(k)) for k, c in enumerate(names)]
+    marked = rows.select("_file", "_position", F.array_compact(F.array(*hit)).alias("hit"))
+    long = marked.select(
+        F.col("_file").alias("file"), F.col("_position").alias("position"), F.explode("hit").alias("k")
+    )
+    order = Window.partitionBy("k").orderBy("file", "position")
+    first = long.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_column)
+    return first.select("file", "position").distinct().orderBy("file", "position").limit(limit).collect()
+
+
 # ------------------------------------------------------------------ fallback
 
 
 def rank_fallbacks(spark: SparkSession, path) -> DataFrame:
-    """Every fallback reading with its width, rejected rows and damaged cells, best first.
+    """Every fallback reading with its width, rejected records and damaged lines, best first.
 
-    More than one column beats one; then fewer damaged cells, then fewer rejects,
-    then the order of :data:`FALLBACKS`.
+    All readings are judged in two scans over the raw lines, each reading a few aggregates: the
+    width of the first record, then how many lines are wider or hold text that the encoding cannot
+    read. More than one column beats one; then fewer damaged lines, then fewer rejects, then the
+    order of :data:`FALLBACKS`.
     """
-    found = []
-    for place, (separator, encoding) in enumerate(FALLBACKS):
-        rows, rejects = read_in_encoding(spark, path, separator, encoding)
-        damage = reduce(
-            lambda a, b: a + b,
-            [F.count_if(is_damaged(F.col(f"`{c}`"))) for c in rows.columns],
-        )
-        found.append(
-            {
-                "place": place, "separator": separator, "encoding": encoding,
-                "columns": len(rows.columns), "rejects": rejects.count(),
-                "damaged": rows.agg(damage).first()[0],
-            }
-        )
+    raw = read_raw_lines(spark, path)
+    raw = raw.where(F.btrim(decoded(F.col("value"), "ISO-8859-1")) != "")
+    width, damaged = [], []
+    for separator, encoding in FALLBACKS:
+        text = decoded(F.col("value"), encoding)
+        bare = F.regexp_replace(text, '"[^"]*"', "")
+        width.append(F.length(bare) - F.length(F.replace(bare, F.lit(separator), F.lit(""))) + 1)
+        damaged.append(is_damaged(text))
+    places = range(len(FALLBACKS))
+    by_file = raw.groupBy("file").agg(
+        F.min(F.struct("position", F.array(*width).alias("width")))["width"].alias("width")
+    )
+    # files of one folder may differ; the narrowest one speaks for a reading
+    widths = by_file.agg(*[F.min(F.col("width")[k]).alias(f"w{k}") for k in places]).first()
+    if widths.w0 is None:
+        raise ValueError("Parsing produced an empty dataset.")
+    counts = raw.agg(
+        *[F.count_if(width[k] > widths[k]).alias(f"r{k}") for k in places],
+        *[F.count_if(damaged[k]).alias(f"d{k}") for k in places],
+    ).first()
+    found = [
+        {
+            "place": k, "separator": FALLBACKS[k][0], "encoding": FALLBACKS[k][1],
+            "columns": widths[k], "rejects": counts[f"r{k}"], "damaged": counts[f"d{k}"],
+        }
+        for k in places
+    ]
     found.sort(
         key=lambda r: (r["columns"] < 2, r["damaged"], r["rejects"], r["place"])
     )
@@ -219,17 +306,3 @@ def rank_fallbacks(spark: SparkSession, path) -> DataFrame:
         "place int, separator string, encoding string, columns int, "
         "rejects bigint, damaged bigint",
     )
-
-
-def read_in_encoding(
-    spark: SparkSession, path, separator: str, encoding: str, header: bool = True
-):
-    """Like :func:`read_delimited`; windows-1252 is read byte-wise and translated, as
-    Spark does not offer that charset."""
-    if encoding != "windows-1252":
-        return read_delimited(spark, path, separator, header, encoding)
-    rows, rejects = read_delimited(spark, path, separator, header, "ISO-8859-1")
-    translated = [
-        F.translate(F.col(f"`{c}`"), C1_CONTROLS, C1_AS_WINDOWS_1252).alias(c) for c in rows.columns
-    ]
-    return rows.select(*translated), rejects

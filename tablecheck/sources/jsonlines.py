@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecheck.functions.text import stripped
+from tablecheck.sources.lines import file_paths, read_lines
+
+_RAW = "_corrupt_record"
 
 
 def read_json(spark: SparkSession, path) -> DataFrame:
@@ -17,18 +21,75 @@ def read_json(spark: SparkSession, path) -> DataFrame:
 
 def json_files(text: DataFrame) -> DataFrame:
     """Per file of ``(file, position, value)`` lines: does the text open with a bracket
-    (``is_array``), and is every line that is not blank a JSON value (``by_line``)?"""
-    first = F.min_by(F.substring(stripped(F.col("value")), 1, 1), F.col("position"))
+    (``is_array``), and how it is read (``shape``).
+
+    ``lines``: at least half of the lines that are not blank are arrays or objects by themselves;
+    ``spread``: one document over many lines.
+    """
+    value = stripped(F.col("value"))
+    first = F.min_by(F.substring(value, 1, 1), F.col("position"))
+    share = F.count_if(is_container(F.col("value"))) * 2 >= F.count("*")
     return (
-        text.where(stripped(F.col("value")) != "")
+        text.where(value != "")
         .groupBy("file")
-        .agg(
-            (first == "[").alias("is_array"),
-            F.every(F.try_parse_json("value").isNotNull()).alias("by_line"),
-        )
+        .agg((first == "[").alias("is_array"), F.when(share, "lines").otherwise("spread").alias("shape"))
     )
 
 
+def is_container(value: Column) -> Column:
+    """Is the text one JSON array or object, and nothing after it?
+
+    The parser ignores what follows the first value; within brackets it is a second element.
+    """
+    text = stripped(value)
+    ends = F.concat(F.substring(text, 1, 1), F.right(text, F.lit(1)))
+    inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    values = F.size(F.try_variant_get(inside, "$", "array<variant>"))
+    return ends.isin("[]", "{}") & F.coalesce(values == 1, F.lit(False))
+
+
+def read_json_files(
+    spark: SparkSession, path, encoding: str = "UTF-8"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(rows, rejects, shapes)`` of files that each have a shape of their own (:func:`json_files`).
+
+    Files of lines are split and read by line, whether arrays or objects; a spread document is read
+    by one task. Both are parsed with one schema that covers all their keys. Rejects are lines that
+    are neither array nor object, and what is left of documents that break off.
+    """
+    text = read_lines(spark, path, encoding)
+    shapes = json_files(text)
+    files: dict[str, list[str]] = {"lines": [], "spread": []}
+    for row in shapes.select("file", "shape").collect():  # one row per file
+        files[row["shape"]].append(row["file"])
+    documents, rejects = [], []
+    if files["lines"]:
+        whole = not files["spread"]
+        by_line = text if whole else read_lines(spark, file_paths(files["lines"]), encoding)
+        by_line = by_line.where(stripped(F.col("value")) != "").select("value")
+        documents.append(by_line.where(is_container(F.col("value"))))
+        rejects.append(by_line.where(~is_container(F.col("value"))))
+    if files["spread"]:
+        charset = "ISO-8859-1" if encoding == "windows-1252" else encoding
+        reader = spark.read.options(multiLine=True, encoding=charset, columnNameOfCorruptRecord=_RAW)
+        spread = reader.json(file_paths(files["spread"]))
+        names = [c for c in spread.columns if c != _RAW]
+        if not names:  # none of them can be read
+            broken = spark.read.text(file_paths(files["spread"]), wholetext=True)
+            rejects.append(broken.select("value"))
+        else:
+            one = F.to_json(F.struct(*[f"`{c}`" for c in names]), {"ignoreNullFields": "false"})
+            raw = F.col(_RAW) if _RAW in spread.columns else F.lit(None).cast("string")
+            # Spark does not read the column of broken records alone
+            read = spread.select(one.alias("value"), raw.alias(_RAW)).where("value is not null")
+            documents.append(read.where(f"{_RAW} is null").select("value"))
+            rejects.append(read.where(f"{_RAW} is not null").select(F.col(_RAW).alias("value")))
+    if not documents:
+        raise ValueError("Could not parse any line as a JSON object.")
+    rows = parse_json_documents(reduce(DataFrame.unionByName, documents))
+    return rows, reduce(DataFrame.unionByName, rejects), shapes
+
+
 def json_line_schema(lines: DataFrame) -> str:
     """Schema that covers the objects of all lines, found in one distributed pass."""
     return _merged_schema(lines.select(F.try_parse_json("value").alias("v")))

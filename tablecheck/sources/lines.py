@@ -5,8 +5,10 @@ Detection looks at the first twenty lines of every file, all files in one job.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import add
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,6 +72,27 @@ def read_raw_lines(spark: SparkSession, path) -> DataFrame:
     )
 
 
+def file_paths(files) -> list[str]:
+    """Paths to read again, from the ``file`` of lines: plain text, with pattern signs escaped."""
+    return [re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(file)) for file in files]
+
+
+def row_indices(lines: DataFrame, marked: list) -> list[dict]:
+    """``(file, row)`` of a few marked lines, given as (file, position): how many lines of the file
+    come before each. One scan whatever their number."""
+    block, line = F.col("block"), F.col("line")
+    before = [
+        F.count_if(
+            (F.col("file") == m.file)
+            & ((block < m.position.block) | (block == m.position.block) & (line < m.position.line))
+        )
+        for m in marked
+    ]
+    flat = lines.select("file", "position.*")
+    counts = flat.agg(*[b.alias(f"n{k}") for k, b in enumerate(before)]).first() if before else []
+    return [{"file": m.file, "row": n} for m, n in zip(marked, counts)]
+
+
 def read_lines(spark: SparkSession, path, encoding: str = "UTF-8") -> DataFrame:
     raw = read_raw_lines(spark, path)
     return raw.withColumn("value", decoded(F.col("value"), encoding))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tablecheck import quality_report
 from tablecheck.operators.freshness import freshness
 from tablecheck.operators.sampling import head_mid_tail_sample
-from tablecheck.sources import delimited, jsonlines, lines, loader, logs, tables
+from tablecheck.sources import delimited, jsonlines, lines, loader, logs, records, tables
 
 
 def rows(frame):
@@ -80,6 +83,137 @@ def test_fallback_ranking(spark, written):
     assert (best.separator, best.columns) == (";", 2)
 
 
+def test_fallback_reading_is_loaded(spark, written):
+    head = "".join(f"title {i}\n" for i in range(10))  # no separator where the kind is told
+    path = written("x.csv", (head + "1;Zürich “a”\n" * 30).encode("cp1252"))
+    loaded = loader.load(spark, path)
+    assert any("Could not detect delimiter" in w for w in loaded.warnings)
+    assert not parse_report(loaded)["fallback_used"]  # no reading has two columns in the first line
+    wide = written("y.csv", "a;b\nname only\n" + "1,2,3;x\n" * 12 + "1;Zürich\n")
+    loaded = loader.load(spark, wide)
+    report = parse_report(loaded)
+    assert (report["fallback_used"], report["delimiter"], report["parse_confidence"]) == (True, ";", "medium")
+    assert loaded.data.columns == ["a", "b"] and loaded.data.count() == 14
+
+
+def test_repeated_and_empty_names(spark, written):
+    good, _ = delimited.read_delimited(spark, written("x.csv", "a,a,b,,A\n1,2,3,4,5\n\n6,7,8,9,0\n"))
+    assert good.columns == ["a", "a.1", "b", "Unnamed: 3", "A.2"]
+    assert rows(good) == [("1", "2", "3", "4", "5"), ("6", "7", "8", "9", "0")]
+
+
+def test_line_breaks_in_quotes(spark, written):
+    text = "id,note,n\n" + "".join(f'{i},"line ""one""\n\nline, two",{i}\n' for i in range(10))
+    loaded = loader.load(spark, written("x.csv", text))
+    assert sorted(rows(loaded.data)) == [(i, 'line "one"\n\nline, two', i) for i in range(10)]
+    assert loaded.rejects.count() == 0
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = [spark.conf.get(n) for n in names]
+    for name, value in zip(names, ("8000", "1")):
+        spark.conf.set(name, value)
+    yield
+    for name, value in zip(names, old):
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_records_over_many_splits(spark, tmp_path, small_splits, seed):
+    rng, wanted = random.Random(seed), []
+    for f in range(3):
+        with open(tmp_path / f"part [{f}].csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator="\n")
+            writer.writerow(["id", "t", "u"] if f else ["id", "u", "z"])
+            for i in range(400):
+                pieces = ["a", "b", '"', ",", "\n", "x y", " ", "long text here" * rng.choice([1, 1, 1, 90])]
+                row = [f"{f}-{i}", *("k" + "".join(rng.choices(pieces, k=rng.randrange(9))) for _ in "ab")]
+                writer.writerow(row)
+                wanted.append(tuple([*row, None] if f else [row[0], None, *row[1:]]))
+    good, rejects = delimited.read_delimited(spark, str(tmp_path))
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 12
+    assert sorted(rows(good.select("id", "t", "u", "z")), key=str) == sorted(wanted, key=str)
+    assert rejects.count() == 0
+
+
+def test_stray_quote_does_not_swallow_the_file(spark, tmp_path, small_splits):
+    lines_ = [f'{i},"{i} inch' if i == 700 else f"{i},plain text" for i in range(1500)]
+    (tmp_path / "a.csv").write_text("id,t\n" + "\n".join(lines_))
+    (tmp_path / "b.csv").write_text('id,t\n1,"two\nlines"\n')
+    good, _ = delimited.read_delimited(spark, str(tmp_path))
+    assert good.count() == 1501
+    assert rows(good.where("t like 'two%'")) == [("1", "two\nlines")]
+
+
+def test_states_of_quotes():
+    def plain(line, inside):
+        state = "quoted" if inside else "start"
+        for x in line:
+            if state == "quoted":
+                state = "after" if x == '"' else "quoted"
+            elif x == '"' and state in ("start", "after"):
+                state = "quoted"
+            else:
+                state = "start" if x == "," else "cell"
+        return state == "quoted"
+
+    quotes, rng = records.Quotes(","), random.Random(3)
+    for _ in range(20_000):
+        line = "".join(rng.choices('a,""', k=rng.randrange(12)))
+        for inside in (False, True):
+            assert quotes.after(line, inside) == plain(line, inside), (line, inside)
+
+
+def test_every_file_in_its_own_dialect(spark, written, tmp_path):
+    written("a.csv", "id,name\n" + "".join(f"{i},x{i}\n" for i in range(10)))
+    written("b.csv", "id;name\n" + "".join(f"{i};y{i}\n" for i in range(10, 20)))
+    written("c.csv", ("name|id\n" + "".join(f"Zürich|{i}\n" for i in range(20, 30))).encode("latin-1"))
+    written("d.json", '[{"id": 30, "name": "j"},\n {"id": 31, "size": 0.5}]')
+    loaded = loader.load(spark, str(tmp_path))
+    names = {r.id: r.name for r in loaded.data.collect()}
+    assert names == {
+        **{i: f"x{i}" for i in range(10)}, **{i: f"y{i}" for i in range(10, 20)},
+        **{i: "Zürich" for i in range(20, 30)}, 30: "j", 31: None,
+    }
+    assert loaded.data.columns == ["id", "name", "size"]
+    report = parse_report(loaded)
+    assert (report["file_type"], report["encoding"], report["delimiter"]) == ("mixed", None, None)
+    seen = {(d["file_type"], d["encoding"], d["delimiter"], d["files"]) for d in report["dialects"]}
+    assert seen == {
+        ("tabular", "ascii", ",", 1), ("tabular", "ascii", ";", 1),
+        ("tabular", "ISO-8859-1", "|", 1), ("json_log", "ascii", None, 1),
+    }
+
+
+def test_json_shapes_of_one_folder(spark, written, tmp_path):
+    for k in range(7):
+        written(f"l{k}.json", f'[{{"a": {2 * k}}}]\n[{{"a": {2 * k + 1}}}]\n')
+    written("p.json", '[\n  {"a": 14},\n  {"a": 15}\n]')
+    assert sorted(rows(loader.load(spark, str(tmp_path)).data)) == [(i,) for i in range(16)]
+
+
+def test_minified_lines_and_pretty_json(spark, written, tmp_path):
+    written("m.json", '[{"a": 1}, {"a": 2}]')
+    written("l.json", '{"a": 3}\n{"a": 4, "b": [1, {"c": null}]}\nnope\n{"a": 8}, {"a": 9}\n')
+    written("p.json", '{\n  "a": 5\n}')
+    written("q.json", '[\n{"a": 6}\n]')
+    written("x.json", '{\n  "a": 7,\n')
+    loaded = loader.load(spark, str(tmp_path))
+    assert sorted(r.a for r in loaded.data.collect()) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r.value.strip()[:4] for r in loaded.rejects.collect()) == ["nope", "{\n  ", '{"a"']
+    assert loader.JSON_ARRAY in loaded.warnings and loader.JSON_OBJECT in loaded.warnings
+
+
+def test_places_of_damaged_rows(spark, written):
+    bad = {3, 4, 9, 17, 18, 25, 30}
+    text = "id,t\n" + "".join(f"{i},{'a�' if i in bad else 'ok'}\n" for i in range(40))
+    report = parse_report(loader.load(spark, written("x.csv", text)))
+    assert report["encoding_error_cells"] == 7
+    assert [r["row"] for r in report["corrupted_rows"]] == [3, 4, 9, 17, 18]
+
+
 def test_json_shapes(spark, written):
     array = loader.load(spark, written("a.json", '[{"a": 1, "b": "x"},\n {"a": 2, "b": "y"}]'))
     assert rows(array.data) == [(1, "x"), (2, "y")]
