@@ -10,6 +10,7 @@ from functools import reduce
 from operator import add
 from urllib.parse import unquote
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,6 +106,34 @@ def head_lines(lines: DataFrame, count: int = SAMPLE_LINES) -> DataFrame:
     return numbered.where(F.col("line_no") <= count)
 
 
+def file_heads(lines: DataFrame, count: int = SAMPLE_LINES) -> DataFrame:
+    """The first lines of every file, from lines in the order in which they are read.
+
+    A task passes on the first lines of the files that begin in it and drops the rest as they come,
+    so nothing is ordered but these.
+    """
+    flat = lines.where("position.block = 0").select("file", "position", "value")
+    return flat.mapInArrow(
+        lambda batches: _heads(batches, count),
+        "file string, position struct<block:bigint,line:bigint>, value string",
+    )
+
+
+def _heads(batches, count: int):
+    file, seen = None, 0
+    for batch in batches:
+        start, names = 0, batch.column("file")
+        while start < batch.num_rows:
+            if names[start].as_py() != file:
+                file, seen = names[start].as_py(), 0
+            same = pc.equal(names.slice(start), names[start])
+            length = pc.index(same, False).as_py()  # of the run of lines of this file
+            length = batch.num_rows - start if length < 0 else length
+            if seen < count:
+                yield batch.slice(start, min(length, count - seen))
+            start, seen = start + length, seen + length
+
+
 def clean_lines(lines: DataFrame) -> DataFrame:
     """Without blank and decoration lines, and without spreadsheet quoting."""
     kept = lines.where(~is_junk_line(F.col("value")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 from urllib.parse import unquote
@@ -58,19 +57,18 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def check_input(spark: SparkSession, path: str):
     """Number and size of the files; raises for missing, empty or unknown input."""
+    ending = F.lower(F.regexp_extract("path", r"(\.[^./]+)?$", 0))
+    unknown = F.min(F.when(~ending.isin(*EXTENSIONS), ending)).alias("unknown")
     try:
         files = list_files(spark, path)
-        size = files.agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).first()
+        size = files.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), unknown).first()
     except AnalysisException as error:
         raise FileNotFoundError(f"File not found: {path}") from error
     if not size.files or not size.bytes:
         raise ValueError("File is empty.")
-    ending = F.lower(F.regexp_extract("path", r"(\.[^./]+)?$", 0))
-    unknown = files.where(~ending.isin(*EXTENSIONS)).limit(1).collect()
-    if unknown:
-        extension = os.path.splitext(unknown[0].path)[1].lower()
+    if size.unknown is not None:
         allowed = ", ".join(EXTENSIONS)
-        raise ValueError(f"Unsupported file extension '{extension}'. Allowed: {allowed}")
+        raise ValueError(f"Unsupported file extension '{size.unknown}'. Allowed: {allowed}")
     return size
 
 
@@ -104,7 +102,7 @@ def file_verdicts(spark: SparkSession, path) -> DataFrame:
     """
     coded = lines.encodings(lines.read_raw_lines(spark, path))
     # traces, separators and brackets are ASCII, so any encoding will do for the kind
-    found = lines.detect(lines.read_lines(spark, path))
+    found = lines.detect(lines.file_heads(lines.read_lines(spark, path)))
     return found.drop("head", "log_score").join(
         coded.withColumnRenamed("confidence", "encoding_confidence"), "file"
     )
@@ -157,7 +155,7 @@ def load(spark: SparkSession, path: str, as_of: Column | None = None) -> Loaded:
         name = unquote(part.files[0].file.rsplit("/", 1)[1])
         of = f" [{len(part.files)} file(s), first {name}]" if several else ""
         warnings.extend(w + of for w in part.warnings)
-    rows = data.count()
+    rows = sum(part.data.count() if part.rows is None else part.rows for part in parts)
     warnings.extend(sanity_warnings(len(data.columns), rows))
     report = _summary(parts, len(data.columns)) | {
         "file_path": path,
@@ -190,6 +188,7 @@ class _Part:
     warnings: list[str]
     data: DataFrame | None = None
     rejects: DataFrame | None = None
+    rows: int | None = None
 
 
 def _load_group(spark, path, dialect: Dialect, files: list) -> _Part:
@@ -313,14 +312,12 @@ def _load_delimited(spark, path, dialect, part):
     found = all(x.delimiter_found for x in part.files)
     if not found:
         part.warnings.append("Could not detect delimiter clearly. Defaulting to comma.")
-    rows, part.rejects = delimited.read_located(spark, path, separator, header, encoding)
-    bad = part.rejects.count()
-    if not found or bad and bad >= rows.count():
+    found_rows, survey = _surveyed(spark, path, separator, header, encoding)
+    if not found or survey.rejects and survey.rejects >= survey.rows:
         best = delimited.rank_fallbacks(spark, path).first()
-        if best.columns > 1 and (not found or best.rejects < bad):
+        if best.columns > 1 and (not found or best.rejects < survey.rejects):
             separator, encoding = best.separator, best.encoding
-            rows, part.rejects = delimited.read_located(spark, path, separator, header, encoding)
-            bad = part.rejects.count()
+            found_rows, survey = _surveyed(spark, path, separator, header, encoding)
             part.report |= {
                 "delimiter": separator, "encoding": encoding,
                 "fallback_used": True, "parse_confidence": "medium",
@@ -331,12 +328,13 @@ def _load_delimited(spark, path, dialect, part):
             )
     if not header:
         part.warnings.append(NO_HEADERS)
+    bad, damaged = survey.rejects, sum(survey.damaged.values())
     part.report["rejected_rows"] = bad
     if bad:
         part.warnings.append(f"{bad} rows have more cells than columns and were set aside.")
-    names = [c for c in rows.columns if c not in ("_file", "_position")]
+    rows, part.rejects = delimited.united(found_rows)
+    names = list(survey.cells)
     cells = rows.select([f"`{c}`" for c in names])
-    damaged = delimited.damaged_cell_counts(cells).agg(F.sum("damaged")).first()[0] or 0
     if damaged:
         part.report["encoding_error_cells"] = damaged
         part.warnings.append(f"{damaged} cells had encoding errors. Values replaced with NULL.")
@@ -344,4 +342,10 @@ def _load_delimited(spark, path, dialect, part):
         located = rows.select(F.col("_file").alias("file"), F.col("_position").alias("position"))
         part.report["corrupted_rows"] = lines.row_indices(located, marked)
         cells = delimited.without_damaged_cells(cells)
-    part.data = delimited.typed(cells)
+    part.rows = survey.rows
+    part.data = delimited.typed(cells, survey.types())
+
+
+def _surveyed(spark, path, separator, header, encoding):
+    found = delimited.readings(spark, path, separator, header, encoding, ("file", "position"))
+    return found, reduce(delimited.Survey.merged, [reading.survey() for reading in found])

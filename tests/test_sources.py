@@ -147,6 +147,27 @@ def test_stray_quote_does_not_swallow_the_file(spark, tmp_path, small_splits):
     assert rows(good.where("t like 'two%'")) == [("1", "two\nlines")]
 
 
+def test_heads_of_files_without_ordering_all_lines(spark, tmp_path, small_splits):
+    for name, count in (("a", 3000), ("b", 7), ("c", 1), ("d", 900)):
+        (tmp_path / f"{name}.txt").write_text("\n".join(f"{name}{i}" for i in range(count)))
+    heads = lines.file_heads(lines.read_lines(spark, str(tmp_path)), 20)
+    assert sorted(r.value for r in heads.collect()) == sorted(
+        f"{n}{i}" for n, count in (("a", 20), ("b", 7), ("c", 1), ("d", 20)) for i in range(count)
+    )
+    assert "Sort" not in heads._jdf.queryExecution().toString()
+
+
+def test_survey_is_one_plan_for_any_width(spark, written):
+    text = ",".join(f"n{k}" for k in range(200)) + "\n" + "\n".join(
+        ",".join(str(i if k % 2 else f"{i}.5") for k in range(200)) for i in range(30)
+    )
+    (reading,) = delimited.readings(spark, written("wide.csv", text + "\n" + "1," * 205))
+    survey = reading.survey()
+    assert (survey.rows, survey.rejects) == (30, 1)
+    assert set(survey.types().values()) == {"bigint", "double"}
+    assert survey.types()["n1"] == "bigint" and survey.cells["n199"] == 30
+
+
 def test_states_of_quotes():
     def plain(line, inside):
         state = "quoted" if inside else "start"
