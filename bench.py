@@ -39,8 +39,7 @@ def noop(frame):
 
 
 def fingerprints(spark, sf):
-    rows = view(spark, sf, "lineitem")
-    duplicate_rows(rows, rows.count(), direct_rows=0)
+    duplicate_rows(view(spark, sf, "lineitem"))
 
 
 def delimited_text(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from checks.registry import query
@@ -9,6 +11,7 @@ from checks.statements import DIRTY, LINE, WEB, each, pairs, pct, r
 from checks.views import portable, table, view
 from tablecheck.functions.numeric import percent
 from tablecheck.operators.duplicates import duplicate_rows
+from tablecheck.operators import frequencies
 from tablecheck.operators.frequencies import value_counts
 from tablecheck.operators.freshness import time_columns
 from tablecheck.operators.metrics import TableMetrics
@@ -163,7 +166,7 @@ def duplicates_direct(spark, sf):
         rows.append({"source": name, "duplicate_rows": m.duplicate_rows})
         m.release()
     texts = table(spark, sf, "documents").select("text")
-    rows.append({"source": "documents", "duplicate_rows": duplicate_rows(texts, texts.count())})
+    rows.append({"source": "documents", "duplicate_rows": duplicate_rows(texts)})
     return small_frame(spark, rows, "source string, duplicate_rows bigint")
 
 
@@ -176,12 +179,10 @@ def duplicates_direct(spark, sf):
     ),
 )
 def duplicates_by_fingerprint(spark, sf):
-    """The way of large tables: verified candidates, too many of them, and none."""
+    """Filters of many bits, of so few that nearly all rows pass, and no repeats at all."""
     rows = []
-    for name, bound in (("dirty_orders", 1_000_000), ("very_dirty_orders", 10), ("lineitem", 10)):
-        data = view(spark, sf, name)
-        found = duplicate_rows(data, data.count(), direct_rows=0, verify_keys=bound)
-        rows.append({"source": name, "duplicate_rows": found})
+    for name, bits in (("dirty_orders", 1 << 20), ("very_dirty_orders", 64), ("lineitem", 64)):
+        rows.append({"source": name, "duplicate_rows": duplicate_rows(view(spark, sf, name), filter_bits=bits)})
     return small_frame(spark, rows, "source string, duplicate_rows bigint")
 
 
@@ -771,6 +772,37 @@ def top_ten(spark, sf):
     return found[0].unionByName(found[1])
 
 
+@query(
+    "f02_top_texts",
+    """SELECT value, n, CAST(row_number() OVER (ORDER BY n DESC, value) AS INTEGER) AS rank FROM (
+         SELECT text AS value, count(*) AS n FROM documents GROUP BY text ORDER BY n DESC, text LIMIT 10)""",
+)
+def top_texts(spark, sf):
+    """Long free texts, most of them found once: leaders are told by digests, texts fetched late."""
+    m = TableMetrics(table(spark, sf, "documents"))
+    found = frequencies.top_values(m.data, [m.column("text")], 10)[m.column("text").ordinal]
+    rows = [{"rank": k, "value": value, "n": n} for k, value, n in found]
+    m.release()
+    return small_frame(spark, rows, "rank int, value string, n bigint")
+
+
+@query(
+    "e04_unique_texts",
+    """WITH n AS (SELECT text, count(*) AS n FROM documents GROUP BY text),
+       t AS (SELECT count(*) AS total FROM documents)
+       SELECT count(*) AS distinct_texts, round_even(sum(-(n / total) * log2(n / total)) * 1e6, 0) / 1e6 AS entropy
+       FROM n, t""",
+)
+def unique_texts(spark, sf):
+    m = TableMetrics(table(spark, sf, "documents"))
+    c = m.column("text")
+    total, found = m.count(c), m._frequencies[0][c.ordinal]
+    entropy = math.log2(total) - found["n_log_n"] / total
+    m.release()
+    row = {"distinct_texts": found["distinct"], "entropy": round(entropy * 1e6) / 1e6}
+    return small_frame(spark, [row], "distinct_texts bigint, entropy double")
+
+
 SHARES = """
     SELECT {name} AS "column", {c} AS value, count(*) AS count,
       """ + pct("count(*)", "(SELECT count({c}) FROM web_log)") + """ AS pct

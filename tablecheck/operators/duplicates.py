@@ -1,14 +1,13 @@
-"""Counting repeated rows without moving whole rows when that can be avoided."""
+"""Counting repeated rows without moving the whole rows that have no equal."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many rows one grouping by all columns is the cheapest exact way.
-DIRECT_ROWS = 20_000_000
-# Most repeated fingerprints that are sent to every task (two longs each).
-VERIFY_KEYS = 1_000_000
+# Bits of the filter that keeps rows without a repeated fingerprint out of the shuffle. It is sent
+# to every task as words of 64 bits, at most half a million of them, whatever the size of the table.
+FILTER_BITS = 1 << 25
 
 
 def comparable(data: DataFrame) -> list[Column]:
@@ -31,38 +30,37 @@ def row_fingerprint(columns: list[str]) -> list[Column]:
     ]
 
 
-def duplicate_rows(
-    data: DataFrame,
-    row_count: int,
-    verify: bool = True,
-    direct_rows: int = DIRECT_ROWS,
-    verify_keys: int = VERIFY_KEYS,
-) -> int:
+def duplicate_rows(data: DataFrame, verify: bool = True, filter_bits: int = FILTER_BITS) -> int:
     """Rows minus distinct rows; NULLs are equal.
 
-    Large tables are grouped by a 16-byte fingerprint. Equal rows always share one, so
-    no repeated fingerprint proves that there are no duplicates. Repeated ones are
-    verified on the full rows: only candidate rows are shuffled while the repeated
-    fingerprints fit the broadcast bound, all rows otherwise. ``verify=False`` trusts
-    the 128-bit fingerprint and saves that step.
+    Rows are counted by a 16-byte fingerprint. Equal rows always share one, so no repeated
+    fingerprint proves that there are no duplicates, and only 16 bytes a row were moved. Repeated
+    ones are verified on the full rows, in one plan for all sizes (:func:`candidates`).
+    ``verify=False`` trusts the 128-bit fingerprint and saves that step.
     """
     rows = data.select(*comparable(data))
-    if row_count <= direct_rows:
-        return _repeats(rows.groupBy(*rows.columns))
-    keyed = rows.select(*row_fingerprint(rows.columns), *rows.columns)
-    groups = keyed.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-    if not verify:
-        return int(groups.agg(F.sum(F.col("n") - 1)).first()[0] or 0)
-    repeated = groups.select("h1", "h2").limit(verify_keys + 1).toArrow()
-    if repeated.num_rows == 0:
-        return 0
-    if repeated.num_rows <= verify_keys:
-        keys = data.sparkSession.createDataFrame(repeated)
-        candidates = keyed.join(F.broadcast(keys), ["h1", "h2"], "left_semi")
-        return _repeats(candidates.select(*rows.columns).groupBy(*rows.columns))
-    return _repeats(rows.groupBy(*rows.columns))
+    repeats = F.sum(F.col("n") - 1)
+    found = int(_repeated(rows).agg(repeats).first()[0] or 0)
+    if not found or not verify:
+        return found
+    kept = candidates(rows, filter_bits).groupBy(*rows.columns).agg(F.count("*").alias("row_copies"))
+    return int(kept.agg(F.sum(F.col("row_copies") - 1)).first()[0] or 0)
+
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    keys = rows.select(*row_fingerprint(rows.columns))
+    return keys.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
 
-def _repeats(grouped) -> int:
-    counted = grouped.agg(F.count("*").alias("row_copies"))
-    return int(counted.agg(F.sum(F.col("row_copies") - 1)).first()[0] or 0)
+
+def candidates(rows: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose fingerprint is repeated; of the others, whole rows are not shuffled but for
+    those that share a bit of the filter by chance."""
+    repeated = _repeated(rows).select("h1", "h2")
+    bit = F.col("h1").bitwiseAND(F.lit(filter_bits - 1))
+    word, mask = F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))")
+    words = repeated.select(bit.alias("bit"), word).groupBy("word").agg(F.bit_or(mask).alias("bits"))
+    keyed = rows.select(*row_fingerprint(rows.columns), *rows.columns)
+    marked = keyed.withColumns({"bit": bit, "word": word}).join(F.broadcast(words), "word")
+    passed = marked.where(F.col("bits").bitwiseAND(mask) != 0)
+    # keys are unique, so this keeps rows like a semi join, which would be moved below the filter
+    return passed.join(repeated, ["h1", "h2"]).select(*rows.columns)

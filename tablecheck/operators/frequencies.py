@@ -14,6 +14,7 @@ from tablecheck.operators.table import (
     collect_aggregates,
     stacked,
 )
+from tablecheck.session import small_frame
 
 
 def text_value(column: ColumnInfo) -> Column:
@@ -28,17 +29,99 @@ def text_value(column: ColumnInfo) -> Column:
     return value.cast("string")
 
 
+# Characters of a text that are moved with its digest; shorter texts are moved whole.
+PREFIX = 32
+
+
 def value_counts(data: DataFrame, columns: list[ColumnInfo]) -> DataFrame:
     """Long frame ``(i, value, n)``; hot values are combined before the shuffle."""
     long = stacked(data, {c.ordinal: text_value(c) for c in columns}, "value")
     return long.groupBy("i", "value").agg(F.count("*").alias("n"))
 
 
-def top_values(counts: DataFrame, limit: int) -> DataFrame:
-    """The most frequent values per column, ties by value; each task keeps ``limit``."""
-    order = Window.partitionBy("i").orderBy(F.desc("n"), "value")
+def with_digest(long: DataFrame) -> DataFrame:
+    """``start``, ``h1``, ``h2`` instead of ``value``: the first characters and, for what is longer,
+    128 bits of digest. These tell values apart as the values themselves do."""
+    value, longer = F.col("value"), F.length("value") > PREFIX
+    return long.withColumns(
+        {
+            "start": F.substring(value, 1, PREFIX),
+            "h1": F.when(longer, F.xxhash64(value)),
+            "h2": F.when(longer, F.xxhash64(F.lit(7), value)),
+        }
+    )
+
+
+def digest_counts(data: DataFrame, columns: list[ColumnInfo]) -> DataFrame:
+    """Long frame ``(i, start, h1, h2, n)``: like :func:`value_counts`, without moving long texts."""
+    long = stacked(data, {c.ordinal: text_value(c) for c in columns}, "value")
+    keys = ["i", "start", "h1", "h2"]
+    return with_digest(long).select(keys).groupBy(keys).agg(F.count("*").alias("n"))
+
+
+def leaders(counts: DataFrame, limit: int) -> DataFrame:
+    """The most frequent digests of each column, ties by the start of the text, and one more, which
+    tells whether the last place is contested. Each task keeps as many."""
+    order = Window.partitionBy("i").orderBy(F.desc("n"), "start", "h1", "h2")
     ranked = counts.withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= limit)
+    return ranked.where(F.col("rank") <= limit + 1).drop("rank")
+
+
+def with_values(data: DataFrame, columns: list[ColumnInfo], found: list, limit: int) -> dict:
+    """Per column the top values ``(rank, value, n)`` of leaders ``found``, in order.
+
+    Short ones are known from their start. Long ones are fetched by their digests. Where long texts
+    that start alike and are equally frequent contest the last places, the texts with that start are
+    counted as they are. Both are scans that move the texts in question alone.
+    """
+    groups: dict = {c.ordinal: [] for c in columns}
+    for row in found:
+        groups.get(row.i, []).append(row)
+    tops: dict = {i: [] for i in groups}
+    fetched, contested = [], []
+    for i, rows in groups.items():
+        rows.sort(key=lambda r: (-r.n, r.start.encode(), r.h1 is not None))
+        if len(rows) > limit:
+            last, beyond = rows[limit - 1], rows[limit]
+            rows = rows[:limit]
+            if (last.n, last.start) == (beyond.n, beyond.start):
+                rows = [r for r in rows if (r.n, r.start) != (last.n, last.start)]
+                contested.append({"i": i, "start": last.start, "n": last.n})
+        tops[i] = [(r.start, r.n) for r in rows if r.h1 is None]
+        fetched += [{"i": i, "h1": r.h1, "h2": r.h2, "n": r.n} for r in rows if r.h1 is not None]
+
+    def texts(keys):
+        values = {c.ordinal: text_value(c) for c in columns if c.ordinal in {k["i"] for k in keys}}
+        return with_digest(stacked(data, values, "value"))
+
+    def frame(keys, schema):  # at most ``limit`` keys per column
+        return F.broadcast(small_frame(data.sparkSession, keys, schema))
+
+    if fetched:
+        keys = frame(fetched, "i int, h1 bigint, h2 bigint, n bigint")
+        met = texts(fetched).join(keys, ["i", "h1", "h2"])
+        for row in met.groupBy("i", "h1", "h2", "n").agg(F.min("value").alias("value")).collect():
+            tops[row.i].append((row.value, row.n))
+    if contested:
+        keys = frame(contested, "i int, start string, n bigint").withColumnRenamed("n", "wanted")
+        met = texts(contested).join(keys, ["i", "start"])
+        counted = met.groupBy("i", "value", "wanted").agg(F.count("*").alias("n")).where("n = wanted")
+        order = Window.partitionBy("i").orderBy("value")
+        first = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+        for row in first.collect():
+            tops[row.i].append((row.value, row.n))
+    # as Spark does, text is ordered by its bytes
+    order = lambda x: (-x[1], x[0].encode())
+    return {
+        i: [(k, *x) for k, x in enumerate(sorted(rows, key=order)[:limit], 1)]
+        for i, rows in tops.items()
+    }
+
+
+def top_values(data: DataFrame, columns: list[ColumnInfo], limit: int) -> dict:
+    """Per column the most frequent values ``(rank, value, n)``, ties by value."""
+    found = leaders(digest_counts(data, columns), limit).collect()
+    return with_values(data, columns, found, limit)
 
 
 def frequency_summary(
@@ -46,11 +129,11 @@ def frequency_summary(
 ) -> tuple[dict, dict]:
     """Per column: distinct values, rare values, sum of ``n log2 n``; and its top values.
 
-    Both parts read the same shuffled value counts within one job.
+    Both parts read the same shuffled counts within one job.
     """
     if not columns:
         return {}, {}
-    counts = value_counts(data, columns)
+    counts = digest_counts(data, columns)
     size = max(totals) + 1
     total = F.get(F.lit([float(totals.get(i, 0)) for i in range(size)]), F.col("i"))
     summary = counts.groupBy("i").agg(
@@ -58,27 +141,15 @@ def frequency_summary(
         F.count_if(F.col("n") / total < 0.05).alias("rare"),
         F.sum(F.col("n") * F.log2(F.col("n"))).alias("n_log_n"),
     )
-    text = [c.ordinal for c in columns if c.kind == TEXT]
-    leaders = top_values(counts, top)
-    empty = F.lit(None)
-    both = summary.select(
-        "i", "distinct", "rare", "n_log_n",
-        empty.cast("int").alias("rank"),
-        empty.cast("string").alias("value"),
-        empty.cast("bigint").alias("n"),
-    ).unionByName(
-        leaders.select("i", "rank", "value", "n"), allowMissingColumns=True
-    )
-    stats: dict = {}
-    tops: dict = {i: [] for i in text}
-    for row in both.collect():
-        if row["rank"] is None:
-            stats[row.i] = {
-                "distinct": row["distinct"], "rare": row["rare"], "n_log_n": row["n_log_n"],
-            }
-        elif row.i in tops:
-            tops[row.i].append((row["rank"], row["value"], row["n"]))
-    return stats, {i: sorted(rows) for i, rows in tops.items()}
+    text = [c for c in columns if c.kind == TEXT]
+    first = leaders(counts.where(F.col("i").isin([c.ordinal for c in text])), top)
+    rows = summary.unionByName(first, allowMissingColumns=True).collect()
+    stats = {
+        row.i: {"distinct": row["distinct"], "rare": row["rare"], "n_log_n": row["n_log_n"]}
+        for row in rows if row["distinct"] is not None
+    }
+    found = [row for row in rows if row["distinct"] is None]
+    return stats, with_values(data, text, found, top)
 
 
 def distinct_counts(data: DataFrame, columns: list[ColumnInfo]) -> dict[int, int]:

@@ -433,9 +433,7 @@ class TableMetrics:
     def duplicate_rows(self) -> int:
         if not self.columns:
             return 0
-        return duplicates.duplicate_rows(
-            self.data, self.row_count, verify=self.verify_duplicates
-        )
+        return duplicates.duplicate_rows(self.data, verify=self.verify_duplicates)
 
     @property
     def duplicate_pct(self) -> float:

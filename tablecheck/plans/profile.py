@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.functions.timestamps import parse_any
-from tablecheck.operators.frequencies import top_values, value_counts
+from tablecheck.operators.frequencies import top_values
 from tablecheck.operators.metrics import TableMetrics, finite, half_even, share
 from tablecheck.operators.table import BOOLEAN, NUMERIC, TEXT
 from tablecheck.session import small_frame
@@ -134,9 +134,9 @@ def top_log_values(metrics: TableMetrics, column: str, limit: int = 5) -> DataFr
     c = metrics.column(column)
     if c is None:
         return small_frame(metrics.spark, [], "rank int, value string, count bigint")
-    counts = value_counts(metrics.data, [c])
-    ranked = top_values(counts, limit)
-    return ranked.select("rank", "value", F.col("n").alias("count"))
+    found = top_values(metrics.data, [c], limit)[c.ordinal]
+    rows = [{"rank": k, "value": value, "count": n} for k, value, n in found]
+    return small_frame(metrics.spark, rows, "rank int, value string, count bigint")
 
 
 def time_span(metrics: TableMetrics, column: str = "timestamp") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablecheck import Limits, Rule, TableMetrics, quality_report
-from tablecheck.operators.duplicates import duplicate_rows
+from tablecheck.operators import frequencies
+from tablecheck.operators.duplicates import candidates, duplicate_rows
 from tablecheck.operators.ranks import order_statistics
 from tablecheck.plans import eda, profile, rules, schema
 from tablecheck.session import small_frame
@@ -268,11 +271,37 @@ def test_rank_refinement_is_exact(spark, values):
     assert found[0] == {r: ordered[r] for r in wanted}
 
 
-@pytest.mark.parametrize("verify, keys", [(True, 1000), (True, 1), (False, 1000)])
-def test_duplicates_by_fingerprint(spark, verify, keys):
+@pytest.mark.parametrize("verify, bits", [(True, 1 << 25), (True, 64), (False, 64)])
+def test_duplicates_by_fingerprint(spark, verify, bits):
     rows = [(None, "a"), ("a", None), (None, "a"), ("a", "b"), ("ab", None), ("a", "b"), ("a", "b")]
     frame = spark.createDataFrame(rows, "x string, y string")
-    assert duplicate_rows(frame, 7, verify=verify, direct_rows=0, verify_keys=keys) == 3
+    assert duplicate_rows(frame, verify=verify, filter_bits=bits) == 3
+
+
+def test_rows_without_an_equal_stay_out_of_the_shuffle(spark):
+    rows = spark.range(5000).selectExpr("if(id % 100 = 0, 0, id) AS k", "repeat('x', 50) AS t")
+    found = candidates(rows)
+    assert found.count() == 50 and found.distinct().count() == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # whole rows meet the filter before any exchange of theirs
+    keyed, filtered = re.search(r"Join \[h1#", plan), re.search(r"BroadcastHashJoin \[word#", plan)
+    assert keyed.start() < filtered.start()  # a plan names what comes first last
+
+
+def test_top_values_of_long_texts(spark):
+    same = "s" * 40
+    texts = [f"{same}{k % 30}" for k in range(90)] + ["short"] * 3 + [same[:32]] * 3 + ["t" * 50] * 7
+    frame = spark.createDataFrame([(t, "u" * 33 + str(k)) for k, t in enumerate(texts)], "t string, u string")
+    m = TableMetrics(frame)
+    found = frequencies.top_values(m.data, m.columns, 10)
+    for place, column in enumerate(("t", "u")):
+        counts = Counter(r[place] for r in frame.collect())
+        wanted = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:10]
+        assert found[place] == [(k, v, n) for k, (v, n) in enumerate(wanted, 1)]
+    plan = frequencies.digest_counts(m.data, m.columns)._jdf.queryExecution().executedPlan().toString()
+    moved = next(x for x in plan.splitlines() if "Exchange hashpartitioning(i" in x)
+    assert "start" in moved and "value" not in moved
+    m.release()
 
 
 def test_hot_value_in_text_column(spark):
