@@ -602,6 +602,21 @@ def load_by_dialect(spark, sf):
 # ------------------------------------------------------------------ slices and freshness
 
 
+@query(
+    "a20_slices_by_large_keys",
+    """WITH t AS (SELECT o_orderkey + 4611686018427387904 AS k, o_totalprice,
+         row_number() OVER (ORDER BY o_orderkey) - 1 AS p, count(*) OVER () AS n FROM orders),
+       s AS (SELECT *, greatest(CAST(floor(n * 0.01) AS BIGINT), 50) AS w FROM t)
+       SELECT DISTINCT k, o_totalprice FROM s
+       WHERE p < w OR (p >= greatest(n // 2 - w // 2, 0) AND p < greatest(n // 2 - w // 2, 0) + w) OR p >= n - w""",
+)
+def slices_by_large_keys(spark, sf):
+    """Keys beyond 2^53, which many doubles stand for at once."""
+    rows = table(spark, sf, "orders").selectExpr("o_orderkey + 4611686018427387904 AS k", "o_totalprice")
+    return head_mid_tail_sample(rows, "k", 0.01, 50)
+
+
+
 @query(
     "a20_head_mid_tail",
     """WITH t AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS p, count(*) OVER () AS n FROM orders),

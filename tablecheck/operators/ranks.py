@@ -76,6 +76,45 @@ def order_statistics(
     return found
 
 
+def whole_order_statistics(keys: DataFrame, rows: int, ranks: set[int]) -> dict[int, int]:
+    """Whole numbers ``x`` at 0-based ranks, exact over the whole range of bigint.
+
+    Rounding to doubles keeps the order, so the double at a rank is found first. Beyond 2^53 several
+    numbers may round to it; these differ by little, and the rank among them is found by their
+    exact distances from one of them.
+    """
+    near = order_statistics(
+        keys.select(F.lit(0).alias("i"), F.col("x").cast("double").alias("x")), {0: rows}, {0: ranks}
+    )[0]
+    found = {r: int(x) for r, x in near.items() if abs(x) < 2**53}
+    classes = sorted({x for x in near.values() if abs(x) >= 2**53})
+    if not classes:
+        return found
+    rounded = F.col("x").cast("double")
+    counts = keys.agg(
+        *[F.count_if(rounded < x).alias(f"b{k}") for k, x in enumerate(classes)],
+        *[F.count_if(rounded == x).alias(f"n{k}") for k, x in enumerate(classes)],
+        *[F.min(F.when(rounded == x, F.col("x"))).alias(f"m{k}") for k, x in enumerate(classes)],
+    ).first()
+    place, base = F.lit(None).cast("int"), F.lit(None).cast("bigint")
+    for k, x in enumerate(classes):
+        place = F.when(rounded == x, k).otherwise(place)
+        base = F.when(rounded == x, counts[f"m{k}"]).otherwise(base)
+    apart = keys.select(place.alias("i"), (F.col("x") - base).cast("double").alias("x"))
+    inner = {k: {} for k in range(len(classes))}
+    for r, x in near.items():
+        if abs(x) >= 2**53:
+            k = classes.index(x)
+            inner[k][r - counts[f"b{k}"]] = r
+    exact = order_statistics(
+        apart.where("i is not null"),
+        {k: counts[f"n{k}"] for k in inner}, {k: set(wanted) for k, wanted in inner.items()},
+    )
+    for k, wanted in inner.items():
+        found |= {r: counts[f"m{k}"] + int(exact[k][place]) for place, r in wanted.items()}
+    return found
+
+
 def _zone(brackets: dict[int, list[Bracket]]) -> Column:
     """Odd inside bracket ``(zone - 1) / 2``, even in a gap; one number per value."""
     size = max(brackets) + 1

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecheck.operators.ranks import order_statistics
+from tablecheck.operators.ranks import order_statistics, whole_order_statistics
 
 MIN_SLICE_ROWS = 1000
 
@@ -30,13 +30,15 @@ def head_mid_tail_slices(
     kind = df.schema[order_by].dataType.typeName()
     key = F.col(f"`{order_by}`")
     if kind in ("timestamp", "timestamp_ntz", "date"):
-        key = F.unix_micros(key.cast("timestamp"))
-    key = key.cast("double")
-    keys = df.select(F.lit(0).alias("i"), key.alias("x")).where(F.col("x").isNotNull())
+        key, kind = F.unix_micros(key.cast("timestamp")), "long"
+    whole = kind in ("byte", "short", "integer", "long")
+    key = key.cast("bigint" if whole else "double")
+    keys = df.select(key.alias("x")).where(F.col("x").isNotNull())
     rows = keys.count()
     ranges = slice_positions(rows, fraction, minimum)
     wanted = {r for start, end in ranges if end > start for r in (start, end - 1)}
-    found = order_statistics(keys, {0: rows}, {0: wanted})[0] if wanted else {}
+    statistics = whole_order_statistics if whole else _double_order_statistics
+    found = statistics(keys, rows, wanted) if wanted else {}
     ends = [found[r] for r in wanted]
     if ends:
         repeated = keys.where(F.col("x").isin(*ends)).groupBy("x").count().where("count > 1")
@@ -48,6 +50,10 @@ def head_mid_tail_slices(
     ]
 
 
+def _double_order_statistics(keys: DataFrame, rows: int, wanted: set[int]) -> dict[int, float]:
+    return order_statistics(keys.select(F.lit(0).alias("i"), "x"), {0: rows}, {0: wanted})[0]
+
+
 def head_mid_tail_sample(
     df: DataFrame, order_by: str, fraction: float = 0.10, minimum: int = MIN_SLICE_ROWS
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablecheck import quality_report
 from tablecheck.operators.freshness import freshness
+from tablecheck.operators.ranks import whole_order_statistics
 from tablecheck.operators.sampling import head_mid_tail_sample
 from tablecheck.sources import delimited, jsonlines, lines, loader, logs, records, tables
 
@@ -329,6 +330,17 @@ def test_slices_need_a_unique_key(spark):
         head_mid_tail_sample(spark.createDataFrame([(1,)] * 50, "k int"), "k", 0.1, 1)
 
 
+def test_slices_by_keys_that_no_double_tells_apart(spark):
+    low = 2**62
+    frame = spark.range(3000).selectExpr(f"{low} + id AS k", "id").repartition(7)
+    found = head_mid_tail_sample(frame, "k", 0.01, 10)
+    assert sorted(r.id for r in found.collect()) == [*range(30), *range(1485, 1515), *range(2970, 3000)]
+    ends = spark.createDataFrame([(x,) for x in (-(2**63), -(2**63) + 1, -5, 0, 7, 2**63 - 2, 2**63 - 1)], "x long")
+    assert whole_order_statistics(ends, 7, set(range(7))) == dict(
+        enumerate((-(2**63), -(2**63) + 1, -5, 0, 7, 2**63 - 2, 2**63 - 1))
+    )
+
+
 def test_tables(spark):
     frame = spark.range(7).withColumn("t", F.lit("x"))
     frame.createOrReplaceTempView("seven")
