@@ -8,7 +8,9 @@ from checks.registry import query
 from checks.statements import r
 from checks.views import portable, scratch_folder, table, view
 from tablecheck.functions.text import is_junk_line, unwrap_line
+from tablecheck.operators.frequencies import value_counts
 from tablecheck.operators.freshness import freshness
+from tablecheck.operators.metrics import TableMetrics
 from tablecheck.operators.sampling import head_mid_tail_sample, head_mid_tail_slices
 from tablecheck.sources import delimited, jsonlines, lines, loader, logs, tables
 
@@ -761,8 +763,9 @@ def table_info(spark, sf):
     "SELECT c_mktsegment, count(*) AS customers FROM customer GROUP BY c_mktsegment",
 )
 def in_memory_table(spark, sf):
-    rows = table(spark, sf, "customer")
-    return rows.groupBy("c_mktsegment").agg(F.count("*").alias("customers"))
+    metrics = TableMetrics(table(spark, sf, "customer"))
+    counts = value_counts(metrics.data, [metrics.column("c_mktsegment")])
+    return counts.select(F.col("value").alias("c_mktsegment"), F.col("n").alias("customers"))
 
 
 @query("a29_demo_table", portable("SELECT * FROM dirty_orders"))
