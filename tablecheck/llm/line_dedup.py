@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecheck.llm.common import SPACE, code_points, identity, texts
+from tablecheck.llm.common import SPACE, code_points, identity, texts, written
 
 MIN_CHARS = 10
 
@@ -103,6 +103,8 @@ def drop_repeated_lines(
         found = lines.select("_h1", "_h2", "_id").distinct().groupBy("_h1", "_h2")
         repeated = found.agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
         repeated = repeated.where(F.col("_n") >= min_documents).select("_h1", "_h2", "_first")
+    # as a table: with an aggregate below it Spark would not split the copies of a hot line
+    repeated = written(repeated)
     dropped = (
         lines.join(repeated, ["_h1", "_h2"])
         .where("_id <> _first")
