@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import corpus_pipeline
+from tablecheck.llm.common import read_table
+
+from test_sampling_and_vectors import plain_near
 
 
 def shingles(text, size):
@@ -26,3 +31,44 @@ def test_near_stage_drops_copies_of_five_words_and_eight_tenths(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = corpus_pipeline.near_stage(spark, docs, "").collect()
     assert sorted(r["doc_id"] for r in kept) == [1, 3]
+
+
+def test_stages_follow_one_another(spark, tmp_path):
+    """Every stage on all its predecessor kept, against plain versions where rows decide."""
+    sf_dir = "/root/testdata/sf0.01"  # the smallest tables with toxic documents to learn from
+    docs = read_table(spark, sf_dir, "documents")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "exact_dedup", "jaccard_join", "mixing", "packing"]
+
+    def kept(name, before):
+        path = str(tmp_path / name)
+        stages[name](spark, before, sf_dir).write.parquet(path)
+        return spark.read.parquet(path)
+
+    def pairs(frame):
+        return sorted((r.doc_id, r.text) for r in frame.collect())
+
+    clean = kept("toxicity", docs)
+    assert clean.columns == docs.columns and set(pairs(clean)) <= set(pairs(docs))
+    assert 0.5 * docs.count() < clean.count() < docs.count()
+
+    single = kept("exact_dedup", clean)
+    groups = {}
+    for doc_id, text in pairs(clean):
+        groups.setdefault(re.sub("[ \t-\r]", "", text), []).append((-len(text), doc_id))
+    assert [d for d, _ in pairs(single)] == sorted(min(g)[1] for g in groups.values())
+
+    apart = kept("jaccard_join", single)
+    first = {d for d, _, component, _ in plain_near(pairs(single), 5, 80) if d == component}
+    assert [d for d, _ in pairs(apart)] == sorted(first)
+
+    mixed = kept("mixing", apart)
+    assert mixed.columns == docs.columns and 0 < mixed.count() and set(pairs(mixed)) <= set(pairs(apart))
+
+    pieces = [r.asDict() for r in kept("packing", mixed).collect()]
+    assert {p["doc_id"] for p in pieces} == {d for d, _ in pairs(mixed)}
+    ends = {}
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        assert p["offset"] == ends.get(p["sequence_id"], 0)
+        ends[p["sequence_id"]] = p["offset"] + p["length"]
+    assert max(ends.values()) <= 4096
