@@ -22,10 +22,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse."""
+    """A folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse.
+
+    On a cluster a warehouse on the driver's own disk is refused, as executors do not see it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
+        own_disk = base.startswith(("file:", "/"))
+        if own_disk and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder all executors can reach.")
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
