@@ -173,18 +173,27 @@ _SWEPT = _STATE + ", part int, place long"
 
 
 def _sweep(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
-    """Pieces and gaps from large to small, gaps first; a piece takes the smallest gap open to it."""
-    from pyspark import TaskContext
+    """Pieces and gaps from large to small, gaps first; a piece takes the smallest gap open to it.
 
-    part, open_, waiting = TaskContext.get().partitionId(), [], 0  # open_: (room, sequence, new)
+    Rows come range by range; small ranges may share a task, and each is swept for itself.
+    """
+    part, open_, waiting = -1, [], 0  # open_: (room, sequence, new)
+
+    def rest() -> list[tuple]:
+        # only gaps that came with this range are large enough for every piece of later ranges
+        places = count()
+        return [
+            (0, key, room, None, None, part, next(places) if new else None)
+            for room, key, new in open_
+        ]
 
     def rows(found):
-        kinds, keys, sizes, sequences, offsets, places = zip(*found)
+        kinds, keys, sizes, sequences, offsets, parts, places = zip(*found)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(kinds, pa.int32()),
                 *(pa.array(x, pa.int64()) for x in (keys, sizes, sequences, offsets)),
-                pa.array([part] * len(found), pa.int32()),
+                pa.array(parts, pa.int32()),
                 pa.array(places, pa.int64()),
             ],
             names=["kind", "key", "size", "sequence", "offset", "part", "place"],
@@ -192,26 +201,27 @@ def _sweep(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Reco
 
     for batch in batches:
         found = []
-        columns = (batch.column(c).to_pylist() for c in ("kind", "key", "size"))
-        for kind, key, size in zip(*columns):
+        columns = (batch.column(c).to_pylist() for c in ("kind", "key", "size", "part"))
+        for kind, key, size, at_part in zip(*columns):
+            if at_part != part:
+                found += rest()
+                part, open_, waiting = at_part, [], 0
             at = bisect_left(open_, (size,))
             if kind == 0:
                 open_.insert(at, (size, key, True))
             elif at < len(open_):
                 room, sequence, _ = open_.pop(at)
-                found.append((2, key, size, sequence, capacity - room, None))
+                found.append((2, key, size, sequence, capacity - room, part, None))
                 if room > size:
                     insort(open_, (room - size, sequence, False))
             else:
-                found.append((1, key, size, None, None, waiting))
+                found.append((1, key, size, None, None, part, waiting))
                 waiting += 1
         if found:
             yield rows(found)
-    # only gaps that came with this range are large enough for every piece of later ranges
-    places = count()
-    rest = [(0, key, room, None, None, next(places) if new else None) for room, key, new in open_]
-    if rest:
-        yield rows(rest)
+    left = rest()
+    if left:
+        yield rows(left)
 
 
 def _by_rank(summary) -> list[dict]:
@@ -255,10 +265,14 @@ def _round(state: DataFrame, rows: int, capacity: int) -> tuple[DataFrame, int,
     spark = state.sparkSession
     n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ROWS_PER_RANGE))
     order = [F.desc("size"), F.asc("kind"), F.asc("key")]
+    rows_ = state.select("kind", "key", "size")
+    # few rows are one range, whatever the session's partitions: a piece that is alone in its range
+    # would wait for a match by rank, and the last rounds would place two pieces each
+    ranges = rows_.coalesce(1) if n == 1 else rows_.repartitionByRange(n, *order)
     swept = written(
-        state.select("kind", "key", "size")
-        .repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
+        ranges.sortWithinPartitions(*order)
+        .withColumn("part", F.spark_partition_id())
+        .coalesce(n)  # a session that makes more ranges of few rows has them share tasks and files
         .mapInArrow(lambda batches: _sweep(batches, capacity), _SWEPT)
     )
     counts = swept.groupBy("kind", "part", F.isnotnull("place").alias("over")).agg(

@@ -116,3 +116,24 @@ def test_mixing_odd_rows(odd, none):
     assert mixing.drawn(odd).count() == len(odd.rows)
     assert mixing.mixed(odd).columns == odd.columns
     assert mixing.mixture(none).collect() == [] and packing.packed(none).collect() == []
+
+
+def test_ranges_that_share_a_task_are_swept_for_themselves():
+    import pyarrow as pa
+
+    rows = [(0, 1, 50, 0), (1, 2, 30, 0), (1, 3, 20, 1), (0, 4, 10, 2), (1, 5, 10, 2)]
+    kind, key, size, part = zip(*rows)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(kind, pa.int32()), pa.array(key), pa.array(size), pa.array(part, pa.int32())],
+        names=["kind", "key", "size", "part"],
+    )
+    whole = [r for b in packing._sweep(iter([batch]), 100) for r in b.to_pylist()]
+    cut = [
+        r for b in packing._sweep((batch.slice(i, 1) for i in range(5)), 100) for r in b.to_pylist()
+    ]
+    for found in (whole, cut):
+        seen = {(r["kind"], r["key"], r["size"], r["sequence"], r["offset"], r["part"], r["place"]) for r in found}
+        assert seen == {
+            (2, 2, 30, 1, 50, 0, None), (0, 1, 20, None, None, 0, None),  # 20 of the gap stay in range 0
+            (1, 3, 20, None, None, 1, 0), (2, 5, 10, 4, 90, 2, None),
+        }
