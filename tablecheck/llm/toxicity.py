@@ -31,7 +31,7 @@ from tablecheck.llm.subwords import (
     remainder,
 )
 
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 8  # a run of up to WINDOW - STRIDE + 1 words is whole in some window
 BUCKETS = 1 << 16
 GRAMS = range(3, 6)
 DIMENSIONS, HIDDEN = 12, 8
