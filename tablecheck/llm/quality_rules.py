@@ -2,8 +2,9 @@
 
 The base figures are computed for every document. The further rules form one CASE expression, which
 Spark evaluates branch by branch, so a rejected document costs nothing more. The order comes from a
-bounded sample: every rule is run over it alone, its seconds and its share of rejections are taken,
-and rules are sorted by rejections per second. The order changes cost, never the verdict.
+sample of about ``SAMPLE_ROWS`` rows: every rule is run alone over copies of the rows that pass the base
+rule, and the next rule is the one with the most rejections per second among the rows that the rules
+before it leave. The order changes cost, never the verdict.
 
 Defined cases: null and empty text has no words and fails the base rule. Rows are judged one by one,
 so repeated rows, ties, null ids and extra columns change nothing. An empty table gives an empty
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from tablecheck.llm.common import SPACE_CLASS
 
 SAMPLE_ROWS = 2000
-SAMPLE_SHARE = 0.1
+COPIES, REPEATS = 20, 3  # a rule is timed over so many copies of the sample, so often
 WINDOW = 5
 
 
@@ -108,28 +110,47 @@ def base_failed() -> Column:
 
 
 def ordered_by_gain(docs: DataFrame, rules: list[Rule]) -> list[Rule]:
-    """Rules by rejections per second over a sample of at most ``SAMPLE_ROWS`` rows.
+    """Rules by rejections per second, each among what the rules before it leave of a sample.
 
-    The sample is taken from as few input splits as give that many rows at ``SAMPLE_SHARE``; only
-    the speed of the cascade depends on it.
+    The sample's share of the rows follows their number, so it has about ``SAMPLE_ROWS`` rows at any size,
+    spread over at most as many tasks as the session runs at once; no task gathers it. Only the speed of
+    the cascade depends on it.
     """
-    sample = base_figures(docs.sample(SAMPLE_SHARE, seed=7).limit(SAMPLE_ROWS)).persist()
+    total = docs.count()
+    if not total or len(rules) < 2:
+        return rules
+    share = min(1.0, SAMPLE_ROWS / total)
+    sample = (
+        base_figures(docs.sample(fraction=share, seed=7))
+        .where("not base_failed")
+        .coalesce(docs.sparkSession.sparkContext.defaultParallelism)
+        .persist()
+    )
     try:
-        rows = sample.count()
-        if not rows:
-            return rules
+        rejects = [F.coalesce(r.rejects, F.lit(False)).alias(f"_{i}") for i, r in enumerate(rules)]
+        # at most one row per row of the sample
+        patterns = [tuple(row) for row in sample.select(*rejects).groupBy(
+            *(f"_{i}" for i in range(len(rules)))).count().collect()]
+        copies = sample.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), COPIES)))
 
-        def seconds(column: Column) -> tuple[float, float]:
+        def seconds(column: Column) -> float:
             start = time.perf_counter()
-            share = sample.agg(F.avg(column.cast("int"))).first()[0]
-            return time.perf_counter() - start, share or 0.0
-
-        idle = min(seconds(F.col("base_failed"))[0] for _ in range(2))
-        gains = {}
-        for rule in rules:
-            cost, share = seconds(rule.rejects)
-            gains[rule.name] = share / max(cost - idle, 0.001)
-        return sorted(rules, key=lambda r: (-gains[r.name], r.name))
+            copies.agg(F.count_if(column)).first()
+            return time.perf_counter() - start
+
+        columns = [F.col("base_failed"), *rejects]  # the first tells what a job costs without a rule
+        idle, *timed = (median(x) for x in zip(*([seconds(c) for c in columns] for _ in range(REPEATS))))
+        cost = [max(t - idle, 0.001) for t in timed]
+        order, left = [], list(range(len(rules)))
+        while left:
+            def gain(i: int) -> tuple[float, str]:
+                return -sum(p[-1] for p in patterns if p[i]) / cost[i], rules[i].name
+
+            best = min(left, key=gain)
+            order.append(rules[best])
+            left.remove(best)
+            patterns = [p for p in patterns if not p[best]]
+        return order
     finally:
         sample.unpersist()
 
