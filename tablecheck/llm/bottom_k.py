@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.llm.common import NO_ID, identity, texts, written
-from tablecheck.llm.jaccard_join import Shingles, components
+from tablecheck.llm.shingles import Shingles, components
 
 SIZE, PERCENT, K = 3, 85, 64
 LOSS = 1e-9

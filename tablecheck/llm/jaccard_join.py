@@ -1,24 +1,27 @@
 """N-gram Jaccard join by a token-group matrix, as components of near-equal documents.
 
-Documents with equal shingle sets collapse to one set. The tokens of the matrix are parts of a set: the
-hash range is cut into ``k`` parts, and a token is the digest of all shingles of one part. Two sets that
-link differ in at most ``d`` shingles, so at least ``k - d`` of their parts are equal; single shingles of
-common passages, which half of a corpus may hold, never meet. ``k`` and ``d`` belong to a class of sizes;
-a set whose partners may be in the class below has the parts of that class too.
-
-1. Groups: each set is compared with two pivots, the sets that share most parts with it among the most
-   central set and the first set of every part. What links is one group, so a crowd of near copies
-   costs two comparisons each.
-2. Matrix: for every token the groups whose union holds it, with the range of set sizes. A set is bounded
-   against each other group by the tokens that it shares with the union.
-3. Groups that can still hold a partner are opened: members that share enough parts are compared.
-
-No link is lost by the bounds, and every comparison is of the whole sets.
-
-Shingles are compared as 64-bit hashes. Defined cases: null text and text without words has the
-empty set and is linked with nothing; fewer words than a shingle count as one shingle. Null ids sort
-last, each such row is a document of its own; rows that repeat id and text are one set. An empty
-table gives no rows; extra columns are ignored.
+Documents with equal shingle sets collapse to one set. The tokens of a set are its ``k`` smallest
+shingle hashes; a smaller set is all tokens. Linked sets have at least ``must`` tokens in common, so
+each set lists all but its ``must - 1`` most widely held tokens and two linked sets list one in common.
+
+1. Groups: each set belongs to one group, that of the pivot it meets most. The pivots are the
+   most central set of each listed token, so copies of one text, and texts about one passage, are few
+   groups whatever their number.
+2. Matrix: for every listed token the groups whose union holds it, with the range of their sets' sizes.
+3. Bound: a set can have at most its listed tokens in a group's union and the ``must - 1`` others in
+   common with a member. Groups that reach ``must`` and hold a fitting size are opened, of two groups
+   the one with more members by the sets of the other.
+4. Opened: the set is compared with the group's pivot in whole. It may link with another member
+   only if both share most of their differences from the pivot, so lists of the rarest differences
+   lead to the few pairs that are compared too. A group that is its pivot alone needs no lists.
+
+Only the choice of tokens can miss a link: at ``k = 64`` a pair at the threshold is lost with a
+probability below 1e-9, a closer one with less, and sets of up to ``k`` shingles never. All else is
+exact, and every comparison is of the whole sets. Shingles are compared as 64-bit hashes.
+
+Defined cases: null text and text without words has the empty set and is linked with nothing; fewer
+words than a shingle count as one shingle. Null ids sort last, each such row is a document of its own;
+rows that repeat id and text are one set. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,289 +30,134 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecheck.llm.common import NO_ID, identity, texts, written
-
-SIZE, PERCENT = 3, 90
-GROWTH = 1.5  # from the smallest size of a class to the next
-CACHED_WORDS = 300_000
-BROADCAST_IDS = 500_000  # ids of texts to compare that are sent to all tasks; more go by shuffle
-M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def mixed(values: np.ndarray) -> np.ndarray:
-    values = values ^ (values >> np.uint64(33))
-    values = values * M1
-    return values ^ (values >> np.uint64(29))
-
-
-class Shingles:
-    """Sorted distinct 64-bit hashes of the word shingles of a text."""
-
-    def __init__(self, size: int):
-        self.size, self.known = size, {}
-
-    def of(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()  # A-Z and ASCII white space only
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        known = self.known
-        for word in set(words):
-            if word not in known:
-                known[word] = xxhash.xxh64_intdigest(word)
-        codes = np.array([known[w] for w in words], np.uint64)
-        width = min(self.size, len(words))
-        count = len(words) - width + 1
-        found = np.full(count, width, np.uint64)
-        for k in range(width):
-            found = mixed(found * M2 + codes[k : k + count])
-        return np.unique(found)
-
-
-def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)) or not len(a):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def differences(n: int, percent: int) -> int:
-    """How many shingles a set of ``n`` and a linked one may not have in common.
+from tablecheck.llm import bottom_k
+from tablecheck.llm.common import NO_ID, drop_written, identity, written
+from tablecheck.llm.shingles import components
 
-    That is n + m - 2i for i >= percent / (100 + percent) * (n + m), where m <= 100 / percent * n.
-    """
-    return n * (100 - percent) // percent
+SIZE, PERCENT, K = 3, 90, 64
+BROADCAST_IDS = 500_000  # ids of texts to read again that are sent to all tasks; more go by shuffle
 
 
-def size_class(n: int, percent: int) -> tuple[int, int]:
-    """Smallest size of the class of ``n``, and the parts of its sets.
-
-    A linked pair has the parts of its smaller set's class, where sets have less than ``high`` shingles.
-    """
-    low = high = 1
-    while high <= n:
-        low, high = high, max(high + 1, int(high * GROWTH))
-    most = differences(high - 1, percent)
-    return low, most + 1 + most // 2
+def _partition(listed: DataFrame) -> DataFrame:
+    """(sid, grp): each set that lists a token with another one, and the pivot that it meets most."""
+    pivots = written(
+        listed.groupBy("value")
+        .agg(F.max(F.struct("weight", "sid"))["sid"].alias("p"), F.count("*").alias("holders"))
+        .where("holders > 1")
+        .select("value", "p")
+    )
+    met = listed.join(pivots, "value").groupBy("sid", "p").agg(F.count("*").alias("hits"))
+    return met.groupBy("sid").agg(F.max(F.struct("hits", "p"))["p"].alias("grp"))
 
 
-def parts(found: np.ndarray, low: int, count: int, percent: int) -> tuple[np.ndarray, int]:
-    """Tokens of a sorted set in the class of ``low``, and how many of them a linked set must share."""
-    edges = np.arange(count, dtype=np.uint64) * np.uint64((1 << 64) // count % (1 << 64))
-    starts = np.searchsorted(found, edges)
-    filled = np.diff(starts, append=len(found)) > 0
-    names = mixed(np.arange(count, dtype=np.uint64) + np.uint64(low << 32))
-    sums = np.add.reduceat(mixed(found * M2), starts[filled])
-    tokens = mixed((sums ^ names[filled]) * M2)
-    least = int(filled.sum()) - differences(len(found), percent)
-    if least < 1:  # so few that only empty parts may be equal: these are tokens too
-        tokens = np.concatenate([tokens, mixed(names[~filled])])
-    return tokens, max(1, least)
+def _qualifying(listed: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(sid, p): sets and the pivots of other groups that can hold a partner of theirs."""
+    crowds = members.groupBy("grp").agg(F.count("*").alias("crowd"))
+    placed = written(
+        listed.select("sid", "value")
+        .join(members.join(crowds, "grp").join(sets.select("sid", "n"), "sid"), "sid")
+    )
+    matrix = placed.groupBy("value", F.col("grp").alias("p"), F.col("crowd").alias("larger")).agg(
+        F.min("n").alias("low"), F.max("n").alias("high")
+    )
+    apart = matrix.groupBy("value").agg(F.count("*").alias("groups")).where("groups > 1")
+    matrix = written(matrix.join(apart.select("value"), "value"))
+    found = written(
+        placed.join(matrix, "value")
+        .where("larger > crowd or larger = crowd and p > grp")
+        .where(f"100 * high >= {percent} * n and 100 * n >= {percent} * low and sid <> p")
+        .select("sid", "p")
+        .distinct()
+    )
+    drop_written(placed)
+    return found
 
 
-def _scanned(batches, size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    shingles, classes = Shingles(size), {}
-    nothing = np.zeros(0, np.uint64), 0
+def _compared(batches, k: int, percent: int, floor_: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (sid, p) with ``linked``, and the differences of both sets where the group has members."""
+    nothing = np.zeros(0, np.int64)
     for batch in batches:
-        counts, digests, own, below = [], [], [], []
-        for text in texts(batch.column("text")):
-            found = shingles.of(text)
-            n = len(found)
-            counts.append(n)
-            digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-            if n not in classes:
-                here = size_class(n, percent) if n else None
-                under = n and percent * n <= 100 * (here[0] - 1)
-                classes[n] = here, size_class(here[0] - 1, percent) if under else None
-            here, under = classes[n]
-            own.append(parts(found, *here, percent) if here else nothing)
-            below.append(parts(found, *under, percent) if under else nothing)
+        found, apart, sizes = [], [], []
+        columns = (batch.column(c).to_pylist() for c in ("x", "y", "wide"))
+        for x, y, wide in zip(*columns):
+            a, b = bottom_k.hashes(x), bottom_k.hashes(y)
+            found.append(bottom_k.linked(a, b, k, percent, floor_))
+            apart.append(np.setxor1d(a, b, assume_unique=True).view(np.int64) if wide else nothing)
+            sizes.append(len(b))
         yield pa.RecordBatch.from_arrays(
             [
-                *(batch.column(c) for c in ("doc_id", "_id", "_tag")),
-                pa.array(counts, pa.int64()),
-                pa.array(digests, pa.binary()),
-                *(pa.array([x[0].view(np.int64) for x in y], pa.list_(pa.int64())) for y in (own, below)),
-                *(pa.array([x[1] for x in y], pa.int32()) for y in (own, below)),
-            ],
-            names=[
-                "doc_id", "_id", "_tag", "n", "digest", "own", "below", "least_own", "least_below",
+                *(batch.column(c) for c in ("sid", "p", "wide")),
+                pa.array(sizes, pa.int64()),
+                pa.array(found, pa.bool_()),
+                pa.array(apart, pa.list_(pa.int64())),
             ],
+            names=["sid", "p", "wide", "n_p", "linked", "apart"],
         )
 
 
-def _verified(batches, size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    shingles, last, known = Shingles(size), None, np.zeros(0, np.uint64)
-    for batch in batches:
-        keep = []
-        for a, b in zip(texts(batch.column("text_a")), texts(batch.column("text_b"))):
-            if b != last:
-                last, known = b, shingles.of(b)
-            keep.append(links(shingles.of(a), known, percent))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _linked_pairs(pairs: DataFrame, sets: DataFrame, source: DataFrame, size: int, percent: int):
-    """Of the candidate pairs (a, b) those that link, from the whole texts of both."""
-    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    needed = written(ids.join(sets, "sid").select("sid", "_id", "_tag"))
+def _whole(source: DataFrame, sets: DataFrame, sids: DataFrame, size: int) -> DataFrame:
+    """(sid, members): the whole sets of the given sids, from their texts."""
+    needed = written(sids.distinct().join(sets, "sid").select("sid", "_id", "_tag"))
     few = needed.count() <= BROADCAST_IDS
-    whole = source.join(F.broadcast(needed) if few else needed, ["_id", "_tag"])
-    whole = whole.select("sid", "text")
-    return written(
-        pairs.join(whole.toDF("a", "text_a"), "a")
-        .join(whole.toDF("b", "text_b"), "b")
-        .mapInArrow(lambda batches: _verified(batches, size, percent), "a long, b long")
-        .distinct()
-    )
-
-
-def _qualifying(rows: DataFrame, percent: int) -> DataFrame:
-    """(sid, other): groups that may hold a partner of a set outside them.
-
-    rows: sid, n, least, below, grp, token of the tokens that at least two groups hold.
-    """
-    matrix = rows.groupBy("token", F.col("grp").alias("other")).agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("below").alias("only_below")
-    )
-    return (
-        rows.join(matrix, "token")
-        .where("grp <> other and not (below and only_below)")
-        .where(f"100 * high >= {percent} * n and 100 * n >= {percent} * low")
-        .groupBy("sid", "other", "below", "least")
-        .agg(F.count("*").alias("hits"))
-        .where("hits >= least")
-        .select("sid", "other")
-        .distinct()
-    )
-
-
-def _opened(rows: DataFrame, qualifying: DataFrame, percent: int) -> DataFrame:
-    """(sid, b): members b of qualifying groups that share as many tokens with a set as a link needs."""
-    members = rows.selectExpr(
-        "token", "grp as other", "sid as b", "n as m", "least as few", "below as under"
-    )
-    return (
-        rows.join(qualifying, "sid")
-        .join(members, ["token", "other"])
-        .where(f"not (below and under) and 100 * least(n, m) >= {percent} * greatest(n, m)")
-        .groupBy("sid", "b")
-        .agg(F.count("*").alias("hits"), F.min(F.greatest("least", "few")).alias("must"))
-        .where("hits >= must")
-        .select("sid", "b")
-    )
-
-
-def _pivots(rows: DataFrame) -> DataFrame:
-    """(sid, b): of the most central and of the first set of each token, the one met most often."""
-    weights = rows.groupBy("token").agg(F.count("*").alias("holders"))
-    central = rows.join(weights, "token").groupBy("sid").agg(F.sum("holders").alias("weight"))
-    named = rows.join(central, "sid").groupBy("token").agg(
-        F.max(F.when(~F.col("below"), F.struct("weight", "sid")))["sid"].alias("p"),
-        F.min(F.when(~F.col("below"), F.col("sid"))).alias("q"),
-    )
-    met = (
-        rows.select("sid", "token")
-        .join(named, "token")
-        .select("sid", F.posexplode(F.array("p", "q")).alias("kind", "b"))
-        .where("sid <> b")
-        .groupBy("sid", "kind", "b")
-        .agg(F.count("*").alias("hits"))
-    )
-    best = met.groupBy("sid", "kind").agg(F.max(F.struct("hits", "b"))["b"].alias("b"))
-    return best.select("sid", "b")
-
-
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows whose token is held by at least two groups, and by a set in its own class.
-
-    Two sets that both have the token for partners in the class below meet in their own class.
-    """
-    held = rows.groupBy("token").agg(
-        F.min("grp").alias("x"), F.max("grp").alias("y"), F.min("below").alias("only_below")
-    )
-    return rows.join(held.where("x < y and not only_below").select("token"), "token")
-
-
-def _able(rows: DataFrame) -> DataFrame:
-    """The rows of sets that have at least as many tokens here as a link needs."""
-    counts = rows.groupBy("sid", "least", "below").agg(F.count("*").alias("held"))
-    enough = counts.where("held >= least").select("sid", "below")
-    return rows.join(enough, ["sid", "below"], "left_semi")
-
-
-def components(links_: DataFrame) -> DataFrame:
-    """(node, root) of the nodes in links (a, b): the smallest node reachable, by repeated minima."""
-    both = links_.select("a", "b").union(links_.select("b", "a")).distinct()
-    state = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")))
-    while True:
-        near = (
-            both.join(state.select(F.col("a").alias("b"), F.col("root").alias("r")), "b")
-            .groupBy("a").agg(F.min("r").alias("r"))
-        )
-        step = state.join(near, "a").select("a", "root", F.least("root", "r").alias("next"))
-        jump = state.select(F.col("a").alias("next"), F.col("root").alias("far"))
-        after = written(
-            step.join(jump, "next", "left").select(
-                "a", F.least("next", F.coalesce("far", "next")).alias("root"),
-                (F.least("next", F.coalesce("far", "next")) < F.col("root")).alias("moved"),
-            )
-        )
-        state = after.select("a", "root")
-        if not after.where("moved").limit(1).count():
-            return state.withColumnRenamed("a", "node")
-
-
-def _ordered_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs a > b of rows (sid, b)."""
     return written(
-        rows.where("sid <> b")
-        .select(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b"))
-        .distinct()
+        source.join(F.broadcast(needed) if few else needed, ["_id", "_tag"])
+        .dropDuplicates(["sid"])
+        .select("sid", "text")
+        .mapInArrow(lambda batches: bottom_k._whole_sets(batches, size), "sid long, members binary")
     )
 
 
-def near_equal(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+def near_equal(
+    docs: DataFrame, size: int = SIZE, percent: int = PERCENT, k: int = K
+) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, _id, _tag."""
+    floor_ = bottom_k.least_shared(k, percent)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *identity())
     scanned = written(
         source.mapInArrow(
-            lambda batches: _scanned(batches, size, percent),
-            "doc_id long, _id long, _tag long, n long, digest binary, own array<long>,"
-            " below array<long>, least_own int, least_below int",
+            lambda batches: bottom_k._scanned(batches, size, percent, k),
+            "doc_id long, _id long, _tag long, n long, digest binary, sketch array<long>, must int",
         )
     )
     full = scanned.where("n > 0")
-    one = full.groupBy("digest", "n").agg(
-        F.min(F.struct("_id", "_tag", "own", "below", "least_own", "least_below")).alias("m")
-    )
-    sets = written(one.select("digest", "n", "m.*").withColumn("sid", F.monotonically_increasing_id()))
-    texts_ = source.select("_id", "_tag", "text")
-    rows = sets.selectExpr("sid", "n", "least_own as least", "sid as grp", "false as below", "explode(own) as token").union(
-        sets.selectExpr("sid", "n", "least_below as least", "sid as grp", "true as below", "explode(below) as token")
+    one = full.groupBy("digest", "n").agg(F.min(F.struct("_id", "_tag", "sketch", "must")).alias("m"))
+    sets = written(
+        one.select("digest", "n", "m.*").withColumn("sid", F.monotonically_increasing_id())
+    )
+    listed = written(bottom_k._listed(sets))
+    members = written(_partition(listed))
+    opened = _qualifying(listed, members, sets, percent)
+    drop_written(listed)
+    own = members.where("sid <> grp").select("sid", F.col("grp").alias("p"))
+    wide = own.select("p").distinct().withColumn("wide", F.lit(True))
+    pairs = written(
+        own.union(opened).join(wide, "p", "left")
+        .select("sid", "p", F.coalesce("wide", F.lit(False)).alias("wide"))
+    )
+    whole = _whole(source, sets, pairs.select("sid").union(pairs.select("p")), size)
+    compared = written(
+        bottom_k._with_sets(pairs, whole, "sid", "p").mapInArrow(
+            lambda batches: _compared(batches, k, percent, floor_),
+            "sid long, p long, wide boolean, n_p long, linked boolean, apart array<long>",
+        )
     )
-    rows = written(_able(_shared(rows)).drop("grp"))
-    near = _ordered_pairs(_pivots(rows))
-    linked = _linked_pairs(near, sets, texts_, size, percent)
-    roots = components(linked)
-    grouped = rows.join(roots, F.col("sid") == F.col("node"), "left").select(
-        "sid", "n", "least", "below", "token", F.coalesce("root", "sid").alias("grp")
+    links = written(compared.where("linked").select(F.col("sid").alias("a"), F.col("p").alias("b")))
+    roots = components(links)
+    crossing = written(bottom_k._crossing(compared.where("wide"), sets, roots, percent))
+    drop_written(compared)
+    more = bottom_k._with_sets(crossing, whole, "a", "b").mapInArrow(
+        lambda batches: bottom_k._verified(batches, k, percent, floor_), "a long, b long"
     )
-    grouped = written(_able(_shared(grouped)))
-    open_ = _opened(grouped, _qualifying(grouped, percent), percent)
-    far = written(_ordered_pairs(open_).join(near, ["a", "b"], "left_anti"))
-    crossed = _linked_pairs(far, sets, texts_, size, percent)
-    roots = components(written(linked.union(crossed)))
+    roots = components(written(links.union(more)))
+    drop_written(whole)
     placed = sets.join(roots, F.col("sid") == F.col("node"), "left").select(
         "digest", "n", "_id", F.coalesce("root", "sid").alias("root")
     )
     smallest = placed.groupBy("root").agg(F.min("_id").alias("component_id"))
-    named = placed.join(smallest, "root").select("digest", "n", "component_id")
+    named = written(placed.join(smallest, "root").select("digest", "n", "component_id"))
     found = full.join(named, ["digest", "n"]).unionByName(
         scanned.where("n = 0").withColumn("component_id", F.col("_id"))
     )
