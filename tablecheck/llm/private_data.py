@@ -173,45 +173,64 @@ def _counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa
     yield rows()
 
 
+def _smoothed(count):
+    """Shared documents, each an accident at even odds."""
+    return count * (1 - F.pow(F.lit(2.0), -count))
+
+
 def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of all pairs that share a document, from GENERALISE on."""
-    total = scanned.count()
-    held = scanned.select(F.explode("_entities").alias("entity"), F.col("_near.term").alias("terms"))
-    together = written(
-        held.select("entity", F.explode("terms").alias("term"))
-        .groupBy("entity", "term")
-        .agg(F.count("*").alias("co"))
-    )
-    place = F.crc32(F.encode("term", "UTF-8")) % (64 * SLOTS)
-    slots = (
-        together.select("term")
-        .distinct()
-        .groupBy(F.shiftright(place, 6).alias("slot"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(crc32(encode(term, 'UTF-8')) % {64 * SLOTS} % 64 as int))")).alias("bits"))
+    """(_row, term, at, disclosure): terms from GENERALISE on, the most over the row's entities.
+
+    A term in ``df_term`` documents can reach GENERALISE for an entity in ``df_entity`` only up to
+    ``smoothed(df_entity) * (N / df_entity) ** (1 - GENERALISE)``, as if it stood in all of these.
+    Terms over that bound for all entities of a row go before terms and entities are paired.
+    """
+    total = max(scanned.count(), 1)
+    holders = scanned.where(F.size("_entities") > 0)
+    held = written(holders.select("_row", F.explode("_entities").alias("entity")))
+    entities = held.groupBy("entity").agg(F.count("*").alias("df_entity"))
+    met = holders.select("_row", F.explode("_near").alias("m")).select("_row", "m.*")
+    place = f"crc32(encode(term, 'UTF-8')) % {64 * SLOTS}"
+    slots = met.groupBy(F.expr(f"shiftright({place}, 6)").alias("slot")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast({place} % 64 as int))")).alias("bits")
     )
     bits = np.zeros(SLOTS, np.int64)
     for row in slots.collect():  # at most SLOTS rows
         bits[row["slot"]] = row["bits"]
     bits = bits.view(np.uint64)
-    terms = (
+    terms = written(
         docs.select("text")
         .mapInArrow(lambda batches: _counted(batches, bits), "term string, documents long")
         .groupBy("term")
         .agg(F.sum("documents").alias("df_term"))
     )
-    entities = scanned.select(F.explode("_entities").alias("entity")).groupBy("entity").agg(
-        F.count("*").alias("df_entity")
+    share = F.pow(F.lit(float(total)) / F.col("df_entity"), F.lit(1 - GENERALISE))
+    bound = _smoothed(F.col("df_entity")) * share
+    reach = held.join(entities, "entity").groupBy("_row").agg(F.max(bound).alias("reach"))
+    rare = written(
+        met.join(terms, "term").join(reach, "_row")
+        .where("df_term <= reach * 1.000001")  # room for rounding, the exact test follows
+        .select("_row", "term", "at", "df_term")
     )
+    pairs = written(rare.select("_row", "term", "df_term").join(held, "_row"))
     information = F.log(F.lit(float(total)) / F.col("df_entity"))
-    smoothed = F.col("co") * (1 - F.pow(F.lit(2.0), -F.col("co")))
-    mutual = F.log(smoothed * F.lit(float(total)) / (F.col("df_term") * F.col("df_entity")))
-    return (
-        together.join(entities, "entity")
-        .join(terms, "term")
-        .where("df_entity < " + str(max(total, 1)))
+    mutual = F.log(
+        _smoothed(F.col("co")) * F.lit(float(total)) / (F.col("df_term") * F.col("df_entity"))
+    )
+    scored = written(
+        pairs.groupBy("entity", "term", "df_term")
+        .agg(F.count("*").alias("co"))
+        .join(entities, "entity")
+        .where(f"df_entity < {total}")
         .select("entity", "term", (mutual / information).alias("disclosure"))
         .where(F.col("disclosure") >= GENERALISE)
     )
+    most = (
+        pairs.join(scored, ["entity", "term"])
+        .groupBy("_row", "term")
+        .agg(F.max("disclosure").alias("disclosure"))
+    )
+    return rare.select("_row", "term", "at").join(most, ["_row", "term"])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -232,17 +251,11 @@ def _found(plain: DataFrame) -> DataFrame:
             f" spans string, _entities array<string>, _near {PLACES}",
         ).withColumn("_row", F.monotonically_increasing_id())
     )
-    mentions = scanned.select("_row", F.explode("_entities").alias("entity"), "_near").select(
-        "_row", "entity", F.explode("_near").alias("m")
-    )
     placed = F.transform(
         "at", lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), F.col("disclosure").alias("disclosure"))
     )
     terms = (
-        mentions.select("_row", "entity", "m.*")
-        .join(disclosures(plain, scanned), ["entity", "term"])
-        .groupBy("_row", "term")
-        .agg(F.max("disclosure").alias("disclosure"), F.first("at").alias("at"))
+        disclosures(plain, scanned)
         .groupBy("_row")
         .agg(F.array_sort(F.flatten(F.collect_list(placed))).alias("_terms"))
     )
