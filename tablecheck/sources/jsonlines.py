@@ -7,9 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablecheck.functions.text import stripped
-from tablecheck.sources.lines import file_paths, read_lines
+from tablecheck.session import small_frame
+from tablecheck.sources.lines import decoded, file_paths, read_lines
 
 _RAW = "_corrupt_record"
 
@@ -55,7 +57,8 @@ def read_json_files(
 
     Files of lines are split and read by line, whether arrays or objects; a spread document is read
     by one task. Both are parsed with one schema that covers all their keys. Rejects are lines that
-    are neither array nor object, and what is left of documents that break off.
+    are neither array nor object, and what is left of documents that break off. The work per file
+    does not grow with the number of files.
     """
     text = read_lines(spark, path, encoding)
     shapes = json_files(text)
@@ -64,18 +67,20 @@ def read_json_files(
         files[row["shape"]].append(row["file"])
     documents, rejects = [], []
     if files["lines"]:
-        whole = not files["spread"]
-        by_line = text if whole else read_lines(spark, file_paths(files["lines"]), encoding)
+        # the lines listed already, as listing thousands of paths again takes a task for each
+        of_lines = small_frame(spark, [{"file": f} for f in files["lines"]], "file string")
+        by_line = text.join(F.broadcast(of_lines), "file", "left_semi") if files["spread"] else text
         by_line = by_line.where(stripped(F.col("value")) != "").select("value")
         documents.append(by_line.where(is_container(F.col("value"))))
         rejects.append(by_line.where(~is_container(F.col("value"))))
     if files["spread"]:
         charset = "ISO-8859-1" if encoding == "windows-1252" else encoding
+        paths = file_paths(files["spread"])
         reader = spark.read.options(multiLine=True, encoding=charset, columnNameOfCorruptRecord=_RAW)
-        spread = reader.json(file_paths(files["spread"]))
+        spread = reader.schema(_spread_schema(spark, paths, charset)).json(paths)
         names = [c for c in spread.columns if c != _RAW]
         if not names:  # none of them can be read
-            broken = spark.read.text(file_paths(files["spread"]), wholetext=True)
+            broken = spark.read.text(paths, wholetext=True)
             rejects.append(broken.select("value"))
         else:
             one = F.to_json(F.struct(*[f"`{c}`" for c in names]), {"ignoreNullFields": "false"})
@@ -90,6 +95,17 @@ def read_json_files(
     return rows, reduce(DataFrame.unionByName, rejects), shapes
 
 
+def _spread_schema(spark: SparkSession, paths: list[str], charset: str) -> StructType:
+    """Schema of whole documents, one per file, found in all of them.
+
+    Left to itself the reader of files finds it in one task per 128 MB, however many files these
+    are, and hands the list of all paths to each of them.
+    """
+    whole = spark.read.text(paths, wholetext=True).select(decoded(F.col("value"), charset).alias("value"))
+    reader = spark.read.options(columnNameOfCorruptRecord=_RAW)
+    return reader.json(whole.rdd.map(lambda row: row["value"])).schema
+
+
 def json_line_schema(lines: DataFrame) -> str:
     """Schema that covers the objects of all lines, found in one distributed pass."""
     return _merged_schema(lines.select(F.try_parse_json("value").alias("v")))

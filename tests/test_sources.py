@@ -349,3 +349,25 @@ def test_tables(spark):
     assert "seven" in [r.name for r in tables.list_tables(spark).collect()]
     info = tables.table_info(frame, "seven").first()
     assert (info.row_count, len(info.sample), [c.name for c in info.columns]) == (7, 5, ["id", "t"])
+
+
+def test_many_spread_documents_are_read_by_many_tasks(spark, tmp_path):
+    for n in range(200):
+        (tmp_path / f"{n}.txt").write_text(f'[\n{{"n": {n}}},\n{{"n": -{n},\n"b": 0.5}}\n]\n')
+    (tmp_path / "broken.txt").write_text('[\n{"n": 7,\n')
+    (tmp_path / "lines.txt").write_text('{"n": 1000}\n[{"c": "x"}]\nnothing\n')
+    spark.sparkContext.setJobGroup("spread", "")
+    try:
+        read, rejects, _ = jsonlines.read_json_files(spark, str(tmp_path))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("spread")]
+    stages = [tracker.getStageInfo(i) for j in jobs for i in j.stageIds]
+    readers = [x.numTasks for x in stages if x is not None and x.name.startswith("json at ")]
+    assert readers and min(readers) > 1  # the schema was found by one task
+    assert read.columns == ["b", "c", "n"]
+    found = {(r.b, r.c, r.n) for r in read.collect()}
+    wanted = {(None, None, n) for n in range(200)} | {(0.5, None, -n) for n in range(200)}
+    assert found == wanted | {(None, None, 1000), (None, "x", None)}
+    assert sorted(r.value for r in rejects.collect()) == ['[\n{"n": 7,\n', "nothing"]
