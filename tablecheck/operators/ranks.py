@@ -3,7 +3,8 @@
 A bounded random sample suggests a narrow bracket around every wanted rank. A full
 scan then counts exactly how many values lie below and inside each bracket; only the
 values inside are grouped and fetched. A bracket that misses its rank or still holds
-too many values is narrowed again, so the answer never depends on the sample.
+too many values is narrowed again, so the answer never depends on the sample. Later
+rounds read only the values that are still in brackets, not the whole data again.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ from pyspark.sql import functions as F
 FETCH_BUDGET = 1_000_000
 SAMPLE_ROWS = 400_000
 
+# Points where a bracket, or all brackets of a column, are cut when a sample tells no more.
+CUTS = 15
+# Values in brackets are kept between rounds when they are at most this share of those read before.
+KEPT_SHARE = 0.25
+
 
 @dataclass
 class Bracket:
@@ -60,10 +67,21 @@ def order_statistics(
         for i, wanted in ranks.items()
         if wanted
     }
+    kept, read = None, sum(counts[i] for i in open_brackets)
+    rounds = 0
     while open_brackets:
         total = sum(b.inside for group in open_brackets.values() for b in group)
         if total > fetch_budget:
-            parts, expected = _narrowed(values, open_brackets, total, sample_rows)
+            if total <= read * KEPT_SHARE:
+                inner = _in_play(values, open_brackets).select("i", "x")
+                values = inner.persist(StorageLevel.MEMORY_AND_DISK)
+                # the copy before goes when this one is made, which reads it
+                before, kept, read = kept, values, total
+            else:
+                before = None
+            parts, expected = _narrowed(values, open_brackets, total, sample_rows, rounds)
+            if before is not None:
+                before.unpersist()
         else:
             parts = {
                 i: [[Bracket(b.low, b.high, 0, 0, b.ranks)] for b in group]
@@ -73,6 +91,9 @@ def order_statistics(
         fetch = expected <= fetch_budget
         zones, members = _scan(values, open_brackets, parts, fetch, fetch_budget)
         open_brackets = _advance(open_brackets, parts, zones, members, found)
+        rounds += 1
+    if kept is not None:
+        kept.unpersist()
     return found
 
 
@@ -137,11 +158,11 @@ def _in_play(values: DataFrame, brackets: dict[int, list[Bracket]]) -> DataFrame
     return zoned.select("i", "x", F.expr("(z - 1) div 2").cast("int").alias("b"))
 
 
-def _narrowed(values, brackets, total, sample_rows):
+def _narrowed(values, brackets, total, sample_rows, seed):
     """For every bracket the narrower ones that a sample of its values suggests, and how
     many distinct values they may hold. None of them is as wide as its origin."""
     fraction = min(1.0, sample_rows / total)
-    sample = _in_play(values, brackets).where(F.rand(17) < fraction).toArrow()
+    sample = _in_play(values, brackets).where(F.rand(17 + seed) < fraction).toArrow()
     i_column, b_column, x_column = (sample.column(n).to_numpy() for n in ("i", "b", "x"))
     parts: dict[int, list[list[Bracket]]] = {}
     expected = 0.0
@@ -149,7 +170,7 @@ def _narrowed(values, brackets, total, sample_rows):
         parts[i] = []
         for j, b in enumerate(group):
             points = np.sort(x_column[(i_column == i) & (b_column == j)])
-            narrow = _suggested(points, b)
+            narrow = _suggested(points, b, max(1, CUTS // len(group)))
             parts[i].append(narrow)
             for n in narrow:
                 seen = points[(points >= n.low) & (points <= n.high)]
@@ -160,7 +181,8 @@ def _narrowed(values, brackets, total, sample_rows):
     return parts, expected
 
 
-def _suggested(points: np.ndarray, b: Bracket) -> list[Bracket]:
+def _suggested(points: np.ndarray, b: Bracket, cuts: int) -> list[Bracket]:
+    """Narrow brackets around the ranks; a sample too small for these gives evenly spread cuts."""
     m = len(points)
     if not m:
         return [Bracket(b.low, b.high, 0, 0, b.ranks)]
@@ -179,10 +201,14 @@ def _suggested(points: np.ndarray, b: Bracket) -> list[Bracket]:
             merged[-1].ranks.append(rank)
         else:
             merged.append(Bracket(low, high, 0, 0, [rank]))
-    if len(merged) == 1 and (merged[0].low, merged[0].high) == (b.low, b.high):
-        # a frequent value fills the margin: cut there, it is resolved or excluded
-        middle = float(points[m // 2])
-        return [Bracket(middle, middle, 0, 0, b.ranks)]
+    inside = sum(np.count_nonzero((points >= n.low) & (points <= n.high)) for n in merged)
+    places = 1 + sum(after - rank > 1 for rank, after in zip(b.ranks, b.ranks[1:]))
+    stuck = len(merged) == 1 and (merged[0].low, merged[0].high) == (b.low, b.high)
+    if stuck or inside * (cuts + 1) > m * places:
+        # the ranks lie in no more than as many of the gaps between cuts, which hold fewer values;
+        # a frequent value is a cut of its own, there it is resolved or excluded
+        at = np.unique(points[np.arange(1, cuts + 1) * m // (cuts + 1)])
+        return [Bracket(float(x), float(x), 0, 0, b.ranks) for x in at]
     return merged
 
 

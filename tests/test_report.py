@@ -271,6 +271,23 @@ def test_rank_refinement_is_exact(spark, values):
     assert found[0] == {r: ordered[r] for r in wanted}
 
 
+def test_rank_refinement_reads_the_data_a_few_times(spark):
+    total, seen = 200_000, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    numbers = spark.range(total).selectExpr("0 AS i", "cast(pmod(xxhash64(id), 1000003) AS double) AS x")
+    values = numbers.mapInArrow(counted, "i int, x double")
+    wanted = {1_999, 2_000, 50_000, 100_000, 150_000, 197_999}
+    found = order_statistics(values, {0: total}, {0: wanted}, fetch_budget=50, sample_rows=100)
+    ordered = sorted(r.x for r in numbers.collect())
+    assert found[0] == {r: ordered[r] for r in wanted}
+    assert seen.value < 6 * total
+
+
 @pytest.mark.parametrize("verify, bits", [(True, 1 << 25), (True, 64), (False, 64)])
 def test_duplicates_by_fingerprint(spark, verify, bits):
     rows = [(None, "a"), ("a", None), (None, "a"), ("a", "b"), ("ab", None), ("a", "b"), ("a", "b")]
