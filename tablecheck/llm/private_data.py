@@ -179,17 +179,21 @@ def _smoothed(count):
 
 
 def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(_row, term, at, disclosure): terms from GENERALISE on, the most over the row's entities.
+    """(_row, term, disclosure): terms from GENERALISE on, the most over the row's entities.
 
     A term in ``df_term`` documents can reach GENERALISE for an entity in ``df_entity`` only up to
     ``smoothed(df_entity) * (N / df_entity) ** (1 - GENERALISE)``, as if it stood in all of these.
-    Terms over that bound for all entities of a row go before terms and entities are paired.
+    Terms over that bound for all entities of a row go as soon as they meet their count, before terms
+    and entities are paired. Places of terms stay where they are, in ``scanned``.
     """
     total = max(scanned.count(), 1)
     holders = scanned.where(F.size("_entities") > 0)
     held = written(holders.select("_row", F.explode("_entities").alias("entity")))
     entities = held.groupBy("entity").agg(F.count("*").alias("df_entity"))
-    met = holders.select("_row", F.explode("_near").alias("m")).select("_row", "m.*")
+    share = F.pow(F.lit(float(total)) / F.col("df_entity"), F.lit(1 - GENERALISE))
+    bound = _smoothed(F.col("df_entity")) * share
+    reach = held.join(entities, "entity").groupBy("_row").agg(F.max(bound).alias("reach"))
+    met = holders.select("_row", F.explode(F.col("_near")["term"]).alias("term"))
     place = f"crc32(encode(term, 'UTF-8')) % {64 * SLOTS}"
     slots = met.groupBy(F.expr(f"shiftright({place}, 6)").alias("slot")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast({place} % 64 as int))")).alias("bits")
@@ -204,15 +208,12 @@ def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
         .groupBy("term")
         .agg(F.sum("documents").alias("df_term"))
     )
-    share = F.pow(F.lit(float(total)) / F.col("df_entity"), F.lit(1 - GENERALISE))
-    bound = _smoothed(F.col("df_entity")) * share
-    reach = held.join(entities, "entity").groupBy("_row").agg(F.max(bound).alias("reach"))
     rare = written(
-        met.join(terms, "term").join(reach, "_row")
+        met.join(reach, "_row").join(terms, "term")
         .where("df_term <= reach * 1.000001")  # room for rounding, the exact test follows
-        .select("_row", "term", "at", "df_term")
+        .select("_row", "term", "df_term")
     )
-    pairs = written(rare.select("_row", "term", "df_term").join(held, "_row"))
+    pairs = written(rare.join(held, "_row"))
     information = F.log(F.lit(float(total)) / F.col("df_entity"))
     mutual = F.log(
         _smoothed(F.col("co")) * F.lit(float(total)) / (F.col("df_term") * F.col("df_entity"))
@@ -225,12 +226,11 @@ def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
         .select("entity", "term", (mutual / information).alias("disclosure"))
         .where(F.col("disclosure") >= GENERALISE)
     )
-    most = (
+    return (
         pairs.join(scored, ["entity", "term"])
         .groupBy("_row", "term")
         .agg(F.max("disclosure").alias("disclosure"))
     )
-    return rare.select("_row", "term", "at").join(most, ["_row", "term"])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -251,15 +251,22 @@ def _found(plain: DataFrame) -> DataFrame:
             f" spans string, _entities array<string>, _near {PLACES}",
         ).withColumn("_row", F.monotonically_increasing_id())
     )
-    placed = F.transform(
-        "at", lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), F.col("disclosure").alias("disclosure"))
-    )
-    terms = (
+    strengths = (
         disclosures(plain, scanned)
         .groupBy("_row")
-        .agg(F.array_sort(F.flatten(F.collect_list(placed))).alias("_terms"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("_strength"))
     )
-    return scanned.join(terms, "_row", "left").select(
+
+    def placed(near):
+        strength = F.try_element_at("_strength", near["term"])
+        return F.transform(
+            near["at"],
+            lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), strength.alias("disclosure")),
+        )
+
+    known = F.filter("_near", lambda near: F.map_contains_key("_strength", near["term"]))
+    terms = F.when(F.col("_strength").isNotNull(), F.array_sort(F.flatten(F.transform(known, placed))))
+    return scanned.join(strengths, "_row", "left").withColumn("_terms", terms).select(
         *keys, "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
         _merged(F.col("spans"), F.col("_terms")).alias("spans"),
         "_terms",

@@ -199,3 +199,21 @@ def test_rows_with_one_id_keep_their_own_spans(spark):
 )
 def test_empty_table(none, operator):
     assert operator(none).collect() == []
+
+
+def test_places_of_terms_are_not_moved_to_find_disclosures(spark, monkeypatch):
+    far = "common words " * 3
+    rows = [(i, f"Quaxolin {far}quaxolin quax@mail.example.com {far}") for i in range(4)]
+    rows += [(i, far) for i in range(4, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tables = []
+
+    def written(frame):
+        tables.append(frame.columns)
+        return frame.localCheckpoint()
+
+    monkeypatch.setattr(private_data, "written", written)
+    found = {r["doc_id"]: r["spans"] for r in private_data.personal_data(docs).collect()}
+    at = rows[0][1].index("quaxolin")
+    assert found[59] == "" and found[0] == f"term:0:8,term:{at}:{at + 8},email:{at + 9}:{at + 30}"
+    assert tables and not [t for t in tables if "at" in t]
