@@ -43,6 +43,7 @@ BATCH = 64
 RATE = 0.06
 CACHED_WORDS = 150_000
 BLOCK = 2048  # windows scored at once
+WORDS_AT_ONCE = 4096  # of the sample, when all its windows are scored
 THRESHOLD = 0.5
 MODULUS, HELD_OUT = 5, 0
 
@@ -257,7 +258,9 @@ def train(rows: list[tuple[str, int]], counts: tuple[int, int]) -> Network:
         for start in range(0, len(picked), BATCH):
             _descend(network, sample, picked[start : start + BATCH])
         if epoch in (1, 3, EPOCHS - 1):
-            vectors, *_ = sample.vectors(network, every)
+            # in parts, as the vectors of all n-grams of all words would fill the driver's memory
+            parts = (every[k : k + WORDS_AT_ONCE] for k in range(0, len(every), WORDS_AT_ONCE))
+            vectors = np.concatenate([sample.vectors(network, some)[0] for some in parts])
             tables = [vectors @ network.weights[f"into{w}"] + network.weights[f"bias{w}"] for w in (0, 1)]
             strength = logits(network, tables, sample.at, sample.mask)
     best = sample.strongest(strength)

@@ -68,3 +68,16 @@ def test_windows_cover_all_words():
         starts = toxicity.windows_of(count)
         covered = {i for s in starts for i in range(s, min(count, s + toxicity.WINDOW))}
         assert covered == set(range(count))
+
+
+def test_training_forms_the_vectors_of_few_words_at_once(monkeypatch):
+    rows = [(" ".join(f"w{i}x{k}" for k in range(150)) + " zug" * (i % 2), i % 2) for i in range(40)]
+    seen = []
+    plain = toxicity._Sample.vectors
+    monkeypatch.setattr(
+        toxicity._Sample, "vectors", lambda self, net, words: seen.append(len(words)) or plain(self, net, words)
+    )
+    network = toxicity.train(rows, (20, 20))
+    assert max(seen) < 6000 <= len({w for text, _ in rows for w in text.split()})
+    scores = toxicity.Scorer(network).scores([text for text, _ in rows])
+    assert scores.shape == (40,) and np.isfinite(scores).all()
