@@ -126,3 +126,27 @@ def test_repeated_bytes_odd_rows(odd, none):
     found = repeated_bytes.without_repeats(odd).collect()
     compare(found, plain_repeats([(r[0], r[1]) for r in odd.rows]))
     assert repeated_bytes.without_repeats(none).collect() == []
+
+
+def test_repeated_bytes_writes_no_row_per_context(spark, monkeypatch):
+    text = " ".join(f"word{i * i % 1009}" for i in range(200))
+    rows = [(i, text if i % 4 else f"{i} {text[:700]} {i} {text[900:]}") for i in range(40)]
+    kept, plain = [], repeated_bytes.written
+    monkeypatch.setattr(repeated_bytes, "written", lambda frame: kept.append(plain(frame)) or kept[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    compare(repeated_bytes.without_repeats(docs).collect(), plain_repeats(rows))
+    assert sum(frame.count() for frame in kept) <= len(rows)
+
+
+def test_repeated_bytes_of_a_text_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(repeated_bytes, "BLOCK", 300)
+    words = " ".join(f"word{i * i % 1009}" for i in range(200))
+    found = [words.encode(), b"", b"short", words[37:900].encode(), words[:60].encode()]
+    runs = repeated_bytes.runs_of(found)
+    for row, text in enumerate(found):
+        here = runs.row == row
+        starts = [s + k for s, n in zip(runs.start[here], runs.count[here]) for k in range(n)]
+        assert starts == list(range(max(0, len(text) - 49)))
+    rows = [(i, text.decode()) for i, text in enumerate(found)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    compare(repeated_bytes.without_repeats(docs).collect(), plain_repeats(rows))
