@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations.
 
 Tokens are summed per cell of source, language and topic. The weights of the cells are raked in
-turn to the target shares of the three marginals (an aggregate and a join per margin) until the
-largest error is below a tolerance. A cell's rate is its raked weight over its tokens. If the mixture
+turn to the target shares of the three marginals (a window per margin) until the largest error is
+below a tolerance. Some rounds are planned at once, and the first that is near enough is taken: a job
+and a table per round filled the driver. Few cells are one partition, which no round shuffles. A cell's rate is its raked weight over its tokens. If the mixture
 in which the highest rate has probability 1 keeps ``BUDGET`` of the tokens, it is taken. Otherwise a
 few small cells would set its size: then ``BUDGET`` of the tokens are kept, cells that are too small
 for their weight are kept whole, and the rest is raked again. The error left is in the cells.
@@ -17,7 +18,7 @@ doc_id are drawn alike. An empty table gives an empty result; extra columns are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecheck.llm.common import WORD_CLASS, written
@@ -25,6 +26,8 @@ from tablecheck.llm.common import WORD_CLASS, written
 MARGINS = ("source", "lang", "topic")
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}  # target share: the present one to this power
 ROUNDS = 50
+AT_ONCE = 4  # rounds in a plan
+CELLS = 100_000  # in a partition
 BUDGET = 0.5  # share of the tokens that the mixture keeps at least
 TOLERANCE = 1e-4
 SEED = "mix-1"
@@ -43,28 +46,34 @@ def tokens() -> Column:
     return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_CLASS)).cast("long")
 
 
-def targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
-    """Target share of each value: its share of the tokens to a power, scaled to 1."""
-    sums = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("_all"))
-    whole = sums.agg(F.sum(F.pow("_all", F.lit(power))).alias("_whole"))
-    return sums.crossJoin(F.broadcast(whole)).select(  # one row
-        F.col(margin).alias("_goal"),
-        (F.pow("_all", F.lit(power)) / F.col("_whole")).alias("_target"),
-    )
+def _sum(column: str, margin: str) -> Column:
+    return F.sum(column).over(Window.partitionBy(margin))
 
 
-def _raked(cells: DataFrame, margin: str, target: DataFrame) -> DataFrame:
-    """Weights scaled so that the margin has its target shares; _error: how far it was off."""
-    sums = cells.groupBy(F.col(margin).alias("_value")).agg(F.sum("weight").alias("_now"))
-    factor = sums.join(target, F.col("_value").eqNullSafe(F.col("_goal"))).select(
-        "_value",
-        (F.col("_target") / F.col("_now")).alias("_factor"),
-        F.abs(F.col("_target") - F.col("_now")).alias("_off"),
-    )
-    return cells.join(factor, F.col(margin).eqNullSafe(F.col("_value"))).select(
-        *MARGINS, "tokens", "documents",
-        (F.col("weight") * F.col("_factor")).alias("weight"),
-        F.greatest("error", "_off").alias("error"),
+def _split(cells: DataFrame, parts: int) -> DataFrame:
+    """The cells of a written table in so many partitions; one needs no shuffle for its windows."""
+    return cells.coalesce(parts)
+
+
+def with_targets(cells: DataFrame, powers: dict[str, float]) -> DataFrame:
+    """_goal_<margin>: target share of the cell's value, its share of the tokens to a power, scaled to 1."""
+    goals = {}
+    for margin in MARGINS:
+        sums = cells.groupBy(margin).agg(F.sum("tokens").cast("double").alias("_all"))
+        whole = sums.agg(F.sum(F.pow("_all", F.lit(powers[margin])))).first()[0]
+        power = F.pow(_sum("tokens", margin).cast("double"), F.lit(powers[margin]))
+        goals[f"_goal_{margin}"] = power / F.lit(whole).cast("double")
+    return cells.withColumns(goals)
+
+
+def _raked(cells: DataFrame, margin: str) -> DataFrame:
+    """Weights scaled so that the margin has its target shares; error: how far it was off."""
+    goal = F.col(f"_goal_{margin}")
+    return (
+        cells.withColumn("_now", _sum("weight", margin))
+        .withColumn("weight", F.col("weight") * (goal / F.col("_now")))
+        .withColumn("error", F.greatest("error", F.abs(goal - F.col("_now"))))
+        .drop("_now")
     )
 
 
@@ -73,29 +82,36 @@ def _capped(cells: DataFrame, share: str) -> DataFrame:
     return cells.withColumn("weight", F.least("weight", F.expr(share)))
 
 
-def _error(cells: DataFrame, goal: dict[str, DataFrame]) -> float:
+def _error(cells: DataFrame) -> float:
     """The largest distance of a margin's share from its target."""
-    off = 0.0
-    for margin in MARGINS:
-        off = max(off, _raked(cells, margin, goal[margin]).agg(F.max("error")).first()[0] or 0.0)
-    return off
-
-
-def _saturated(raked: DataFrame, goal: dict[str, DataFrame], share: str, rounds: int, tolerance: float) -> DataFrame:
-    """Raked again with cells capped at their tokens, until no weight moves by the tolerance."""
-    for _ in range(rounds):
-        step = raked
-        for margin in MARGINS:
-            step = _capped(_raked(step, margin, goal[margin]), share)
-        step = written(step)
-        same = [raked[m].eqNullSafe(step[m]) for m in MARGINS]
-        moved = raked.join(step, same[0] & same[1] & same[2]).agg(
-            F.max(F.abs(raked["weight"] - step["weight"]))
-        ).first()[0]
-        raked = step.withColumn("error", F.lit(0.0))
-        if moved < tolerance:
+    off = [F.abs(F.col(f"_goal_{m}") - _sum("weight", m)) for m in MARGINS]
+    return cells.select(F.greatest(*off).alias("_off")).agg(F.max("_off")).first()[0] or 0.0
+
+
+def _rounds(cells: DataFrame, parts: int, rounds: int, tolerance: float, share: str | None = None) -> DataFrame:
+    """Raked until no margin is off by the tolerance; with a share, capped, until no weight moves by it."""
+    done = 0
+    while done < rounds:
+        some = min(AT_ONCE, rounds - done)
+        step = cells.withColumn("_steps", F.array().cast("array<struct<weight:double,off:double>>"))
+        for _ in range(some):
+            step = step.withColumn("_before", F.col("weight")).withColumn("error", F.lit(0.0))
+            for margin in MARGINS:
+                step = _raked(step, margin)
+                if share:
+                    step = _capped(step, share)
+            off = F.abs(F.col("weight") - F.col("_before")) if share else F.col("error")
+            step = step.withColumn(
+                "_steps", F.array_append("_steps", F.struct(F.col("weight"), off.alias("off")))
+            )
+        step = _split(written(step.drop("_before")), parts)
+        offs = step.agg(*[F.max(F.col("_steps")[i]["off"]) for i in range(some)]).first()
+        near = [i for i, off in enumerate(offs) if off is None or off < tolerance]
+        cells = step.withColumn("weight", F.col("_steps")[near[0] if near else some - 1]["weight"]).drop("_steps")
+        done += some
+        if near:
             break
-    return raked
+    return cells
 
 
 def calibrated(
@@ -103,21 +119,14 @@ def calibrated(
     budget: float = BUDGET,
 ) -> DataFrame:
     """Cells (source, lang, topic, tokens, documents) with weight, probability and the error left."""
-    some = cells.where("tokens > 0")
-    goal = {m: written(targets(some, m, powers[m])) for m in MARGINS}
-    whole = some.agg(F.sum("tokens").cast("double").alias("_whole"))
-    raked = some.crossJoin(F.broadcast(whole)).select(  # one row
-        *MARGINS, "tokens", "documents", (F.col("tokens") / F.col("_whole")).alias("weight"),
-        F.lit(0.0).alias("error"),
+    parts = 1 + cells.count() // CELLS
+    some = _split(cells.where("tokens > 0"), parts)
+    whole = some.agg(F.sum("tokens").cast("double")).first()[0]
+    raked = with_targets(some, powers).select(
+        *MARGINS, "tokens", "documents", *[f"_goal_{m}" for m in MARGINS],
+        (F.col("tokens") / F.lit(whole).cast("double")).alias("weight"), F.lit(0.0).alias("error"),
     )
-    for _ in range(rounds):
-        for margin in MARGINS:
-            raked = _raked(raked, margin, goal[margin])
-        raked = written(raked)
-        error = raked.agg(F.max("error")).first()[0]
-        raked = raked.withColumn("error", F.lit(0.0))
-        if error is None or error < tolerance:
-            break
+    raked = _rounds(_split(written(raked), parts), parts, rounds, tolerance)
     tokens, top = raked.agg(F.sum("tokens"), F.max(F.col("weight") / F.col("tokens"))).first()
     left = 0.0
     if top:
@@ -125,12 +134,12 @@ def calibrated(
         if kept < budget:
             kept = budget
             share = f"tokens / {kept * tokens!r}D"
-            raked = _saturated(_capped(raked, share), goal, share, rounds, tolerance)
+            raked = _rounds(_capped(raked, share), parts, rounds, tolerance, share)
             # what the capped cells lack goes to the others, so that the budget is met
             for _ in range(3):
                 whole = raked.agg(F.sum("weight")).first()[0]
-                raked = written(_capped(raked.withColumn("weight", F.col("weight") / F.lit(whole)), share))
-        left = _error(raked, goal)
+                raked = _capped(raked.withColumn("weight", F.col("weight") / F.lit(whole)), share)
+        left = _error(raked)
         chance = F.least(F.lit(1.0), F.col("weight") * F.lit(kept * tokens) / F.col("tokens"))
     else:
         chance = F.lit(1.0)

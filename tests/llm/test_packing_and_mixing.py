@@ -137,3 +137,21 @@ def test_ranges_that_share_a_task_are_swept_for_themselves():
             (2, 2, 30, 1, 50, 0, None), (0, 1, 20, None, None, 0, None),  # 20 of the gap stay in range 0
             (1, 3, 20, None, None, 1, 0), (2, 5, 10, 4, 90, 2, None),
         }
+
+
+def test_mixing_runs_few_jobs_and_partitions_do_not_matter(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [
+        (i, " ".join(["w"] * int(rng.integers(1, 400))), ["en", "de", None][i % 3], f"s{int(i**0.5) % 9}")
+        for i in range(500)
+    ] + [(1000, "five words of one source", "en", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    group = "mixing-jobs"
+    spark.sparkContext.setJobGroup(group, "")
+    found = mixing.mixture(docs).toPandas().sort_values("doc_id")
+    spark.sparkContext.setJobGroup("", "")
+    assert (found.probability == 1).any() and (found.probability < 1).any()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 60
+    monkeypatch.setattr(mixing, "CELLS", 5)
+    split = mixing.mixture(docs).toPandas().sort_values("doc_id")
+    assert np.allclose(found.probability, split.probability, atol=1e-8)
