@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecheck.llm.common import NO_ID, identity, texts, written
+from tablecheck.llm.common import NO_ID, identity, released, small_batches, texts, written
 from tablecheck.llm.shingles import Shingles, components
 
 SIZE, PERCENT, K = 3, 85, 64
@@ -93,6 +93,7 @@ def linked(a: np.ndarray, b: np.ndarray, k: int, percent: int, floor_: int) -> b
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+@released
 def _scanned(batches, size: int, percent: int, k: int) -> Iterator[pa.RecordBatch]:
     shingles = Shingles(size)
     for batch in batches:
@@ -115,6 +116,7 @@ def _scanned(batches, size: int, percent: int, k: int) -> Iterator[pa.RecordBatc
         )
 
 
+@released
 def _whole_sets(batches, size: int) -> Iterator[pa.RecordBatch]:
     shingles = Shingles(size)
     for batch in batches:
@@ -124,6 +126,7 @@ def _whole_sets(batches, size: int) -> Iterator[pa.RecordBatch]:
         )
 
 
+@released
 def _compared(batches, k: int, percent: int, floor_: int) -> Iterator[pa.RecordBatch]:
     """Pairs (sid, p) with ``linked`` and the differences of both sets."""
     for batch in batches:
@@ -143,6 +146,7 @@ def _compared(batches, k: int, percent: int, floor_: int) -> Iterator[pa.RecordB
         )
 
 
+@released
 def _verified(batches, k: int, percent: int, floor_: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = [
@@ -255,7 +259,7 @@ def near_duplicates(
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept, _id, _tag."""
     floor_ = least_shared(k, percent)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *identity())
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *identity())
     scanned = written(
         source.mapInArrow(
             lambda batches: _scanned(batches, size, percent, k),

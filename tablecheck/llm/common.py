@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,8 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 NO_ID = (1 << 63) - 1  # a null doc_id sorts after all others
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SMALL_BATCH = "4m"  # Spark's own bound is 64 MB
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +63,37 @@ def identity(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     ]
 
 
+def small_batches(frame: DataFrame) -> DataFrame:
+    """The same frame; from now on its session sends Python small batches, unless the caller has set a bound.
+
+    A batch is held several times over, by the executor's buffers and by the worker, for each task at once.
+    """
+    conf = frame.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) is None:
+        conf.set(BATCH_BYTES, SMALL_BATCH)
+    return frame
+
+
+def released(make: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """For what tasks run on batches: memory of freed batches is given back after each batch and at the end.
+
+    Arrow keeps it else, also in a worker that waits for its next task.
+    """
+
+    @wraps(make)
+    def run(*args, **options):
+        pool = pa.default_memory_pool()
+        try:
+            for batch in make(*args, **options):
+                yield batch
+                del batch
+                pool.release_unused()
+        finally:
+            pool.release_unused()
+
+    return run
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

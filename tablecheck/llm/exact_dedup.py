@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablecheck.llm.common import NO_ID, SPACE, code_points, texts, written
+from tablecheck.llm.common import NO_ID, SPACE, code_points, released, small_batches, texts, written
 
 SALTS = 8
 CHUNK_BYTES = 48 << 20  # normalised text that a task holds at once in the first step
@@ -36,6 +36,7 @@ def sha256(data: bytes) -> bytes:
     return hashlib.sha256(data).digest()
 
 
+@released
 def _digests(batches: Iterator[pa.RecordBatch], digest) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data = texts(batch.column("text"))
@@ -107,6 +108,7 @@ class _Groups:
         self.clear()
 
 
+@released
 def _combine(
     batches: Iterator[pa.RecordBatch], digest, by_group: bool, limit: int
 ) -> Iterator[pa.RecordBatch]:
@@ -138,7 +140,7 @@ def survivors(
     """One row per group: ``_row`` (the whole winning row), _digest, _count, _variant, _variants."""
     payload = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    source = docs.select(payload.alias("_row"), order.alias("_order"))
+    source = small_batches(docs).select(payload.alias("_row"), order.alias("_order"))
     schema = T.StructType(
         [
             *source.schema.fields,

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.llm import bottom_k
-from tablecheck.llm.common import NO_ID, drop_written, identity, written
+from tablecheck.llm.common import NO_ID, drop_written, identity, released, small_batches, written
 from tablecheck.llm.shingles import components
 
 SIZE, PERCENT, K = 3, 90, 64
@@ -76,6 +76,7 @@ def _qualifying(listed: DataFrame, members: DataFrame, sets: DataFrame, percent:
     return found
 
 
+@released
 def _compared(batches, k: int, percent: int, floor_: int) -> Iterator[pa.RecordBatch]:
     """Pairs (sid, p) with ``linked``, and the differences of both sets where the group has members."""
     nothing = np.zeros(0, np.int64)
@@ -115,7 +116,7 @@ def near_equal(
 ) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, _id, _tag."""
     floor_ = bottom_k.least_shared(k, percent)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *identity())
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *identity())
     scanned = written(
         source.mapInArrow(
             lambda batches: bottom_k._scanned(batches, size, percent, k),

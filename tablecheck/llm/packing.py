@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablecheck.llm.common import drop_written, texts, written
+from tablecheck.llm.common import drop_written, released, small_batches, texts, written
 from tablecheck.session import small_frame
 
 CAPACITY = 4096
@@ -141,6 +141,7 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
+@released
 def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int):
     words = words_of(path or tokenizer_path(TOKENIZER))
     end = np.array([END_ID], "<u4").tobytes()
@@ -172,6 +173,7 @@ _STATE = "kind int, key long, size long, sequence long, offset long"
 _SWEPT = _STATE + ", part int, place long"
 
 
+@released
 def _sweep(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
     """Pieces and gaps from large to small, gaps first; a piece takes the smallest gap open to it.
 
@@ -403,7 +405,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    plain = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = written(
         plain.mapInArrow(lambda batches: _pieces(batches, path, capacity), _PIECES).withColumn(
             "key", F.monotonically_increasing_id()

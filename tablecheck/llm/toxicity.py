@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablecheck.llm.common import released, small_batches
 from tablecheck.llm.subwords import (
     character_grams,
     labelled_sample,
@@ -387,6 +388,7 @@ def _slices(column: pa.Array, words: int = 100_000) -> Iterator[list[str | None]
         yield some
 
 
+@released
 def _score(batches: Iterator[pa.RecordBatch], network: Network, name: str) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(network)
     for batch in batches:
@@ -406,7 +408,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     """Per document: doc_id, held_out, score, predicted."""
     network = fitted(docs, labels)
     return (
-        docs.select(
+        small_batches(docs).select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.coalesce(remainder(MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"),
             "text",
@@ -419,6 +421,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     )
 
 
+@released
 def _clean(batches: Iterator[pa.RecordBatch], network: Network, threshold) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(network)
     for batch in batches:
@@ -430,5 +433,5 @@ def _clean(batches: Iterator[pa.RecordBatch], network: Network, threshold) -> It
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, all columns."""
     network = fitted(docs, labels)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     return rows.mapInArrow(lambda batches: _clean(batches, network, threshold), rows.schema).select("_row.*")

@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 
 import corpus_pipeline
-from tablecheck.llm.common import read_table
+import numpy as np
+import pyarrow as pa
+from tablecheck.llm import bottom_k, exact_dedup, jaccard_join, packing, toxicity
+from tablecheck.llm.common import BATCH_BYTES, read_table
 
 from test_sampling_and_vectors import plain_near
 
@@ -72,3 +75,56 @@ def test_stages_follow_one_another(spark, tmp_path):
         assert p["offset"] == ends.get(p["sequence_id"], 0)
         ends[p["sequence_id"]] = p["offset"] + p["length"]
     assert max(ends.values()) <= 4096
+
+
+def test_python_gets_small_batches_unless_a_bound_is_set(spark):
+    rows = [(i, f"{i} " + "x" * 100_000, "en", "a") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+
+    def bytes_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["bytes"])
+
+    before = spark.conf.get(BATCH_BYTES, None)
+    try:
+        for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage, corpus_pipeline.packing_stage):
+            spark.conf.unset(BATCH_BYTES)
+            stage(spark, docs, "")
+            found = [r.bytes for r in docs.mapInArrow(bytes_of, "bytes long").collect()]
+            assert len(found) > 1 and max(found) < 5 << 20
+        spark.conf.set(BATCH_BYTES, "1m")
+        corpus_pipeline.exact_stage(spark, docs, "")
+        assert spark.conf.get(BATCH_BYTES) == "1m"
+    finally:
+        spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
+
+
+def test_tasks_give_memory_of_batches_back(monkeypatch):
+    class Pool:
+        given = 0
+
+        def release_unused(self):
+            self.given += 1
+
+    text = pa.array(["one two three", None])
+    row = pa.StructArray.from_arrays([text], ["text"])
+    ids = pa.array([1, 2], pa.int64())
+    whole = pa.array([np.arange(9, dtype=np.uint64).tobytes()] * 2, pa.binary())
+    made = {
+        "toxicity": lambda b: toxicity._clean(b, toxicity.Network(), 0.5),
+        "exact": lambda b: exact_dedup._combine(b, exact_dedup.sha256, False, 0),
+        "scanned": lambda b: bottom_k._scanned(b, 5, 80, 64),
+        "whole": lambda b: bottom_k._whole_sets(b, 5),
+        "compared": lambda b: jaccard_join._compared(b, 64, 80, 30),
+        "pieces": lambda b: packing._pieces(b, None, 4096),
+    }
+    batch = pa.RecordBatch.from_arrays(
+        [row, ids, text, *[ids] * 4, whole, whole, pa.array([True, False])],
+        names=["_row", "_order", "text", "doc_id", "_id", "_tag", "sid", "x", "y", "wide"],
+    ).append_column("p", ids)
+    for name, make in made.items():
+        pool = Pool()
+        with monkeypatch.context() as patch:
+            patch.setattr(pa, "default_memory_pool", lambda: pool)
+            found = list(make(iter([batch] * 3)))
+        assert found and pool.given >= min(3, len(found)) + 1, name
