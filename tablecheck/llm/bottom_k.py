@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,9 @@ from tablecheck.llm.shingles import Shingles, components
 
 SIZE, PERCENT, K = 3, 85, 64
 LOSS = 1e-9
+HELD = ["p", "value", "of_pivot", "holders", "own", "low", "high"]
+COMMON = 4  # a group's array has the differences that one in so many of its members has
+MEMBER = ["p", "sid", "own", "n", "n_p", "d", "root"]
 BROADCAST_IDS = 500_000  # ids of texts to read again that are sent to all tasks; more go by shuffle
 
 
@@ -128,21 +132,23 @@ def _whole_sets(batches, size: int) -> Iterator[pa.RecordBatch]:
 
 @released
 def _compared(batches, k: int, percent: int, floor_: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (sid, p) with ``linked`` and the differences of both sets."""
+    """Pairs (sid, p) with ``linked`` and what each of both sets has that the other has not."""
     for batch in batches:
-        found, apart = [], []
+        found, more, less = [], [], []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
             a, b = hashes(x), hashes(y)
             found.append(linked(a, b, k, percent, floor_))
-            apart.append(np.setxor1d(a, b, assume_unique=True).view(np.int64))
+            more.append(np.setdiff1d(a, b, assume_unique=True).view(np.int64))
+            less.append(np.setdiff1d(b, a, assume_unique=True).view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [
                 *(batch.column(c) for c in ("sid", "p")),
                 pa.array([len(x) // 8 for x in batch.column("y").to_pylist()], pa.int64()),
                 pa.array(found, pa.bool_()),
-                pa.array(apart, pa.list_(pa.int64())),
+                pa.array(more, pa.list_(pa.int64())),
+                pa.array(less, pa.list_(pa.int64())),
             ],
-            names=["sid", "p", "n_p", "linked", "apart"],
+            names=["sid", "p", "n_p", "linked", "more", "less"],
         )
 
 
@@ -192,6 +198,48 @@ def _with_sets(pairs: DataFrame, whole: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.join(first, a).join(second, b)
 
 
+@released
+def _held(batches) -> Iterator[pa.RecordBatch]:
+    """Per batch, group and difference: its holders here, is one of them an own member, and their roots' range."""
+    for batch in batches:
+        parts = []
+        for side in ("more", "less"):
+            values = batch.column(side)
+            rows = pc.list_parent_indices(values)
+            names = ("p", "own", "root")
+            parts.append(
+                pa.table(
+                    [*(batch.column(c).take(rows) for c in names), pc.list_flatten(values)], [*names, "value"]
+                ).append_column("of_pivot", pa.array(np.full(len(rows), side == "less")))
+            )
+        met = pa.concat_tables(parts).group_by(["p", "value", "of_pivot"]).aggregate(
+            [("root", "count"), ("own", "max"), ("root", "min"), ("root", "max")]
+        )
+        columns = ["p", "value", "of_pivot", "root_count", "own_max", "root_min", "root_max"]
+        yield from met.select(columns).rename_columns(HELD).combine_chunks().to_batches()
+
+
+@released
+def _by_rarity(batches) -> Iterator[pa.RecordBatch]:
+    """The differences of each member that another one shares, as ``found``, the rarest first."""
+    for batch in batches:
+        found = []
+        names = ("rare", "rare_held", "common", "common_held", "more", "less")
+        columns = (batch.column(c).to_numpy(zero_copy_only=False) for c in names)
+        for rare, rare_held, common, common_held, more, less in zip(*columns):
+            rare, rare_held, common, common_held = (
+                np.zeros(0, np.int64) if x is None else x for x in (rare, rare_held, common, common_held)
+            )
+            has = np.isin(common, np.concatenate([more, less]))
+            values = np.concatenate([rare, common[has]])
+            holders = np.concatenate([rare_held, common_held[has]])
+            found.append(values[np.lexsort((values, holders))])
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in MEMBER), pa.array(found, pa.list_(pa.int64()))],
+            names=[*MEMBER, "found"],
+        )
+
+
 def _crossing(compared: DataFrame, sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """(a, b): members of one group, in different components, that share as many differences from
     the pivot as a link needs.
@@ -199,34 +247,70 @@ def _crossing(compared: DataFrame, sets: DataFrame, roots: DataFrame, percent: i
     Linked sets of n and m shingles differ in at most ``away * (n + m)`` of them. If x and y differ
     from the pivot in d and e shingles, they share at least (d + e - away * (n + m)) / 2 of these,
     and one at least where a set is not linked with the pivot. All in integers.
+
+    ``own``: two members that only visit the group (``own`` is false) need not meet in it. A difference
+    counts only where an own member and a set of another component share it. Those of the pivot's
+    shingles, or with a large part of the group, are few whatever its number of members: a group has one
+    array of them with their holders, which goes to its members as it is. The others meet by join.
     """
     rest, whole = 100 - percent, 100 + percent
     placed = (
         compared.join(sets.select("sid", "n"), "sid")
         .join(roots.withColumnRenamed("node", "sid"), "sid", "left")
         .select(
-            "sid", "p", "n", "n_p", "apart", F.size("apart").cast("long").alias("d"),
+            "sid", "p", "own", "n", "n_p", "more", "less",
+            (F.size("more") + F.size("less")).cast("long").alias("d"),
             F.coalesce("root", "sid").alias("root"),
         )
     )
     split = written(
         placed.groupBy("p")
-        .agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        .where("low < high")
-        .select("p")
+        .agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.max("own").alias("own"),
+            F.count("*").alias("crowd"),
+        )
+        .where("low < high and own")
+        .select("p", "crowd")
     )
-    members = placed.join(split, "p")
-    values = members.select("p", "sid", F.explode("apart").alias("value"))
+    members = written(placed.join(split.select("p"), "p"))
     shared = written(
-        values.groupBy("p", "value").agg(F.count("*").alias("holders")).where("holders > 1")
+        members.select("p", "own", "root", "more", "less")
+        .mapInArrow(
+            _held,
+            "p long, value long, of_pivot boolean, holders long, own boolean, low long, high long",
+        )
+        .groupBy("p", "value", "of_pivot")
+        .agg(
+            F.sum("holders").alias("holders"), F.max("own").alias("own"),
+            F.min("low").alias("low"), F.max("high").alias("high"),
+        )
+        .where("own and low < high")
+        .join(split, "p")
+        .select("p", "value", "holders", F.expr(f"of_pivot or {COMMON} * holders >= crowd").alias("common"))
+    )
+
+    def together(frame, by, name):
+        pairs = F.collect_list(F.struct("value", "holders"))
+        return frame.groupBy(*by).agg(pairs.alias("pairs")).select(
+            *by, F.col("pairs.value").alias(name), F.col("pairs.holders").alias(f"{name}_held")
+        )
+
+    common = together(shared.where("common"), ["p"], "common")
+    members = members.join(common, "p", "left")
+    others = F.array_except("more", F.coalesce("common", F.array().cast("array<long>")))
+    rare = together(
+        members.select("p", "sid", F.explode(others).alias("value"))
+        .join(shared.where("not common").drop("common"), ["p", "value"]),
+        ["p", "sid"], "rare",
     )
     found = written(
-        values.join(shared, ["p", "value"])
-        .groupBy("p", "sid")
-        .agg(F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("found"))
-        .join(members.drop("apart"), ["p", "sid"])
+        members.join(rare, ["p", "sid"], "left")
+        .mapInArrow(
+            _by_rarity,
+            "p long, sid long, own boolean, n long, n_p long, d long, root long, found array<long>",
+        )
     )
-    # differences that no other member has come first; they are counted in positions only
+    # differences that no member to meet has come first; they are counted in positions only
     single = F.col("d") - F.size("found")
     most = F.expr(f"n * {rest} div {percent}")  # differences from the largest linked set
     outside = F.expr(f"({rest} * ({percent} * n + 100 * n_p)) div (100 * {whole})")
@@ -237,13 +321,13 @@ def _crossing(compared: DataFrame, sets: DataFrame, roots: DataFrame, percent: i
         count = F.greatest(F.lit(0), F.size("found") - least + 1)
         kept = F.slice("found", F.lit(1), count.cast("int"))
         return found.select(
-            "p", "sid", "n", "d", "root", single.alias("single"), F.posexplode(kept["value"]).alias("i", "value")
+            "p", "sid", "own", "n", "d", "root", single.alias("single"), F.posexplode(kept).alias("i", "value")
         ).withColumn("left", F.col("d") - F.col("single") - F.col("i"))
 
     x, y = written(listed(shorter)).alias("x"), written(listed(longer)).alias("y")
     needed = F.expr(f"{whole} * (x.d + y.d) - {rest} * (x.n + y.n)")
     close = F.expr(
-        f"x.root <> y.root and (x.d < y.d or x.d = y.d and x.sid < y.sid)"
+        f"x.root <> y.root and (x.own or y.own) and (x.d < y.d or x.d = y.d and x.sid < y.sid)"
         f" and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
     )
     same = (F.col("x.p") == F.col("y.p")) & (F.col("x.value") == F.col("y.value"))
@@ -286,12 +370,12 @@ def near_duplicates(
     compared = written(
         _with_sets(groups, whole, "sid", "p").mapInArrow(
             lambda batches: _compared(batches, k, percent, floor_),
-            "sid long, p long, n_p long, linked boolean, apart array<long>",
+            "sid long, p long, n_p long, linked boolean, more array<long>, less array<long>",
         )
     )
     links = compared.where("linked").select(F.col("sid").alias("a"), F.col("p").alias("b"))
     roots = components(links)
-    crossing = written(_crossing(compared, sets, roots, percent))
+    crossing = written(_crossing(compared.withColumn("own", F.lit(True)), sets, roots, percent))
     more = _with_sets(crossing, whole, "a", "b").mapInArrow(
         lambda batches: _verified(batches, k, percent, floor_), "a long, b long"
     )

@@ -13,7 +13,8 @@ each set lists all but its ``must - 1`` most widely held tokens and two linked s
    the one with more members by the sets of the other.
 4. Opened: the set is compared with the group's pivot in whole. It may link with another member
    only if both share most of their differences from the pivot, so lists of the rarest differences
-   lead to the few pairs that are compared too. A group that is its pivot alone needs no lists.
+   lead to the few pairs that are compared too, of which one is the group's own. A group that is its
+   pivot alone needs no lists.
 
 Only the choice of tokens can miss a link: at ``k = 64`` a pair at the threshold is lost with a
 probability below 1e-9, a closer one with less, and sets of up to ``k`` shingles never. All else is
@@ -81,21 +82,23 @@ def _compared(batches, k: int, percent: int, floor_: int) -> Iterator[pa.RecordB
     """Pairs (sid, p) with ``linked``, and the differences of both sets where the group has members."""
     nothing = np.zeros(0, np.int64)
     for batch in batches:
-        found, apart, sizes = [], [], []
+        found, more, less, sizes = [], [], [], []
         columns = (batch.column(c).to_pylist() for c in ("x", "y", "wide"))
         for x, y, wide in zip(*columns):
             a, b = bottom_k.hashes(x), bottom_k.hashes(y)
             found.append(bottom_k.linked(a, b, k, percent, floor_))
-            apart.append(np.setxor1d(a, b, assume_unique=True).view(np.int64) if wide else nothing)
+            more.append(np.setdiff1d(a, b, assume_unique=True).view(np.int64) if wide else nothing)
+            less.append(np.setdiff1d(b, a, assume_unique=True).view(np.int64) if wide else nothing)
             sizes.append(len(b))
         yield pa.RecordBatch.from_arrays(
             [
                 *(batch.column(c) for c in ("sid", "p", "wide")),
                 pa.array(sizes, pa.int64()),
                 pa.array(found, pa.bool_()),
-                pa.array(apart, pa.list_(pa.int64())),
+                pa.array(more, pa.list_(pa.int64())),
+                pa.array(less, pa.list_(pa.int64())),
             ],
-            names=["sid", "p", "wide", "n_p", "linked", "apart"],
+            names=["sid", "p", "wide", "n_p", "linked", "more", "less"],
         )
 
 
@@ -142,12 +145,14 @@ def near_equal(
     compared = written(
         bottom_k._with_sets(pairs, whole, "sid", "p").mapInArrow(
             lambda batches: _compared(batches, k, percent, floor_),
-            "sid long, p long, wide boolean, n_p long, linked boolean, apart array<long>",
+            "sid long, p long, wide boolean, n_p long, linked boolean, more array<long>, less array<long>",
         )
     )
     links = written(compared.where("linked").select(F.col("sid").alias("a"), F.col("p").alias("b")))
     roots = components(links)
-    crossing = written(bottom_k._crossing(compared.where("wide"), sets, roots, percent))
+    # linked sets of two groups: the set of one was opened with the group of the other
+    met = compared.where("wide").join(members, "sid").withColumn("own", F.col("p") == F.col("grp"))
+    crossing = written(bottom_k._crossing(met, sets, roots, percent))
     drop_written(compared)
     more = bottom_k._with_sets(crossing, whole, "a", "b").mapInArrow(
         lambda batches: bottom_k._verified(batches, k, percent, floor_), "a long, b long"
